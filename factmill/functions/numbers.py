@@ -7,8 +7,9 @@ from pyspark.sql import Column, functions as F, types as T
 # white space that may surround a number
 _PADDING = " \t\n\r\f\v"
 # a plain decimal number; leaves out forms only some parsers take, such as 1d or 0x1
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INFINITE = r"^[+-]?(?i:inf|infinity)$"
+_NUMBER = (
+    r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+)
 
 
 def is_text(dtype: T.DataType) -> bool:
@@ -22,10 +23,8 @@ def is_fraction(dtype: T.DataType) -> bool:
 def to_number(value: Column, dtype: T.DataType) -> Column:
     """Double, or null where the text is no number. NaN is no number either."""
     if is_text(dtype):
-        text = F.trim(value, F.lit(_PADDING))
-        number = text.try_cast("double")
-        fits = text.rlike(_NUMBER) & (F.abs(number) < F.lit(float("inf")))
-        return F.when(fits | text.rlike(_INFINITE), number)
+        # most text holds a plain integer; only the rest is matched
+        return F.coalesce(value.try_cast("bigint").cast("double"), _decimal(value))
     if is_fraction(dtype):
         return F.when(~F.isnan(value), value.cast("double"))
     if isinstance(dtype, T.NumericType):
@@ -33,6 +32,12 @@ def to_number(value: Column, dtype: T.DataType) -> Column:
     return value.try_cast("double")
 
 
+def _decimal(text: Column) -> Column:
+    # no match gives an empty text, which is no number
+    matched = F.regexp_extract(F.trim(text, F.lit(_PADDING)), _NUMBER, 0)
+    return matched.try_cast("double")
+
+
 def to_whole(value: Column, dtype: T.DataType, strict: bool = False) -> Column:
     """Bigint, or null where there is no whole number.
 
@@ -41,16 +46,16 @@ def to_whole(value: Column, dtype: T.DataType, strict: bool = False) -> Column:
     """
     if isinstance(dtype, T.IntegralType):
         return value.cast("bigint")
-    number = to_number(value, dtype)
+    number = _decimal(value) if is_text(dtype) else to_number(value, dtype)
     whole = number.try_cast("bigint")
-    exact = whole.cast("double") == number
     otherwise = F.lit(None).cast("bigint")
     if strict:
         otherwise = F.when(
             number.isNotNull(),
             F.raise_error(F.concat(F.lit("not a whole number: "), value.cast("string"))),
         ).cast("bigint")
-    return F.when(exact, whole).otherwise(otherwise)
+    exact = F.when(whole.cast("double") == number, whole).otherwise(otherwise)
+    return F.coalesce(value.try_cast("bigint"), exact) if is_text(dtype) else exact
 
 
 def has_fraction(value: Column, dtype: T.DataType) -> Column:

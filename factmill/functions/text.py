@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 # Every character Unicode counts as white space, the four separators included.
 SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
+# Words of ASCII letters with no letter after another mark, parted by blanks: here a
+# word starts only after a blank, and there is nothing to strip. Most values are so.
+_WORD = r"(?:[A-Za-z]+[!-@\[-`{-~]*|[!-@\[-`{-~]+)"
+_SIMPLE = f"^{_WORD}(?: +{_WORD})*$"
+
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 _BREAK = "\u0000 "
 
@@ -22,14 +27,18 @@ def title_case(text: Column) -> Column:
     """Capital after every uncased character, lower case elsewhere.
 
     ``initcap`` starts a word only after a blank, so each other uncased character
-    is first followed by a break mark that ends in a blank. Text that already
-    holds the mark takes the slower route over its runs.
+    is first followed by a break mark that ends in a blank. The mark's own first
+    character is uncased and is marked too where the text holds it; so taking the
+    marks out again restores any text.
     """
     marked = F.regexp_replace(text, f"([^{_CASED} ])", "$1" + _BREAK)
-    by_mark = F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
-    runs = F.split(text, f"(?<=[^{_CASED}])(?=[{_CASED}])")
-    by_run = F.array_join(F.transform(runs, F.initcap), "")
-    return F.when(F.contains(text, F.lit(_BREAK)), by_run).otherwise(by_mark)
+    return F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
+
+
+def normal_case(text: Column) -> Column:
+    """Strip and title-case, at the price of one match for simple values."""
+    full = title_case(strip_space(text))
+    return F.when(text.rlike(_SIMPLE), F.initcap(text)).otherwise(full)
 
 
 def replace_values(value: Column, mapping: Mapping[str, str]) -> Column:

@@ -7,7 +7,7 @@ a streaming table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factmill.functions import dates, numbers, text
 from factmill.spec import DEFAULT_SPEC, FactSpec
@@ -65,22 +65,39 @@ def drop_missing(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     return df
 
 
+def _once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Put the given columns in place, each reckoned once per row.
+
+    They come out of a generator of one row. Filters on them stay above it; moved
+    below a plain projection, every filter would repeat the whole expression.
+    """
+    others = [F.col(c) for c in df.columns if c not in values]
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select(*others, F.inline(F.array(row))).select(*df.columns)
+
+
 def cast_columns(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
-    """Year and month to bigint, measure to double, dimensions to text."""
-    casts = {}
+    """Year and month to bigint, measure to double, dimensions to text.
+
+    Whole-number years and months are cast in place, so filters on them still
+    reach the scan.
+    """
+    plain, parsed = {}, {}
     for column in (spec.year, spec.month):
         if column in df.columns:
-            casts[column] = numbers.to_whole(
-                F.col(column), df.schema[column].dataType, spec.strict_whole
-            )
+            dtype = df.schema[column].dataType
+            chosen = plain if isinstance(dtype, T.IntegralType) else parsed
+            chosen[column] = numbers.to_whole(F.col(column), dtype, spec.strict_whole)
     if spec.measure in df.columns:
-        casts[spec.measure] = numbers.to_number(
-            F.col(spec.measure), df.schema[spec.measure].dataType
-        )
+        dtype = df.schema[spec.measure].dataType
+        chosen = parsed if numbers.is_text(dtype) else plain
+        chosen[spec.measure] = numbers.to_number(F.col(spec.measure), dtype)
     for column in spec.dims:
         if column in df.columns:
-            casts[column] = F.col(column).cast("string")
-    return df.withColumns(casts) if casts else df
+            plain[column] = F.col(column).cast("string")
+    if plain:
+        df = df.withColumns(plain)
+    return _once(df, parsed) if parsed else df
 
 
 def latest_year(spec: FactSpec = DEFAULT_SPEC) -> Column:
@@ -130,7 +147,7 @@ def normalize_text(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     changes = {}
     for column in spec.dims:
         if column in df.columns:
-            changes[column] = text.title_case(text.strip_space(F.col(column)))
+            changes[column] = text.normal_case(F.col(column))
     if spec.district in changes and spec.corrections:
         # projected in a step of its own, so the casing is computed once per row
         df = df.withColumns(changes)
@@ -162,6 +179,13 @@ def drop_copies(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     return df.dropDuplicates() if spec.dedup == "exact" else df
 
 
+def drop_null_keys(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
+    """Keep rows whose keys are all present."""
+    for key in spec.keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
+
+
 def total_by_keys(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     """Sum the measure per key; rows with a null key are left out.
 
@@ -170,8 +194,10 @@ def total_by_keys(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     """
     if any(c not in df.columns for c in spec.raw_columns):
         return df
-    for key in spec.keys:
-        df = df.where(F.col(key).isNotNull())
+    return _sum_groups(drop_null_keys(df, spec), spec)
+
+
+def _sum_groups(df: DataFrame, spec: FactSpec) -> DataFrame:
     measure = F.col(spec.measure)
     if numbers.is_fraction(df.schema[spec.measure].dataType):
         measure = F.when(~F.isnan(measure), measure)
@@ -202,24 +228,36 @@ def keep_columns(
 
 def clean_rows(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     """The row-by-row steps: names, missing values, casts, ranges, text."""
+    return normalize_text(_valid_rows(df, spec), spec)
+
+
+def _valid_rows(df: DataFrame, spec: FactSpec) -> DataFrame:
     return (
         df.transform(standardize_names)
         .transform(drop_missing, spec)
         .transform(cast_columns, spec)
         .transform(keep_ranges, spec)
-        .transform(normalize_text, spec)
     )
 
 
 def clean(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
-    """From a raw table to dated totals per key."""
-    return (
-        df.transform(clean_rows, spec)
-        .transform(drop_copies, spec)
-        .transform(total_by_keys, spec)
-        .transform(add_date, spec)
-        .transform(keep_columns, spec)
-    )
+    """From a raw table to dated totals per key.
+
+    Rows that the totals leave out for a null key go before the text is treated
+    and the copies are shuffled: neither step makes or fills a null.
+    """
+    rows = _valid_rows(df, spec)
+    if any(c not in rows.columns for c in spec.raw_columns):
+        # nothing to total: the cleaned rows themselves
+        rows = rows.transform(normalize_text, spec).transform(drop_copies, spec)
+    else:
+        rows = (
+            rows.transform(drop_null_keys, spec)
+            .transform(normalize_text, spec)
+            .transform(drop_copies, spec)
+            .transform(_sum_groups, spec)
+        )
+    return rows.transform(add_date, spec).transform(keep_columns, spec)
 
 
 def step_counts(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:

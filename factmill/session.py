@@ -15,6 +15,9 @@ def build_session(app_name: str = "factmill", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # rows to be de-duplicated are nearly all distinct, so a small first map in
+        # front of the aggregation map only costs a second lookup
+        "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
         # beyond this many rows an ordered limit sorts and spills instead of
         # keeping a heap per task
         "spark.sql.execution.topKSortFallbackThreshold": "1000000",
@@ -43,6 +46,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _settled_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/factmill-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -51,6 +58,13 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     pruning and filter pushdown for the readers.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_settled_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Delete the tables this application settled, once no plan reads them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(path, True)

@@ -567,6 +567,20 @@ SELECT round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM curve, whole
 WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
 UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE""",
         "sample_facts": sample_sql(),
+        "etl_run": f"""WITH {CLEAN}, unique_rows AS (SELECT DISTINCT * FROM normal),
+{grouped('unique_rows')} SELECT * FROM totals""",
+        "csv_round_trip": f"WITH {TOTALS} SELECT * FROM totals",
+        "export_round_trip": f"""WITH {TOTALS}
+SELECT borough AS "Borough", major_category AS "Major Category",
+       minor_category AS "Minor Category", CAST(year AS VARCHAR) AS "Year",
+       CAST(month AS VARCHAR) AS "Month",
+       CAST(CAST(total_crimes AS BIGINT) AS VARCHAR) AS "Total Crimes",
+       CAST(date AS VARCHAR) AS "Date" FROM totals""",
+        "run_log_round_trip": f"""WITH {RUNS}
+SELECT timestamp, demo_mode, records_initial, records_final, stage,
+       duration_s AS duration_seconds, records_in, staged.records_out
+FROM runs JOIN staged USING (day)""",
+        "streamed_rows": f"WITH {CLEAN} SELECT * FROM normal",
         "run_latest": f"""WITH {RUNS}
 SELECT '1.0' AS schema_version, timestamp, demo_mode, total_duration_seconds, records_initial,
        records_final, reduction_pct, completeness_pct, CAST(0 AS BIGINT) AS outliers_detected,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,9 +21,11 @@ from factmill.operators import (
     runlog,
 )
 from factmill.plans.dashboard import TAGS
+from factmill.plans.etl import run_etl
 from factmill.plans.training import train_and_evaluate
-from factmill.session import settle
-from factmill.sources import readers, sample
+from factmill.session import settle, shared_folder
+from factmill.sources import readers, sample, writers
+from factmill.streaming import rows as stream_rows
 from workload import tables
 from workload.tables import SPEC, TRAIN_UNTIL, YEARS
 
@@ -507,10 +510,10 @@ def roc_points(spark, folder):
     return evaluate.roc_points(settle(scores, "scores")).select("fpr", "tpr")
 
 
-def _trained(spark, folder):
+def _trained(spark, folder, store=None):
     # fewer and shallower trees than the default, for a forest that grows in seconds
     return train_and_evaluate(
-        totals(spark, folder), TRAIN_UNTIL, trees=10, max_depth=8, spec=SPEC
+        totals(spark, folder), TRAIN_UNTIL, trees=10, max_depth=8, folder=store, spec=SPEC
     )
 
 
@@ -522,9 +525,11 @@ def train_eval(spark, folder):
 
 @query
 def score_batch(spark, folder):
-    result = _trained(spark, folder)
+    """Every combination in the facts, scored by models stored and loaded again."""
+    store = _fresh_folder(spark)
+    _trained(spark, folder, store)
     rows = tables.facts(spark, folder).select(*SPEC.keys).distinct()
-    return models.score(rows, result.models, spec=SPEC)
+    return models.score(rows, models.load_models(spark, store), spec=SPEC)
 
 
 # --- sample table -----------------------------------------------------------
@@ -542,6 +547,60 @@ def sample_facts(spark, folder):
     return sample.inject_errors(made, every=1000)
 
 
+# --- sources and sinks ------------------------------------------------------
+
+
+def _fresh_folder(spark) -> str:
+    return f"{shared_folder(spark)}/factmill-trip-{uuid.uuid4().hex}"
+
+
+@query
+def etl_run(spark, folder):
+    """A whole run over the dirty rows; the totals as it stored them."""
+    dirty = tables.dirty_facts(spark, folder)
+    return run_etl(spark, _fresh_folder(spark), dirty, spec=SPEC).totals
+
+
+@query
+def csv_round_trip(spark, folder):
+    """The strict sink's CSV, read back with the known schema."""
+    paths = writers.save_strict(totals(spark, folder), _fresh_folder(spark), "totals", SPEC)
+    return readers.read_totals(spark, paths["csv"], SPEC)
+
+
+@query
+def export_round_trip(spark, folder):
+    """The quoted export, read back as text."""
+    export = aggregate.export_rows(totals(spark, folder), SPEC)
+    path = writers.export_csv(export, _fresh_folder(spark))
+    schema = ", ".join(f"`{c}` string" for c in export.columns)
+    return spark.read.schema(schema).csv(path, header=True, escape='"').na.fill("")
+
+
+@query
+def run_log_round_trip(spark, folder):
+    """Run records appended to the log in two parts and read back."""
+    made, log = tables.runs(spark, folder), _fresh_folder(spark)
+    early = F.col("timestamp") < "2024-01-16"
+    runlog.append_run(made.where(early), log)
+    runlog.append_run(made.where(~early), log)
+    return runlog.read_runs(spark, log).select(
+        "timestamp", "demo_mode", "records_initial", "records_final", F.inline("stages")
+    )
+
+
+@query
+def streamed_rows(spark, folder):
+    """The row-by-row steps over the raw snapshot read as a stream."""
+    trip = _fresh_folder(spark)
+    raw_path = writers.save_raw(tables.dirty_facts(spark, folder), trip, "raw")["parquet"]
+    schema = spark.read.parquet(raw_path).schema
+    cleaned = stream_rows.clean_stream(stream_rows.read_stream(spark, raw_path, schema), SPEC)
+    running = stream_rows.append_to(cleaned, f"{trip}/rows", f"{trip}/progress")
+    running.awaitTermination()
+    return spark.read.schema(cleaned.schema).parquet(f"{trip}/rows")
+
+
 # --- run log ----------------------------------------------------------------
 
 
