@@ -130,15 +130,17 @@ def score(
     """Score every row of a table (or stream) of dimensions, year and month.
 
     The dimensions are spelled as in training unless ``normalize_inputs`` is off;
-    a spelling not seen in training counts as unknown. Columns other than the
-    five inputs pass through.
+    a spelling not seen in training counts as unknown. All columns of the table
+    pass through as they were given.
     """
-    given = df.columns
-    rows = clean.normalize_text(df, spec) if normalize_inputs else df
+    given = {c: f"__given_{c}" for c in spec.dims}
+    rows = df.withColumns({kept: F.col(c) for c, kept in given.items()})
+    if normalize_inputs:
+        rows = clean.normalize_text(rows, spec)
     scored = models.apply(rows)
     estimate = at_least_zero(F.col("predicted"))
     return scored.select(
-        *given,
+        *[F.col(given.get(c, c)).alias(c) for c in df.columns],
         F.col("prediction").cast("int").alias("prediction"),
         half_even(probability_of("probability", 1), 4).alias("probability_high"),
         half_even(probability_of("probability", 0), 4).alias("probability_low"),

@@ -69,8 +69,14 @@ def read_totals(
 ) -> DataFrame:
     """The aggregated table from parquet or, by any other suffix, from CSV.
 
-    CSV is read with the known schema: inferring one would read the data twice.
+    CSV columns are found by the names in the header and cast to the known types:
+    inferring types would read the data twice, and a schema given to the reader
+    would be applied by position.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, schema=spec.processed_schema)
+    text = spark.read.csv(path, header=True)
+    types = {field.name: field.dataType for field in spec.processed_schema.fields}
+    return text.select(
+        *[F.col(c).try_cast(types[c]) if c in types else F.col(c) for c in text.columns]
+    ).toDF(*text.columns)
