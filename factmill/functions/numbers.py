@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F, types as T
 _PADDING = " \t\n\r\f\v"
 # a plain decimal number; leaves out forms only some parsers take, such as 1d or 0x1
 _NUMBER = (
-    r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+    r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\z"
 )
 
 

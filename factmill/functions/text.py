@@ -12,7 +12,8 @@ SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Words of ASCII letters with no letter after another mark, parted by blanks: here a
 # word starts only after a blank, and there is nothing to strip. Most values are so.
 _WORD = r"(?:[A-Za-z]+[!-@\[-`{-~]*|[!-@\[-`{-~]+)"
-_SIMPLE = f"^{_WORD}(?: +{_WORD})*$"
+# (\z, as $ would also match before a final line break)
+_SIMPLE = f"^{_WORD}(?: +{_WORD})*" + r"\z"
 
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 _BREAK = "\u0000 "

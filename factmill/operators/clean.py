@@ -7,6 +7,9 @@ a streaming table.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factmill.functions import dates, numbers, text
@@ -26,14 +29,17 @@ def standardize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def is_missing(df: DataFrame, column: str, spec: FactSpec = DEFAULT_SPEC) -> Column:
     """Null, NaN or, in a text column, exactly one of the null tokens."""
-    col, dtype = F.col(column), df.schema[column].dataType
-    if numbers.is_text(dtype):
-        return col.isNull() | col.isin(*spec.null_tokens)
-    if numbers.is_fraction(dtype):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+    col = F.col(column)
+    if numbers.is_text(df.schema[column].dataType) and spec.null_tokens:
+        tokens = ", ".join(_quoted(token) for token in spec.null_tokens)
+        return col.isNull() | F.expr(f"`{column}` IN ({tokens})")
+    return is_null(df, column)
 
 
 def is_null(df: DataFrame, column: str) -> Column:
@@ -46,11 +52,8 @@ def is_null(df: DataFrame, column: str) -> Column:
 
 def missing_critical(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> Column:
     """True where any critical column present in the table is missing."""
-    found = F.lit(False)
-    for column in spec.critical:
-        if column in df.columns:
-            found = found | is_missing(df, column, spec)
-    return found
+    found = [is_missing(df, c, spec) for c in spec.critical if c in df.columns]
+    return reduce(or_, found, F.lit(False))
 
 
 def drop_missing(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
@@ -59,10 +62,7 @@ def drop_missing(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     Tokens are compared before any trimming, and the minor category is not
     critical: an unknown minor stays.
     """
-    for column in spec.critical:
-        if column in df.columns:
-            df = df.where(~is_missing(df, column, spec))
-    return df
+    return df.where(~missing_critical(df, spec))
 
 
 def _once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -128,18 +128,17 @@ def keep_ranges(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     null. A null measure passes and adds nothing, unless the spec drops it.
     """
     year, month, measure = F.col(spec.year), F.col(spec.month), F.col(spec.measure)
+    kept = []
     if spec.month in df.columns:
-        df = df.where(month.isNull() | month.between(spec.month_min, spec.month_max))
+        kept.append(month.isNull() | month.between(spec.month_min, spec.month_max))
     if spec.year in df.columns:
-        df = df.where(
-            year.isNull() | year.between(F.lit(spec.year_min), latest_year(spec))
-        )
+        kept.append(year.isNull() | year.between(F.lit(spec.year_min), latest_year(spec)))
     if spec.measure in df.columns:
-        keep = measure >= 0
+        valid = measure >= 0
         if spec.null_measure == "keep":
-            keep = keep | measure.isNull()
-        df = df.where(keep)
-    return df
+            valid = valid | measure.isNull()
+        kept.append(valid)
+    return df.where(reduce(and_, kept)) if kept else df
 
 
 def normalize_text(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
@@ -181,9 +180,7 @@ def drop_copies(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
 
 def drop_null_keys(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     """Keep rows whose keys are all present."""
-    for key in spec.keys:
-        df = df.where(F.col(key).isNotNull())
-    return df
+    return df.where(reduce(and_, [F.col(key).isNotNull() for key in spec.keys]))
 
 
 def total_by_keys(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
@@ -287,9 +284,7 @@ def step_counts(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     # rows on their way out need no other column, so they collapse before the shuffle
     rows = normal.select("__step", *[F.when(kept, F.col(c)).alias(c) for c in columns])
     per_row = rows.groupBy("__step", *columns).agg(F.count("*").alias("__n"))
-    null_key = F.lit(False)
-    for key in spec.keys:
-        null_key = null_key | F.col(key).isNull()
+    null_key = reduce(or_, [F.col(key).isNull() for key in spec.keys])
     per_key = (
         per_row.withColumn("__null_key", kept & null_key)
         .groupBy("__step", "__null_key", *spec.keys)

@@ -18,7 +18,7 @@ from factmill.functions import numbers
 from factmill.session import settle
 
 # distinct values one task may order; above it the values are cut into ranges
-RANGE_ROWS = 250_000
+RANGE_ROWS = 1_000_000
 # the cut points go through the driver, so their number is bounded
 MAX_RANGES = 2_000
 
@@ -39,17 +39,14 @@ def value_counts(df: DataFrame, value: str, **sums: Column) -> DataFrame:
 
 def _cut_points(counts: DataFrame, range_rows: int) -> tuple[int, int, list[float]]:
     """Distinct values, rows, and inner cut points (none for a small table)."""
-    distinct, rows = counts.agg(
-        F.count("*"), F.coalesce(F.sum("n"), F.lit(0))
-    ).first()
+    distinct, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = min(MAX_RANGES, ceil(distinct / range_rows))
     if parts <= 1:
         return distinct, rows, []
     shares = [i / parts for i in range(1, parts)]
-    cuts = counts.agg(
-        F.percentile_approx(F.col("value").cast("double"), shares, 20_000)
-    ).first()[0]
-    return distinct, rows, sorted(set(cuts))
+    # good to a tenth of a range, which is all that balance needs
+    points = F.percentile_approx(F.col("value").cast("double"), shares, max(100, 10 * parts))
+    return distinct, rows, sorted(set(counts.agg(points).first()[0]))
 
 
 def _with_range(counts: DataFrame, cuts: list[float]) -> DataFrame:

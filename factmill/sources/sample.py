@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -78,46 +80,37 @@ def sample_facts(
     digest = F.sha2(
         F.concat(F.lit(f"{seed}:"), row_id.cast("string")).cast("binary"), 256
     )
-    # the digest is projected on its own, so one hash serves all draws of a row
-    drawn = ids.select(
-        row_id.alias("id"),
-        digest.alias("__digest"),
-        districts.alias("__districts"),
-        categories.alias("__categories"),
+    # the digest, then its draws, are projected on their own: each is made once a row
+    hashed = ids.select(row_id.alias("id"), digest.alias("__digest"))
+    draws = [
+        F.conv(F.substring("__digest", 1 + place * _DIGITS, _DIGITS), 16, 10)
+        .cast("bigint")
+        .alias(f"__draw{place}")
+        for place in range(7)
+    ]
+    place_d, place_c, minor_d, area_d, value_d, year_d, month_d = (
+        F.col(f"__draw{place}") for place in range(7)
     )
 
-    def draw(place: int) -> Column:
-        digits = F.substring("__digest", 1 + place * _DIGITS, _DIGITS)
-        return F.conv(digits, 16, 10).cast("bigint")
-
-    def pick(place: int, size: Column | int) -> Column:
-        return F.pmod(draw(place), F.lit(size) if isinstance(size, int) else size)
-
-    steps = F.array(*[F.lit(s) for s in poisson_steps(mean)])
-    share = draw(4) / F.lit(float(_RANGE))
-    category = F.get("__categories", pick(1, F.size("__categories")).cast("int"))
-    area = F.lit(area_start) + pick(3, area_stop - area_start)
-    return (
-        drawn.withColumn("__category", category)
-        .select(
-            "id",
-            F.concat(F.lit("E010"), F.lpad(area.cast("string"), 5, "0")).alias("lsoa_code"),
-            F.get("__districts", pick(0, F.size("__districts")).cast("int")).alias(
-                spec.district
-            ),
-            F.col("__category.major").alias(spec.major),
-            F.get(
-                "__category.minors", pick(2, F.size("__category.minors")).cast("int")
-            ).alias(spec.minor),
-            F.size(F.filter(steps, lambda s: s <= share)).cast("bigint").alias(spec.measure),
-            F.get(
-                F.array(*[F.lit(y).cast("bigint") for y in years]),
-                pick(5, len(years)).cast("int"),
-            ).alias(spec.year),
-            (F.lit(spec.month_min) + pick(6, spec.month_max - spec.month_min + 1))
-            .cast("bigint")
-            .alias(spec.month),
-        )
+    def pick(draw: Column, pool: Column) -> Column:
+        return F.get(pool, F.pmod(draw, F.size(pool)).cast("int"))
+
+    def between(draw: Column, low: int, high: int) -> Column:
+        return F.lit(low) + F.pmod(draw, F.lit(high - low))
+
+    category = pick(place_c, categories)
+    steps = [F.lit(int(step * _RANGE)) for step in poisson_steps(mean)]
+    passed = [(value_d > step).cast("bigint") for step in steps]
+    area = F.lpad(between(area_d, area_start, area_stop).cast("string"), 5, "0")
+    return hashed.select("id", *draws).select(
+        "id",
+        F.concat(F.lit("E010"), area).alias("lsoa_code"),
+        pick(place_d, districts).alias(spec.district),
+        category["major"].alias(spec.major),
+        pick(minor_d, category["minors"]).alias(spec.minor),
+        reduce(add, passed).alias(spec.measure),
+        pick(year_d, F.array(*[F.lit(y).cast("bigint") for y in years])).alias(spec.year),
+        between(month_d, spec.month_min, spec.month_max + 1).cast("bigint").alias(spec.month),
     )
 
 

@@ -56,7 +56,7 @@ def test_tokens_are_compared_before_trimming_and_not_on_minors(spark):
         ("1e3", 1000.0, 1000), ("nan", None, None), ("1d", None, None), ("0x1A", None, None),
         ("1_000", None, None), ("", None, None), ("+5", 5.0, 5), ("5.", 5.0, 5), (".5", 0.5, None),
         ("-7\t", -7.0, -7), ("1,000", None, None), ("--1", None, None), (None, None, None),
-        ("inf", float("inf"), None), ("12345678901234", 12345678901234.0, 12345678901234),
+        ("inf", float("inf"), None), ("5\u2028", None, None), ("5.0\u2028", None, None), ("12345678901234", 12345678901234.0, 12345678901234),
     ],
 )
 def test_text_numbers(spark, given_text, number, whole):
@@ -92,7 +92,7 @@ ALPHABET = "abcXYZ 09/-'.,_#()éÉñ中ª\u0000\t\n 　"
 
 
 @settings(
-    max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(st.lists(st.text(ALPHABET, max_size=12), min_size=1, max_size=40))
 def test_title_case_and_strip_agree_with_python(spark, values):

@@ -265,7 +265,7 @@ def draw(place: int) -> str:
 
 
 def sample_sql() -> str:
-    steps = ", ".join(f"{s!r}::DOUBLE" for s in poisson_steps(fixed.SAMPLE_MEAN))
+    steps = ", ".join(str(int(s * 2**32)) for s in poisson_steps(fixed.SAMPLE_MEAN))
     years = ", ".join(str(y) for y in fixed.SAMPLE_YEARS)
     span = fixed.SAMPLE_AREA_STOP - fixed.SAMPLE_AREA_START
     return f"""
@@ -282,7 +282,7 @@ made AS (
     'E010' || lpad(CAST({fixed.SAMPLE_AREA_START} + {draw(3)} % {span} AS VARCHAR), 5, '0') AS lsoa_code,
     names[1 + {draw(0)} % len(names)] AS borough, category.major AS major_category,
     category.minors[1 + {draw(2)} % len(category.minors)] AS minor_category,
-    CAST(len(list_filter([{steps}], lambda s: s <= {draw(4)} / 4294967296.0::DOUBLE)) AS BIGINT) AS value,
+    CAST(len(list_filter([{steps}], lambda s: s < {draw(4)})) AS BIGINT) AS value,
     CAST([{years}][1 + {draw(5)} % {len(fixed.SAMPLE_YEARS)}] AS BIGINT) AS year,
     CAST(1 + {draw(6)} % 12 AS BIGINT) AS month
   FROM drawn)
