@@ -36,8 +36,7 @@ QUARTILE_HIGH = 0.75
 REPORT_LOW = 0.05
 REPORT_HIGH = 0.95
 
-# Scan, load and snapshot settings.
-ROW_CAP = 3_000_000
+# Load, page and snapshot settings.
 LOAD_BATCH = 1_000
 PAGE_ROWS = (25, 50, 100)
 SNAPSHOT_CODEC = "snappy"
@@ -141,7 +140,7 @@ STAGE_INGEST = "ingesta"
 STAGE_CLEAN = "limpieza"
 STAGE_VALIDATE = "validacion"
 STAGE_SAVE = "guardado"
-STAGE_LOAD = "carga_supabase"
+STAGE_LOAD = "carga"
 STAT_RAW = "crudos"
 STAT_AGGREGATED = "agregacion"
 STAT_TOTAL = "total_crimenes"

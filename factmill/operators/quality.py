@@ -88,30 +88,35 @@ def range_violations(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def _type_faults(df: DataFrame, amount: str, spec: FactSpec) -> int:
-    """Columns present whose type does not fit their role; needs no job."""
-    faults = 0
-    for field in df.schema.fields:
-        kind = field.dataType
-        if field.name in (spec.year, spec.month):
-            faults += not isinstance(kind, T.IntegralType)
-        elif field.name == amount:
-            faults += not isinstance(kind, T.NumericType)
-        elif field.name == spec.date:
-            faults += not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        elif field.name in spec.dims:
-            faults += not numbers.is_text(kind)
-    return faults
+def _type_faults(df: DataFrame, processed: bool, spec: FactSpec) -> int:
+    """Columns present whose type does not fit their role; needs no job.
+
+    The dimensions are looked at in a raw table only, where the measure has to be
+    a fraction; a total may be any number.
+    """
+    fits = {spec.year: T.IntegralType, spec.month: T.IntegralType}
+    if processed:
+        fits[spec.total] = T.NumericType
+        fits[spec.date] = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    else:
+        fits[spec.measure] = (T.DoubleType, T.FloatType)
+        fits |= dict.fromkeys(spec.dims, (T.StringType, T.CharType, T.VarcharType))
+    kinds = {field.name: field.dataType for field in df.schema.fields}
+    return sum(not isinstance(kinds[c], kind) for c, kind in fits.items() if c in kinds)
 
 
 def quality_report(
-    df: DataFrame, contract: str = "processed", spec: FactSpec = DEFAULT_SPEC
+    df: DataFrame,
+    contract: str = "processed",
+    spec: FactSpec = DEFAULT_SPEC,
+    only_hard: bool = False,
 ) -> DataFrame:
     """One row per rule: ``rule, severity, passed, observed, detail``.
 
     ``contract`` says what the table should be: ``processed`` (dated totals) or
     ``raw``. One pass groups by whole row and then by key, carrying every counter
-    along; so copies, key duplicates and values are checked by a single scan.
+    along; so copies, key duplicates and values are checked by a single scan. The
+    hard rules need no whole rows, so ``only_hard`` groups by key alone.
     """
     if contract not in ("processed", "raw"):
         raise ValueError(f"contract must be 'processed' or 'raw', not {contract!r}")
@@ -125,20 +130,23 @@ def quality_report(
     rules: list[tuple[str, str, Column, Column]] = []
 
     def rule(name: str, level: str, observed: Column, detail: Column | None = None):
-        rules.append((name, level, observed, F.lit("") if detail is None else detail))
+        if level == HARD or not only_hard:
+            detail = F.lit("") if detail is None else detail
+            rules.append((name, level, observed, detail))
 
     rule("required_columns", severity, F.lit(len(absent)), F.lit(", ".join(absent)))
-    rule("column_types", severity, F.lit(_type_faults(df, amount, spec)))
+    rule("column_types", severity, F.lit(_type_faults(df, processed, spec)))
 
     flags: dict[str, Column] = {}
     core = [spec.district, spec.year, spec.month, spec.total] if processed else []
     for column in core:
         if column in has:
             flags[f"core_{column}"] = is_null(df, column)
-    for column in [spec.district, spec.major, amount, spec.year, spec.month]:
-        if column in has:
-            flags[f"nulls_{column}"] = is_null(df, column)
-    if spec.year in has:
+    if not only_hard:
+        for column in [spec.district, spec.major, amount, spec.year, spec.month]:
+            if column in has:
+                flags[f"nulls_{column}"] = is_null(df, column)
+    if processed and spec.year in has:
         flags["low_year"] = F.col(spec.year) < spec.year_min
     if spec.month in has:
         flags["bad_month"] = bad_month(spec)
@@ -146,16 +154,18 @@ def quality_report(
         flags["negative"] = F.col(amount) < 0
 
     keys = [c for c in spec.keys if c in has]
-    per_row = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
-    # counted per distinct row, weighted by its copies
-    n = F.col("__n")
-    per_key = per_row.groupBy(*keys).agg(
+    if only_hard:
+        rows, n = df, F.lit(1)
+    else:
+        # counted per distinct row, weighted by its copies
+        rows, n = df.groupBy(*df.columns).agg(F.count("*").alias("__n")), F.col("__n")
+    per_key = rows.groupBy(*keys).agg(
         F.sum(n).alias("__rows"),
         F.count("*").alias("__distinct"),
         *[F.sum(F.when(c, n).otherwise(F.lit(0))).alias(f) for f, c in flags.items()],
     )
     spans = []
-    if spec.year in has:
+    if spec.year in has and not only_hard:
         spans = [
             F.min(spec.year).alias("__year_min"),
             F.max(spec.year).alias("__year_max"),
@@ -221,9 +231,9 @@ def check(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> bool:
     absent = missing_columns(df, spec.processed_columns)
     if absent:
         raise QualityError(f"missing columns: {absent}")
-    if _type_faults(df, spec.total, spec):
+    if _type_faults(df, True, spec):
         raise QualityError(f"unexpected column types: {df.schema.simpleString()}")
-    enforce(quality_report(df, "processed", spec))
+    enforce(quality_report(df, "processed", spec, only_hard=True))
     return True
 
 

@@ -35,37 +35,41 @@ def run_etl(
     db_url: str | None = None,
     db_table: str = "facts_aggregated",
     db_mode: str = "replace",
+    keep_raw: bool = True,
     spec: FactSpec = DEFAULT_SPEC,
 ) -> EtlResult:
     """Run the whole chain and return its result. Without ``raw`` the sample table
     is used and the run is marked a demo.
 
-    The raw table is read twice, to snapshot and to clean, and counted while the
-    snapshot is written. The totals are written once; every later stage scans that
-    output. A failing stage raises; only a failed database load is logged and
-    counted as a warning.
+    The raw table is counted while it is written to the snapshot, and cleaned from
+    there; with ``keep_raw`` off there is no snapshot, and it is counted while it is
+    cleaned. The totals are written once; every later stage scans that output. A
+    failing stage raises; only a failed database load is logged and counted as a
+    warning.
     """
     demo = raw is None
     record = runlog.RunLog(demo)
     paths: dict[str, dict[str, str]] = {}
 
+    source = sample_table(spark, spec=spec) if demo else raw
+    seen = Observation("raw")
+    counted = source.observe(seen, F.count(F.lit(1)).alias("rows"))
     with record.stage(fixed.STAGE_INGEST) as stage:
-        source = sample_table(spark, spec=spec) if demo else raw
-        seen = Observation("raw")
-        counted = source.observe(seen, F.count(F.lit(1)).alias("rows"))
-        paths["raw"] = writers.save_raw(counted, f"{out}/raw", name)
-        stage["records_out"] = record.records_initial = seen.get["rows"]
-
-    with record.stage(fixed.STAGE_CLEAN, record.records_initial) as stage:
-        # from the snapshot: the source itself is asked only once
-        snapshot = readers.scan(spark, paths["raw"]["parquet"], schema=source.schema)
+        if keep_raw:
+            paths["raw"] = writers.save_raw(counted, f"{out}/raw", name)
+            stage["records_out"] = seen.get["rows"]
+            # from the snapshot: the source itself is asked only once
+            counted = readers.scan(spark, paths["raw"]["parquet"], schema=source.schema)
+
+    with record.stage(fixed.STAGE_CLEAN) as stage:
+        cleaned = clean.clean(counted, spec)
         made = Observation("totals")
-        cleaned = clean.clean(snapshot, spec)
         checked = cleaned.observe(made, F.count(F.lit(1)).alias("rows"))
         paths["processed"] = writers.save_processed(
             checked, f"{out}/processed", name, ["parquet"], spec
         )
         totals = spark.read.schema(cleaned.schema).parquet(paths["processed"]["parquet"])
+        stage["records_in"] = record.records_initial = seen.get["rows"]
         stage["records_out"] = record.records_final = made.get["rows"]
 
     with record.stage(fixed.STAGE_VALIDATE):

@@ -11,14 +11,15 @@ from factmill.spec import DEFAULT_SPEC, FactSpec
 
 def scan(
     spark: SparkSession,
-    path: str,
+    path: str | None,
     fmt: str = "parquet",
     schema: T.StructType | str | None = None,
     row_cap: int | None = None,
     cap_order: Sequence[str] | None = None,
     **options: str,
 ) -> DataFrame:
-    """All columns of a stored table, at most ``row_cap`` rows if given.
+    """All columns of a stored table (without a ``path``, of what the format's
+    options name), at most ``row_cap`` rows if given.
 
     With ``cap_order`` the first rows in that order are kept; it must tell rows
     apart for the result to be fixed. Without it a parquet table is capped by file

@@ -22,7 +22,7 @@ def test_demo_run(spark, tmp_path):
     assert run["demo_mode"] and not result.loaded
     assert run["records_initial"] == 150 and run["records_final"] == result.totals.count()
     assert [s["stage"] for s in run["stages"]] == [
-        "ingesta", "limpieza", "validacion", "guardado", "carga_supabase"]
+        "ingesta", "limpieza", "validacion", "guardado", "carga"]
     assert run["stages"][1]["records_in"] == 150
     assert run["completeness_pct"] == 100.0
     for kind in ("parquet", "csv"):
@@ -39,6 +39,14 @@ def test_run_on_a_table(spark, raw_dirty, tmp_path):
     assert spark.read.parquet(result.paths["raw"]["parquet"]).count() == 6
 
 
+def test_run_without_raw_snapshot(spark, raw_dirty, tmp_path):
+    result = etl.run_etl(spark, str(tmp_path), raw_dirty, keep_raw=False)
+    run = result.run.first()
+    assert "raw" not in result.paths and not os.path.exists(tmp_path / "raw")
+    assert (run["records_initial"], run["records_final"]) == (6, 3)
+    assert [s["records_in"] for s in run["stages"]][:2] == [None, 6]
+
+
 def test_failed_load_is_a_warning(spark, raw_dirty, tmp_path):
     result = etl.run_etl(spark, str(tmp_path), raw_dirty, db_url="jdbc:nosuchdriver:x")
     assert not result.loaded and result.run.first()["warnings_count"] == 1

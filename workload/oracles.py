@@ -184,8 +184,9 @@ def quality(source: str, amount: str, processed: bool, ctes: str) -> str:
                 "''",
             )
         )
+    if processed:
+        rules.append(("year_range", level, tally(source, "year < 1990"), "''"))
     rules += [
-        ("year_range", level, tally(source, "year < 1990"), "''"),
         ("month_range", level, tally(source, "month NOT BETWEEN 1 AND 12"), "''"),
         ("no_negatives", level, tally(source, f"{amount} < 0"), "''"),
     ]
