@@ -15,6 +15,10 @@ def build_session(app_name: str = "factmill", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # a whole cleaning chain is one generated method; let the JVM compile it even
+        # when views below it make it long
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         # rows to be de-duplicated are nearly all distinct, so a small first map in
         # front of the aggregation map only costs a second lookup
         "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",

@@ -19,15 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _star(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with the nation of their supplier and the kind of their part.
 
-    No join is hinted: the optimizer broadcasts a side only if its size allows.
+    No join is hinted: the optimizer broadcasts a side only if its size allows. The
+    lines come first, so a side's size is known and not guessed from another join.
     """
     lines = table(spark, folder, "lineitem")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     parts = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
-    places = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return lines.join(places, F.col("l_suppkey") == F.col("s_suppkey")).join(
-        parts, F.col("l_partkey") == F.col("p_partkey")
+    return (
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
 
 
