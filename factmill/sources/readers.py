@@ -60,8 +60,9 @@ def first_rows(df: DataFrame, rows: int) -> DataFrame:
         return df
     kept = last["n"] - (last["end"] - rows)
     position = F.col("_metadata.row_index")
-    return df.where(
-        (place < last["file"]) | ((place == last["file"]) & (position < kept))
+    # the first filter is on the file alone, so the scan drops files by it
+    return df.where(place <= last["file"]).where(
+        (place < last["file"]) | (position < kept)
     )
 
 

@@ -189,6 +189,32 @@ def test_cleaning_does_not_depend_on_partitions(spark, raw_dirty):
         assert rows(clean.clean(big.repartition(parts))) == expected
 
 
+def test_totals_add_up_to_the_surviving_measures(spark, raw_dirty):
+    big = raw_dirty.crossJoin(spark.range(30).withColumnRenamed("id", "copy"))
+    kept = clean.drop_copies(clean.clean_rows(big)).where("minor_category IS NOT NULL")
+    total = clean.clean(big).agg(F.sum("total_crimes")).first()[0]
+    assert total == kept.agg(F.sum("value")).first()[0]
+
+
+def test_cleaning_its_own_output_changes_nothing(raw_dirty):
+    once = clean.clean(raw_dirty)
+    again = clean.clean(once.withColumnRenamed("total_crimes", "value"))
+    assert rows(again) == rows(once)
+
+
+def test_hot_key_and_hot_copies(spark):
+    # a third of the rows are copies of one row, a third more share its key
+    df = spark.range(3000).selectExpr(
+        "'Camden' AS borough", "'Theft' AS major_category",
+        "IF(id % 3 < 2, 'Bicycle', concat('M', id)) AS minor_category",
+        "IF(id % 3 = 0, 7D, double(id % 5)) AS value", "2016L AS year", "1L AS month",
+        "IF(id % 3 = 0, 'E1', concat('E', id)) AS lsoa_code",
+    )
+    got = {r["minor_category"]: r["total_crimes"] for r in clean.clean(df).collect()}
+    assert len(got) == 1001
+    assert got["Bicycle"] == 7 + sum(i % 5 for i in range(3000) if i % 3 == 1)
+
+
 def test_empty_table(spark, raw_dirty):
     assert clean.clean(raw_dirty.where(F.lit(False))).collect() == []
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factmill import FactSpec, fixed_values as fixed
 from factmill.operators import aggregate, clean
-from factmill.session import settle
+from factmill.session import clear_settled, settle, shared_folder
 from factmill.sources import dimensions, jdbc, readers, sample, writers
 
 SPEC = FactSpec()
@@ -26,12 +26,58 @@ def test_cap_by_position(spark, tmp_path):
     assert [r[0] for r in ordered.collect()] == [0, 1, 2, 3, 4]
 
 
+def files_read(df):
+    """Files the scan of a plan opened."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    plans, found = [execution.executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        if plan.metrics().contains("numFiles"):
+            found.append(plan.metrics().apply("numFiles").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum(found)
+
+
 def test_cap_reads_no_file_past_the_end(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(1000).repartition(5).write.parquet(path)
-    capped = readers.scan(spark, path, row_cap=10)
-    used = capped.select(F.input_file_name().alias("f")).distinct().count()
-    assert used == 1
+    assert files_read(spark.read.parquet(path)) == 5
+    assert files_read(readers.scan(spark, path, row_cap=10)) == 1
+    assert files_read(readers.scan(spark, path, row_cap=250)) == 2
+
+
+class NoFolderSession:
+    """As much of a session as names no shared folder."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.conf, self.settings = self, {}
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+    def set(self, key, value):
+        self.settings[key] = value
+
+
+def test_shared_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_folder(spark) == named.rstrip("/")
+    local = NoFolderSession("local[2]")
+    assert shared_folder(local) == shared_folder(local) and os.path.isdir(shared_folder(local))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(NoFolderSession("spark://host:7077"))
+
+
+def test_settled_tables_can_be_cleared(spark):
+    table = settle(spark.range(10))
+    (file, *_) = table.inputFiles()
+    path = file.removeprefix("file://")
+    assert os.path.exists(path)
+    clear_settled(spark)
+    assert not os.path.exists(path)
 
 
 def test_strict_save_and_read(spark, clean_small, tmp_path):
