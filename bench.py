@@ -43,6 +43,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": "8g",
+            "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods -XX:+UseParallelGC",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -33,13 +33,29 @@ def poisson_steps(mean: float) -> list[float]:
     return steps
 
 
-def category_pool(categories: DataFrame, major: str, minor: str) -> Column:
-    """Sorted ``array<struct<major, minors>>`` of a category table, as a scalar.
+# entries of a pool: it goes into each task as one value
+MAX_POOL = 100_000
 
-    The vocabulary of categories goes into each task as one value.
-    """
-    minors = F.sort_array(F.collect_set(minor)).alias("minors")
-    per_major = categories.groupBy(F.col(major).alias("major")).agg(minors)
+
+def _small(entries: DataFrame) -> DataFrame:
+    if entries.limit(MAX_POOL + 1).count() > MAX_POOL:
+        raise ValueError(f"more than {MAX_POOL} entries to draw from")
+    return entries
+
+
+def value_pool(df: DataFrame, column: str) -> Column:
+    """Sorted array of the distinct values of a column, as a scalar."""
+    values = _small(df.select(column).where(F.col(column).isNotNull()).distinct())
+    return values.agg(F.sort_array(F.collect_list(column)).alias("pool")).scalar()
+
+
+def category_pool(categories: DataFrame, major: str, minor: str) -> Column:
+    """Sorted ``array<struct<major, minors>>`` of a category table, as a scalar."""
+    pairs = _small(
+        categories.select(F.col(major).alias("major"), F.col(minor).alias("minor")).distinct()
+    )
+    minors = F.sort_array(F.collect_list("minor")).alias("minors")
+    per_major = pairs.groupBy("major").agg(minors)
     pool = F.sort_array(F.collect_list(F.struct("major", "minors")))
     return per_major.agg(pool.alias("pool")).scalar()
 

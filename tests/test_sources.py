@@ -161,6 +161,15 @@ def test_sample_distribution(spark):
     assert clean.clean(sample.sample_table(spark)).count() > 100
 
 
+def test_pools_are_bounded(spark, monkeypatch):
+    df = spark.range(6).selectExpr("id % 2 AS a", "id AS b")
+    monkeypatch.setattr(sample, "MAX_POOL", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        sample.category_pool(df, "a", "b")
+    got = spark.range(1).select(sample.value_pool(df, "a").alias("p")).first()["p"]
+    assert got == [0, 1]
+
+
 def test_poisson_steps():
     steps = sample.poisson_steps(15)
     assert steps == sorted(steps) and steps[-1] < 1 and 1 - steps[-1] < 1e-8

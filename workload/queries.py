@@ -539,9 +539,8 @@ def score_batch(spark, folder):
 def sample_facts(spark, folder):
     """A generated row per order, from the nations and part kinds in the tables."""
     orders = tables.table(spark, folder, "orders")
-    nations = tables.table(spark, folder, "nation")
-    parts = tables.table(spark, folder, "part").select("p_type", "p_brand").distinct()
-    districts = nations.agg(F.sort_array(F.collect_set("n_name")).alias("names")).scalar()
+    districts = sample.value_pool(tables.table(spark, folder, "nation"), "n_name")
+    parts = tables.table(spark, folder, "part")
     pool = sample.category_pool(parts, "p_type", "p_brand")
     made = sample.sample_facts(orders, "o_orderkey", districts, pool)
     return sample.inject_errors(made, every=1000)
