@@ -26,7 +26,7 @@ def standardize_names(df: DataFrame) -> DataFrame:
     clashes = sorted({n for n in names if names.count(n) > 1})
     if clashes:
         raise ValueError(f"columns with the same standard name: {clashes}")
-    return df.toDF(*names)
+    return df if names == df.columns else df.toDF(*names)
 
 
 def _quoted(value: str) -> str:
@@ -83,17 +83,18 @@ def cast_columns(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     reach the scan.
     """
     plain, parsed = {}, {}
+    kinds = {field.name: field.dataType for field in df.schema.fields}
     for column in (spec.year, spec.month):
-        if column in df.columns:
-            dtype = df.schema[column].dataType
-            chosen = plain if isinstance(dtype, T.IntegralType) else parsed
-            chosen[column] = numbers.to_whole(F.col(column), dtype, spec.strict_whole)
-    if spec.measure in df.columns:
-        dtype = df.schema[spec.measure].dataType
-        chosen = parsed if numbers.is_text(dtype) else plain
-        chosen[spec.measure] = numbers.to_number(F.col(spec.measure), dtype)
+        kind = kinds.get(column, T.LongType())
+        if not isinstance(kind, T.LongType):
+            chosen = plain if isinstance(kind, T.IntegralType) else parsed
+            chosen[column] = numbers.to_whole(F.col(column), kind, spec.strict_whole)
+    if spec.measure in kinds:
+        kind = kinds[spec.measure]
+        chosen = parsed if numbers.is_text(kind) else plain
+        chosen[spec.measure] = numbers.to_number(F.col(spec.measure), kind)
     for column in spec.dims:
-        if column in df.columns:
+        if not numbers.is_text(kinds.get(column, T.StringType())):
             plain[column] = F.col(column).cast("string")
     if plain:
         df = df.withColumns(plain)
