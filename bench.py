@@ -20,7 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from factmill.operators import aggregate, clean, features, outliers, quality  # noqa: E402
 from factmill.plans.dashboard import TAGS  # noqa: E402
-from factmill.session import build_session, clear_settled, settle, shared_folder  # noqa: E402
+from factmill.session import build_session, clear_settled, settle, settled_folder  # noqa: E402
 from factmill.sources import writers  # noqa: E402
 from workload import tables  # noqa: E402
 from workload.queries import REGISTRY  # noqa: E402
@@ -60,7 +60,7 @@ def main() -> None:
     )
     totals = settle(clean.clean(raw, SPEC), "totals")
     rows, groups, larger_rows = raw.count(), totals.count(), larger.count()
-    out = f"{shared_folder(spark)}/factmill-{spark.sparkContext.applicationId}/bench"
+    out = f"{settled_folder(spark)}/bench"
 
     timed = {
         "clean_and_total": lambda: run(clean.clean(raw, SPEC)),

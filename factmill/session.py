@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,23 +33,18 @@ def build_session(app_name: str = "factmill", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Only where the session names none (a local run) is a fresh folder made, and
-    remembered in the session so that later calls use the same one.
+    Both are shared by driver and executors on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = spark.conf.get("factmill.local.folder", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="factmill-")
-        spark.conf.set("factmill.local.folder", folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_factmill"
     return folder.rstrip("/")
 
 
-def _settled_folder(spark: SparkSession) -> str:
+def settled_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one; ``clear_settled`` deletes it."""
     return f"{shared_folder(spark)}/factmill-{spark.sparkContext.applicationId}"
 
 
@@ -62,13 +56,13 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     pruning and filter pushdown for the readers.
     """
     spark = df.sparkSession
-    path = f"{_settled_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{settled_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_settled(spark: SparkSession) -> None:
     """Delete the tables this application settled, once no plan reads them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(settled_folder(spark))
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.delete(path, True)

@@ -50,9 +50,9 @@ def test_cap_reads_no_file_past_the_end(spark, tmp_path):
 class NoFolderSession:
     """As much of a session as names no shared folder."""
 
-    def __init__(self, master):
-        self.sparkContext = type("Context", (), {"master": master})()
-        self.conf, self.settings = self, {}
+    def __init__(self):
+        self.conf = self
+        self.settings = {"spark.sql.warehouse.dir": "hdfs://store/warehouse"}
 
     def get(self, key, default=None):
         return self.settings.get(key, default)
@@ -65,10 +65,10 @@ def test_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert shared_folder(spark) == named.rstrip("/")
-    local = NoFolderSession("local[2]")
-    assert shared_folder(local) == shared_folder(local) and os.path.isdir(shared_folder(local))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(NoFolderSession("spark://host:7077"))
+    session = NoFolderSession()
+    assert shared_folder(session) == "hdfs://store/warehouse/_factmill"
+    session.settings["spark.checkpoint.dir"] = "hdfs://store/checkpoints/"
+    assert shared_folder(session) == "hdfs://store/checkpoints"
 
 
 def test_settled_tables_can_be_cleared(spark):

@@ -23,7 +23,7 @@ from factmill.operators import (
 from factmill.plans.dashboard import TAGS
 from factmill.plans.etl import run_etl
 from factmill.plans.training import train_and_evaluate
-from factmill.session import settle, shared_folder
+from factmill.session import settle, settled_folder
 from factmill.sources import readers, sample, writers
 from factmill.streaming import rows as stream_rows
 from workload import tables
@@ -550,7 +550,7 @@ def sample_facts(spark, folder):
 
 
 def _fresh_folder(spark) -> str:
-    return f"{shared_folder(spark)}/factmill-trip-{uuid.uuid4().hex}"
+    return f"{settled_folder(spark)}/trip-{uuid.uuid4().hex}"
 
 
 @query
