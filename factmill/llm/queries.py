@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm import bpe, fingerprints, secrets, shards
+from factmill.llm import bpe, fingerprints, jaccard, packing, secrets, shards, tokenfiles, toxicity
 from factmill.session import settle
 
 ORACLES: dict[str, str] = {}
@@ -125,12 +125,42 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_count_vector_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles link at 0.9."""
+    docs = table(spark, folder, "documents")
+    return jaccard.jaccard_groups(docs, size=3, percent=90).drop("row")
+
+
+def op6_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4,096 ids, filled with lexical neighbours."""
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def op8_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document; every fifth by checksum is held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat files of the ids of all documents."""
+    places = tokenfiles.write_token_files(table(spark, folder, "documents"))
+    counted = tokenfiles.count_tokens(places, width=2)
+    return places.join(counted, ["file", "place"]).select("doc_id", "n_tokens", "place")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_count_vector_rtree,
         op3_byte_bpe,
         op5_secrets,
+        op6_retrieval_packing,
         op7_shuffled_shards,
+        op8_convolutional_toxicity,
+        op9_separator_scan,
         op10_multiset_fingerprints,
     )
 }
