@@ -11,15 +11,15 @@ therefore those of the halves, and so are their ids. Decoding concatenates up th
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LEAF = 1024
@@ -96,58 +96,57 @@ def coder(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> ByteBp
     return _open[path, pattern]
 
 
-def _with_column(df: DataFrame, name: str, source: str, function: Callable) -> DataFrame:
-    """``df`` with a binary column made of ``source``; a column of that name is replaced."""
-    kept = [c for c in df.columns if c.lower() != name.lower()]
-    aside = "_source"
-    while aside.lower() in {c.lower() for c in df.columns}:
-        aside += "_"
-    asked = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{source}`"].alias(aside))
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.BinaryType())])
+def _coded(values: list, function: Callable, kind: pa.DataType) -> pa.Array:
+    return pa.array([function(value) for value in values], kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(len(kept)).to_pylist()
-            made = pa.array([function(v) for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], made], [*kept, name])
 
-    return asked.mapInArrow(run, schema)
+def encode(text: Column | str, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """The ids of a text as little-endian unsigned 32-bit integers, a binary value.
 
+    A null or empty text has no ids (an empty value).
+    """
 
-def encode(
-    df: DataFrame,
-    text: str = "text",
-    ids: str = "ids",
-    path: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN,
-) -> DataFrame:
-    """Add the ids of ``text`` as little-endian unsigned 32-bit integers in a binary column.
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        own = coder(path, pattern)
+        return _coded(texts.to_pylist(), lambda t: own.encode(t or "").astype("<u4").tobytes(), pa.binary())
+
+    return run(text)
 
-    A null or empty text has no ids (an empty value). Rows are neither dropped nor merged;
-    other columns stay, but for one that is named like the new one, which is replaced.
-    """
 
-    def one(value: str | None) -> bytes:
-        return coder(path, pattern).encode(value or "").astype("<u4").tobytes()
+def decode(ids: Column | str, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """The bytes that a binary value of ids stands for; null ids decode to none."""
 
-    return _with_column(df, ids, text, one)
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        own = coder(path, pattern)
+        return _coded(values.to_pylist(), lambda v: own.decode(np.frombuffer(v or b"", "<u4")), pa.binary())
 
+    return run(ids)
 
-def decode(
-    df: DataFrame,
-    ids: str = "ids",
-    decoded: str = "decoded",
-    path: str = RANKS,
-    pattern: str = public_tokenizers.PATTERN,
-) -> DataFrame:
-    """Add the bytes that a binary column of ids stands for; null ids decode to none."""
 
-    def one(value: bytes | None) -> bytes:
-        return coder(path, pattern).decode(np.frombuffer(value or b"", "<u4"))
+def digests(text: Column | str, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of a text's ids and their bytes.
+
+    The same as the digests of ``encode`` and of ``decode`` of that, without sending ids
+    back and forth between Spark and Python.
+    """
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pa.Array) -> pa.Array:
+        own = coder(path, pattern)
+        counts, first, second = [], [], []
+        for value in texts.to_pylist():
+            ids = own.encode(value or "")
+            counts.append(len(ids))
+            first.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            second.append(hashlib.sha256(own.decode(ids)).hexdigest())
+        columns = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _with_column(df, decoded, ids, one)
+    return run(text)
 
 
-def n_ids(ids: str = "ids") -> Column:
-    """The number of ids in a binary column of them."""
-    return (F.octet_length(F.col(ids)) / 4).cast("long")
+def n_ids(ids: Column | str) -> Column:
+    """The number of ids in a binary value of them."""
+    return (F.octet_length(ids) / 4).cast("long")

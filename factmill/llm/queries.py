@@ -22,19 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and the bytes that they decode to, as counts and digests."""
-    coded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"))
-    coded = coded.select("doc_id", "ids")
-    return bpe.decode(coded).select(
-        "doc_id",
-        bpe.n_ids().alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", bpe.digests("text").alias("coded")).select("doc_id", "coded.*")
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text: counts of the base kinds, their digest, and all spans."""
-    found = secrets.find_secrets(table(spark, folder, "documents"))
+    found = table(spark, folder, "documents").select("doc_id", secrets.find_secrets("text").alias("spans"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
 
     def count(kind):
@@ -141,7 +135,13 @@ def op8_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
-    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scored = docs.select("doc_id", toxicity.score(spark, model).alias("score"))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:

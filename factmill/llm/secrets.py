@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,27 +143,24 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def find_secrets(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its id and ``spans``, an array of (kind, start, end).
+def find_secrets(text: Column | str) -> Column:
+    """The secrets of a text, an array of (kind, start, end).
 
     Places are code points, the end exclusive, sorted by start and then in the order of
     ``KINDS``. Matches of one kind do not overlap, those of different kinds may. A null
-    or empty text has no spans. Repeated rows give repeated results.
+    or empty text has none (an empty array).
     """
-    schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("spans", SPAN)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [
-                [{"kind": k, "start": s, "end": e} for k, s, e in scan(value or "")]
-                for value in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, kind)], [id_column, "spans"]
-            )
+    @F.arrow_udf(SPAN)
+    def run(texts: pa.Array) -> pa.Array:
+        spans = [
+            [{"kind": k, "start": s, "end": e} for k, s, e in scan(value or "")]
+            for value in texts.to_pylist()
+        ]
+        return pa.array(spans, kind)
 
-    return df.select(id_column, text).mapInArrow(run, schema)
+    return run(text)
 
 
 def joined(spans: Column) -> Column:
@@ -173,30 +170,26 @@ def joined(spans: Column) -> Column:
     )
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace each secret by ``<kind>``; overlapping ones by that of the first.
+def redacted(text: str) -> str | None:
+    """The text with ``<kind>`` for each secret, None if there is none.
 
-    All columns and rows stay; null texts stay null.
+    Of overlapping secrets the first gives its kind.
     """
-    names = df.columns
-    place = next(i for i, name in enumerate(names) if name.lower() == text.lower())
-
-    def clean(value: str | None) -> str | None:
-        if not value:
-            return value
-        out, at = [], 0
-        for kind, start, end in scan(value):
-            if end <= at:
-                continue
-            if start >= at:
-                out += [value[at:start], f"<{kind}>"]
-            at = end
-        return "".join([*out, value[at:]]) if out else value
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[place] = pa.array([clean(v) for v in columns[place].to_pylist()], columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return df.mapInArrow(run, df.schema)
+    out, at = [], 0
+    for kind, start, end in scan(text):
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = end
+    return "".join([*out, text[at:]]) if out else None
+
+
+def redact(text: Column | str) -> Column:
+    """A text without its secrets; only changed texts come back from Python. Null stays null."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([redacted(value) if value else None for value in texts.to_pylist()], pa.string())
+
+    return F.coalesce(run(text), text if isinstance(text, Column) else F.col(text))
