@@ -397,8 +397,9 @@ def unsettled(nodes: DataFrame, labels: DataFrame, points: DataFrame, percent: i
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``row``, doc_id, ``n_shingles`` and
-    ``component_id``, the smallest doc_id of all that links reach, itself included.
+    """One row per row of ``docs`` (doc_id, text): ``row``, doc_id, ``n_shingles``,
+    ``component_id``, the smallest doc_id of all that links reach, itself included, and
+    ``kept``: true for one row of that id in each component.
 
     Words are runs without ASCII white space, A-Z lower-cased. Texts without words, null
     texts included, link with nothing. Repeated rows, whatever their doc_id, share a set
@@ -408,7 +409,10 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     profile = settle(profiles(docs, size, percent), "profiles")
     sets = profile.where("node is not null")
     classes = settle(
-        sets.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id")), "classes"
+        sets.groupBy("node")
+        .agg(F.min(F.struct("doc_id", "row")).alias("first"))
+        .select("node", "first.row", "first.doc_id"),
+        "classes",
     )
     points = settle(
         sets.select("row", "n_shingles", "counts").join(classes.select("row", "node"), "row"), "points"
@@ -426,16 +430,20 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     more = verified(rest, points, docs, size, percent)
     links = settle(links.union(more), "links")
     labels = components(links)
-    named = classes.select("node", "doc_id").join(labels, "node", "left").select(
-        "node", "doc_id", F.coalesce("component", "node").alias("component")
+    named = classes.join(labels, "node", "left").select(
+        "node", "doc_id", "row", F.coalesce("component", "node").alias("component")
     )
     named = settle(named, "named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     least = settle(least, "least")
-    group = settle(named.join(least, "component").select("node", "component_id"), "groups")
+    group = named.join(least, "component").select(
+        "node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("head")
+    )
+    group = settle(group, "groups")
     return profile.select("row", "doc_id", "n_shingles", "node").join(group, "node", "left").select(
         "row",
         "doc_id",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce(F.col("head") == F.col("row"), F.lit(True)).alias("kept"),
     )

@@ -4,13 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm import bpe, fingerprints, jaccard, packing, secrets, shards, tokenfiles, toxicity
+from factmill.llm import (
+    bpe,
+    fingerprints,
+    jaccard,
+    language,
+    packing,
+    secrets,
+    shards,
+    tokenfiles,
+    topk,
+    toxicity,
+)
 from factmill.session import settle
 
-ORACLES: dict[str, str] = {}
+# The ASCII letters that the contract lower-cases.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op2_count_vector_rtree": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'),
+    w -> w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    END) AS s
+  FROM words),
+kinds AS (
+  SELECT s, min(doc_id) AS k, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT k, n, unnest(s) AS g FROM kinds),
+overlaps AS (
+  SELECT a.k AS a, b.k AS b, a.n AS m, b.n AS n, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.k < b.k
+    AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY ALL),
+links AS (SELECT a, b FROM overlaps WHERE 100 * c >= 90 * (m + n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT k, k FROM kinds
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+component AS (SELECT a AS k, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles,
+  coalesce(c.component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN kinds t ON t.s = d.s LEFT JOIN component c ON c.k = t.k""",
+    "op4_maxscore_topk": """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r,
+    list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, c.r AS cr,
+    CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM scored)
+WHERE rank <= 10""",
+}
 BATCH_ROWS = "1000"
 
 
@@ -26,6 +84,12 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", bpe.digests("text").alias("coded")).select("doc_id", "coded.*")
 
 
+def op4_maxscore_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text: counts of the base kinds, their digest, and all spans."""
     found = table(spark, folder, "documents").select("doc_id", secrets.find_secrets("text").alias("spans"))
@@ -119,10 +183,22 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document is kept from training: every fifth by the checksum of its id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op1_bayesian_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every page, from its text, markup, address and host."""
+    counts = language.trigram_counts(table(spark, folder, "documents"))
+    pages = table(spark, folder, "pages")
+    return language.identify_pages(pages, language.log_likelihoods(counts))
+
+
 def op2_count_vector_rtree(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles link at 0.9."""
     docs = table(spark, folder, "documents")
-    return jaccard.jaccard_groups(docs, size=3, percent=90).drop("row")
+    return jaccard.jaccard_groups(docs, size=3, percent=90).drop("row", "kept")
 
 
 def op6_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,12 +209,11 @@ def op6_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score for every document; every fifth by checksum is held out."""
     docs = table(spark, folder, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out())
     scored = docs.select("doc_id", toxicity.score(spark, model).alias("score"))
     return scored.select(
         "doc_id",
-        held_out.alias("held_out"),
+        held_out().alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -154,8 +229,10 @@ def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bayesian_language,
         op2_count_vector_rtree,
         op3_byte_bpe,
+        op4_maxscore_topk,
         op5_secrets,
         op6_retrieval_packing,
         op7_shuffled_shards,
