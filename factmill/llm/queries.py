@@ -29,24 +29,24 @@ ORACLES: dict[str, str] = {
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(
     regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'),
-    w -> w <> '') AS w
+    lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE
     WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     END) AS s
   FROM words),
 kinds AS (
   SELECT s, min(doc_id) AS k, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
 shingles AS (SELECT k, n, unnest(s) AS g FROM kinds),
-overlaps AS (
+shared AS (
   SELECT a.k AS a, b.k AS b, a.n AS m, b.n AS n, count(*) AS c
   FROM shingles a JOIN shingles b ON a.g = b.g AND a.k < b.k
     AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
   GROUP BY ALL),
-links AS (SELECT a, b FROM overlaps WHERE 100 * c >= 90 * (m + n - c)),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 90 * (m + n - c)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (
   SELECT k, k FROM kinds
@@ -58,12 +58,12 @@ FROM sets d LEFT JOIN kinds t ON t.s = d.s LEFT JOIN component c ON c.k = t.k"""
     "op4_maxscore_topk": """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS r,
-    list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, q.r, c.vec_id, c.r AS cr,
-    CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM scored)
