@@ -23,8 +23,10 @@ def main(argv: list[str] | None = None) -> None:
     source.add_argument("--demo", action="store_true", help="use the sample table")
     etl.add_argument("--format", default="parquet", help="format of the raw table")
     etl.add_argument("--row-cap", type=int, default=None)
+    etl.add_argument("--cap-order", nargs="+", help="columns that say which rows come first")
     etl.add_argument("--db-url", default=None)
     etl.add_argument("--db-table", default="facts_aggregated")
+    etl.add_argument("--load-demo", action="store_true", help="load a demo run too")
 
     train = commands.add_parser("train", help="fit and measure both models")
     train.add_argument("--totals", required=True, help="aggregated table")
@@ -40,9 +42,14 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "etl":
         raw = None
         if args.input:
-            raw = readers.scan(spark, args.input, args.format, row_cap=args.row_cap)
+            raw = readers.scan(spark, args.input, args.format, row_cap=args.row_cap, cap_order=args.cap_order)
         result = run_etl(
-            spark, args.out, raw, db_url=args.db_url, db_table=args.db_table
+            spark,
+            args.out,
+            raw,
+            db_url=args.db_url,
+            db_table=args.db_table,
+            load_demo=args.load_demo,
         )
         lines = summary_lines(result.run).orderBy("position").select("line")
         print("\n".join(row["line"] for row in lines.collect()))

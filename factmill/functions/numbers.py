@@ -24,7 +24,7 @@ def to_number(value: Column, dtype: T.DataType) -> Column:
     """Double, or null where the text is no number. NaN is no number either."""
     if is_text(dtype):
         # most text holds a plain integer; only the rest is matched
-        return F.coalesce(value.try_cast("bigint").cast("double"), _decimal(value))
+        return F.coalesce(_plain_whole(value).cast("double"), _decimal(value))
     if is_fraction(dtype):
         return F.when(~F.isnan(value), value.cast("double"))
     if isinstance(dtype, T.NumericType):
@@ -32,6 +32,12 @@ def to_number(value: Column, dtype: T.DataType) -> Column:
     return value.try_cast("double")
 
 
+def _plain_whole(text: Column) -> Column:
+    """The whole number a text of digits holds; the cast alone would also take others,
+    as it strips control characters."""
+    return F.when(F.translate(text, "0123456789", "") == "", text.try_cast("bigint"))
+
+
 def _decimal(text: Column) -> Column:
     # no match gives an empty text, which is no number
     matched = F.regexp_extract(F.trim(text, F.lit(_PADDING)), _NUMBER, 0)
@@ -55,7 +61,7 @@ def to_whole(value: Column, dtype: T.DataType, strict: bool = False) -> Column:
             F.raise_error(F.concat(F.lit("not a whole number: "), value.cast("string"))),
         ).cast("bigint")
     exact = F.when(whole.cast("double") == number, whole).otherwise(otherwise)
-    return F.coalesce(value.try_cast("bigint"), exact) if is_text(dtype) else exact
+    return F.coalesce(_plain_whole(value), exact) if is_text(dtype) else exact
 
 
 def has_fraction(value: Column, dtype: T.DataType) -> Column:
@@ -89,8 +95,28 @@ def grouped(value: Column) -> Column:
 
 
 def plain(value: Column) -> Column:
-    """Number as text without a needless ``.0`` or exponent."""
+    """Number as text without a needless ``.0`` or exponent, at any size.
+
+    The digits are those of the shortest text for the number; an exponent only moves
+    the point.
+    """
     whole = value.try_cast("bigint")
-    return F.when(whole.cast("double") == value, whole.cast("string")).otherwise(
-        value.cast("string")
+    shown = value.cast("string")
+    sign = F.when(shown.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    body = F.regexp_replace(shown, "^-", "")
+    power = F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int")
+    left = F.regexp_extract(body, r"^([0-9]+)", 1)
+    right = F.regexp_replace(F.regexp_extract(body, r"\.([0-9]+)", 1), "^0$", "")
+    digits, point = F.concat(left, right), F.length(left) + power
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+        .otherwise(
+            F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+        )
+    )
+    return (
+        F.when(whole.cast("double") == value, whole.cast("string"))
+        .when(power.isNotNull(), F.concat(sign, moved))
+        .otherwise(shown)
     )

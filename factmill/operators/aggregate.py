@@ -93,6 +93,23 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
 
 
+def distinct_lists(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of several columns as text (``kind, item``), from one pass.
+
+    Each row goes into one group per column, and the groups are combined before the
+    shuffle.
+    """
+    groups = df.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        *[F.grouping(c).alias(f"__{c}") for c in columns]
+    )
+    kind, item = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in columns:
+        own = F.col(f"__{c}") == 0
+        kind = F.when(own, F.lit(c)).otherwise(kind)
+        item = F.when(own, F.col(c).cast("string")).otherwise(item)
+    return groups.select(kind.alias("kind"), item.alias("item"))
+
+
 def minors_of(
     df: DataFrame, major: str | None = None, spec: FactSpec = DEFAULT_SPEC
 ) -> DataFrame:

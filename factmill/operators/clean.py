@@ -13,6 +13,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factmill.functions import dates, numbers, text
+from factmill.session import settle
 from factmill.spec import DEFAULT_SPEC, FactSpec
 
 
@@ -162,10 +163,16 @@ def correct_from_table(
 ) -> DataFrame:
     """Replace values of ``column`` by a table of spellings, however large.
 
-    The table is reduced to one row per spelling, so no row is multiplied; the
-    optimizer broadcasts it only when its size allows.
+    The table is reduced to one row per spelling, so no row is multiplied, and settled:
+    the optimizer knows its size before it broadcasts it, and otherwise can split a
+    much-used value, or the nulls, as an aggregate under the join would prevent.
     """
-    pairs = table.groupBy(F.col(old).alias("__old")).agg(F.min(new).alias("__new"))
+    pairs = settle(
+        table.where(F.col(old).isNotNull())
+        .groupBy(F.col(old).alias("__old"))
+        .agg(F.min(new).alias("__new")),
+        "spellings",
+    )
     joined = df.join(pairs, F.col(column) == F.col("__old"), "left")
     return joined.withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 

@@ -19,8 +19,12 @@ from factmill.operators import clean
 from factmill.operators.features import FEATURES, LABEL, feature_width
 from factmill.spec import DEFAULT_SPEC, FactSpec
 
-# deepest tree Spark builds
-MAX_DEPTH = 30
+# deepest tree that is built unless told otherwise; Spark's own limit is 30. On noisy
+# totals deeper trees only split the noise of single rows: each level doubles the nodes,
+# and the forest, which lives on the driver, grows with the rows
+MAX_DEPTH = 12
+# bins of a number: at least as many as there are years, so that any year can be split at
+MAX_BINS = 128
 
 
 def train_classifier(
@@ -53,12 +57,14 @@ def train_regressor(
     max_depth: int = MAX_DEPTH,
     seed: int = fixed.RANDOM_SEED,
     memory_mb: int = 1024,
+    max_bins: int = MAX_BINS,
     spec: FactSpec = DEFAULT_SPEC,
 ) -> RandomForestRegressionModel:
     """A forest of regression trees on the totals, every feature tried per split.
 
     ``memory_mb`` bounds the node statistics of one pass: more of it means fewer
-    passes over the rows. Each row's place in each tree is kept between passes, and
+    passes over the rows. ``max_bins`` should not be below the number of distinct years,
+    or splits between years are approximate. Each row's place in each tree is kept between passes, and
     checkpointed in the shared folder, instead of being walked to anew.
     """
     return RandomForestRegressor(
@@ -71,6 +77,7 @@ def train_regressor(
         featureSubsetStrategy="all",
         seed=seed,
         maxMemoryInMB=memory_mb,
+        maxBins=max_bins,
         cacheNodeIds=True,
         checkpointInterval=10,
     ).fit(encoded)

@@ -50,6 +50,13 @@ def completeness(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
     return df.agg(F.coalesce(share, F.lit(100.0)).alias("completeness_pct"))
 
 
+def completeness_of(report: DataFrame) -> float:
+    """The completeness of a processed table that has all its columns, from its report."""
+    seen = {r["rule"]: r for r in report.where(F.col("rule").isin("core_nulls", "total_rows")).collect()}
+    cells = 4 * int(seen["total_rows"]["detail"])
+    return 100.0 * (cells - seen["core_nulls"]["observed"]) / cells if cells else 100.0
+
+
 def surplus_copies(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """One row: rows beyond the first of each whole row, or of each key."""
     groups = df.groupBy(*(df.columns if keys is None else keys)).agg(
@@ -223,16 +230,21 @@ def enforce(report: DataFrame) -> None:
         )
 
 
-def check(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> bool:
-    """True if the processed table meets every hard rule; raises otherwise.
-
-    A fault of the schema is raised without reading the table.
-    """
+def check_schema(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> None:
+    """Raise if a processed table lacks a column or has one of a wrong type."""
     absent = missing_columns(df, spec.processed_columns)
     if absent:
         raise QualityError(f"missing columns: {absent}")
     if _type_faults(df, True, spec):
         raise QualityError(f"unexpected column types: {df.schema.simpleString()}")
+
+
+def check(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> bool:
+    """True if the processed table meets every hard rule; raises otherwise.
+
+    A fault of the schema is raised without reading the table.
+    """
+    check_schema(df, spec)
     enforce(quality_report(df, "processed", spec, only_hard=True))
     return True
 

@@ -1,9 +1,9 @@
 """Exact order statistics and running totals without an unbounded task.
 
 Rows are first reduced to one per distinct value (combined before the shuffle, so
-a hot value costs one row). Few distinct values are handled by one window or the
-built-in percentile. Many are cut into value ranges of about equal size; each
-range runs in a task of its own and is shifted by the total of the ranges below.
+a hot value costs one row). The values are cut into ranges of about equal size; each
+range runs in a task of its own and is shifted by the total of the ranges below. A
+small table is one range: the formula is the same at every size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from factmill.session import settle
 
 # distinct values one task may order; above it the values are cut into ranges
 RANGE_ROWS = 1_000_000
-# the cut points go through the driver, so their number is bounded
+# the cut points go through the driver, so their number is bounded: beyond two billion
+# distinct values a range, which its task sorts and spills, holds one 2,000th of them
 MAX_RANGES = 2_000
 
 
@@ -50,6 +51,8 @@ def _cut_points(counts: DataFrame, range_rows: int) -> tuple[int, int, list[floa
 
 
 def _with_range(counts: DataFrame, cuts: list[float]) -> DataFrame:
+    if not cuts:
+        return counts.withColumn("__range", F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
     keyed = counts.withColumn("__key", F.col("value").cast("double"))
     cutter = Bucketizer(splits=splits, inputCol="__key", outputCol="__range")
@@ -116,10 +119,40 @@ def running_totals(
     return joined.select(*result)
 
 
+def numbered(values: DataFrame, name: str = "index") -> DataFrame:
+    """The rows of a table of any size, numbered from 0 in the order of its columns.
+
+    Rows are dealt out by ranges, sorted and counted within each, and shifted by the
+    counts of the ranges before, one row per range. Equal rows have no fixed order.
+    """
+    ranged = settle(
+        values.repartitionByRange(*values.columns).withColumn(
+            "__range", F.spark_partition_id()
+        ),
+        "ranged",
+    )
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy("__range")
+        .agg(F.count("*").alias("__n"))
+        .select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    )
+    within = Window.partitionBy("__range").orderBy(*values.columns)
+    return ranged.join(offsets, "__range").select(
+        (F.row_number().over(within) - 1 + F.col("__base")).cast("bigint").alias(name),
+        *values.columns,
+    )
+
+
 def quantile_name(share: float) -> str:
     return "q" + f"{share * 100:g}".replace(".", "_").zfill(2)
 
 
+def between(low: Column, high: Column, part: float) -> Column:
+    """The number ``part`` of the way from low to high; equal ones, infinite too, stay."""
+    return F.when(low == high, low).otherwise(low + (high - low) * F.lit(part))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -139,13 +172,6 @@ def quantiles_of_counts(
     """``exact_quantiles`` from a table that ``value_counts`` returned."""
     _, rows, cuts = _cut_points(counts, range_rows)
     counts = counts.withColumn("value", F.col("value").cast("double"))
-    if not cuts:
-        # few distinct values, checked above
-        quantiles = F.percentile("value", [float(s) for s in shares], F.col("n"))
-        return counts.agg(quantiles.alias("__q"), F.sum("n").alias("n")).select(
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-            *[F.col("__q")[i].alias(quantile_name(s)) for i, s in enumerate(shares)],
-        )
 
     # rows at or below each cut: MAX_RANGES numbers, from one pass
     per_range = _with_range(counts, cuts).groupBy("__range").agg(F.sum("n").alias("n"))
@@ -156,6 +182,10 @@ def quantiles_of_counts(
         starts.append(total)
         total += sizes.get(i, 0)
 
+    if not rows:
+        nothing = [F.lit(None).cast("double").alias(quantile_name(s)) for s in shares]
+        return counts.agg(F.lit(0).cast("bigint").alias("n"), *nothing)
+
     def range_of(rank: int) -> int:
         return max(i for i, s in enumerate(starts) if s <= rank and sizes.get(i, 0))
 
@@ -193,10 +223,7 @@ def quantiles_of_counts(
     return placed.agg(*[c.alias(f"__r{r}") for r, c in at.items()]).select(
         F.lit(rows).cast("bigint").alias("n"),
         *[
-            (
-                F.col(f"__r{low}")
-                + (F.col(f"__r{high}") - F.col(f"__r{low}")) * F.lit(part)
-            ).alias(quantile_name(share))
+            between(F.col(f"__r{low}"), F.col(f"__r{high}"), part).alias(quantile_name(share))
             for share, (low, high, part) in ranks.items()
         ],
     )

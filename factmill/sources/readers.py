@@ -23,7 +23,8 @@ def scan(
 
     With ``cap_order`` the first rows in that order are kept; it must tell rows
     apart for the result to be fixed. Without it a parquet table is capped by file
-    and position, which is fixed too and moves no row between tasks.
+    and position, which is fixed too and moves no row between tasks; other formats
+    have no such position and raise.
     """
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
@@ -33,7 +34,9 @@ def scan(
         return df
     if cap_order:
         return df.orderBy(*cap_order).limit(row_cap)
-    return first_rows(df, row_cap) if fmt == "parquet" else df.limit(row_cap)
+    if fmt != "parquet":
+        raise ValueError(f"a row cap on {fmt} needs cap_order to be determined")
+    return first_rows(df, row_cap)
 
 
 def first_rows(df: DataFrame, rows: int) -> DataFrame:

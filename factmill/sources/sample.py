@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factmill import fixed_values as fixed
+from factmill.operators.ranked import numbered
+from factmill.session import settle
 from factmill.spec import DEFAULT_SPEC, FactSpec
 
 # hexadecimal digits of the row digest spent on one draw
@@ -33,31 +36,38 @@ def poisson_steps(mean: float) -> list[float]:
     return steps
 
 
-# entries of a pool: it goes into each task as one value
-MAX_POOL = 100_000
+@dataclass(frozen=True)
+class Pool:
+    """A table to draw from by number: ``index`` from 0, and how many there are."""
 
+    table: DataFrame
+    size: Column
 
-def _small(entries: DataFrame) -> DataFrame:
-    if entries.limit(MAX_POOL + 1).count() > MAX_POOL:
-        raise ValueError(f"more than {MAX_POOL} entries to draw from")
-    return entries
 
+def value_pool(df: DataFrame, column: str) -> Pool:
+    """The distinct values of a column, however many, numbered in their order."""
+    values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    table = settle(numbered(values.distinct()), "pool")
+    return Pool(table, table.agg(F.count("*").alias("n")).scalar())
 
-def value_pool(df: DataFrame, column: str) -> Column:
-    """Sorted array of the distinct values of a column, as a scalar."""
-    values = _small(df.select(column).where(F.col(column).isNotNull()).distinct())
-    return values.agg(F.sort_array(F.collect_list(column)).alias("pool")).scalar()
 
+@dataclass(frozen=True)
+class CategoryPool:
+    """Majors numbered from 0 with their minors' first number and count; the minors."""
 
-def category_pool(categories: DataFrame, major: str, minor: str) -> Column:
-    """Sorted ``array<struct<major, minors>>`` of a category table, as a scalar."""
-    pairs = _small(
-        categories.select(F.col(major).alias("major"), F.col(minor).alias("minor")).distinct()
+    majors: Pool
+    minors: DataFrame
+
+
+def category_pool(categories: DataFrame, major: str, minor: str) -> CategoryPool:
+    """The distinct pairs of a category table, however many."""
+    pairs = categories.select(F.col(major).alias("major"), F.col(minor).alias("minor"))
+    minors = settle(numbered(pairs.distinct()), "minors")
+    ranges = minors.groupBy("major").agg(F.min("index").alias("first"), F.count("*").alias("n"))
+    majors = settle(numbered(ranges.select("major", "first", "n")), "majors")
+    return CategoryPool(
+        Pool(majors, majors.agg(F.count("*").alias("n")).scalar()), minors.drop("major")
     )
-    minors = F.sort_array(F.collect_list("minor")).alias("minors")
-    per_major = pairs.groupBy("major").agg(minors)
-    pool = F.sort_array(F.collect_list(F.struct("major", "minors")))
-    return per_major.agg(pool.alias("pool")).scalar()
 
 
 def fixed_pool(categories: Mapping[str, Sequence[str]]) -> Column:
@@ -75,8 +85,8 @@ def fixed_pool(categories: Mapping[str, Sequence[str]]) -> Column:
 def sample_facts(
     ids: DataFrame,
     id_column: str = "id",
-    districts: Column | None = None,
-    categories: Column | None = None,
+    districts: Pool | None = None,
+    categories: CategoryPool | None = None,
     years: Sequence[int] = fixed.SAMPLE_YEARS,
     mean: float = fixed.SAMPLE_MEAN,
     area_start: int = fixed.SAMPLE_AREA_START,
@@ -85,13 +95,9 @@ def sample_facts(
     spec: FactSpec = DEFAULT_SPEC,
 ) -> DataFrame:
     """One raw row per id: uniform district, category, area, year and month, and a
-    Poisson measure. ``districts`` is an array column, ``categories`` an array of
-    ``struct<major, minors>``; both default to the fixed pools.
+    Poisson measure. Both pools default to the fixed ones; a given pool is a table
+    that each draw is joined with by number.
     """
-    if districts is None:
-        districts = F.array(*[F.lit(d) for d in fixed.SAMPLE_DISTRICTS])
-    if categories is None:
-        categories = fixed_pool(fixed.SAMPLE_CATEGORIES)
     row_id = F.col(id_column).cast("bigint")
     digest = F.sha2(
         F.concat(F.lit(f"{seed}:"), row_id.cast("string")).cast("binary"), 256
@@ -114,22 +120,44 @@ def sample_facts(
     def between(draw: Column, low: int, high: int) -> Column:
         return F.lit(low) + F.pmod(draw, F.lit(high - low))
 
-    category = pick(place_c, categories)
+    rows = hashed.select("id", *draws)
+    if districts is None:
+        names = F.array(*[F.lit(d) for d in fixed.SAMPLE_DISTRICTS])
+        rows = rows.withColumn("__district", pick(place_d, names))
+    else:
+        rows = _drawn(rows, F.pmod(place_d, districts.size), districts.table, "value")
+        rows = rows.withColumnRenamed("__value", "__district")
+    if categories is None:
+        category = pick(place_c, fixed_pool(fixed.SAMPLE_CATEGORIES))
+        rows = rows.withColumns(
+            {"__major": category["major"], "__minor": pick(minor_d, category["minors"])}
+        )
+    else:
+        majors = categories.majors
+        rows = _drawn(rows, F.pmod(place_c, majors.size), majors.table, "major", "first", "n")
+        place = F.col("__first") + F.pmod(minor_d, F.col("__n"))
+        rows = _drawn(rows, place, categories.minors, "minor")
     steps = [F.lit(int(step * _RANGE)) for step in poisson_steps(mean)]
     passed = [(value_d > step).cast("bigint") for step in steps]
     area = F.lpad(between(area_d, area_start, area_stop).cast("string"), 5, "0")
-    return hashed.select("id", *draws).select(
+    return rows.select(
         "id",
         F.concat(F.lit("E010"), area).alias("lsoa_code"),
-        pick(place_d, districts).alias(spec.district),
-        category["major"].alias(spec.major),
-        pick(minor_d, category["minors"]).alias(spec.minor),
+        F.col("__district").alias(spec.district),
+        F.col("__major").alias(spec.major),
+        F.col("__minor").alias(spec.minor),
         reduce(add, passed).alias(spec.measure),
         pick(year_d, F.array(*[F.lit(y).cast("bigint") for y in years])).alias(spec.year),
         between(month_d, spec.month_min, spec.month_max + 1).cast("bigint").alias(spec.month),
     )
 
 
+def _drawn(rows: DataFrame, place: Column, pool: DataFrame, *columns: str) -> DataFrame:
+    """Add the columns, with a mark before their names, of the pool's entry at ``place``."""
+    entries = pool.select(F.col("index").alias("__place"), *[F.col(c).alias(f"__{c}") for c in columns])
+    return rows.withColumn("__place", place).join(entries, "__place", "left").drop("__place")
+
+
 def inject_errors(
     df: DataFrame,
     id_column: str = "id",

@@ -50,11 +50,14 @@ def save_validated(
     contract: str = "raw",
     stamp: str = "",
     spec: FactSpec = DEFAULT_SPEC,
+    report: DataFrame | None = None,
 ) -> dict[str, str]:
-    """A snapshot and, if named, its text report. Findings never stop the write."""
+    """A snapshot and, if named, its text report, which may be given if it is at hand.
+    Findings never stop the write."""
     paths = {"parquet": write_table(df, f"{folder}/{name}.parquet")}
     if report_name:
-        report = quality_report(df, contract, spec)
+        if report is None:
+            report = quality_report(df, contract, spec)
         path = f"{folder}/{report_name}.txt"
         report_lines(report, stamp).write.mode("overwrite").text(path)
         paths["validation_report"] = path
@@ -70,16 +73,16 @@ def save_processed(
 ) -> dict[str, str]:
     """The processed table in each format; missing columns are only logged.
 
-    Give a stored table: each format reads it again.
+    Give a stored table: each format reads it again. An unknown format raises before
+    anything is written.
     """
+    unknown = [fmt for fmt in formats if fmt not in fixed.SNAPSHOT_FORMATS]
+    if unknown:
+        raise ValueError(f"unknown formats: {unknown}")
     absent = missing_columns(df, spec.processed_columns)
     if absent:
         log.warning("missing columns: %s", absent)
-    return {
-        fmt: write_table(df, f"{folder}/{name}.{fmt}", fmt)
-        for fmt in formats
-        if fmt in fixed.SNAPSHOT_FORMATS
-    }
+    return {fmt: write_table(df, f"{folder}/{name}.{fmt}", fmt) for fmt in formats}
 
 
 def save_strict(
@@ -96,21 +99,21 @@ def save_strict(
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV with every value quoted, quotes doubled, nulls empty, numbers plain."""
+    """CSV with a bare header, every value quoted, quotes doubled, nulls empty, numbers
+    plain. Each file begins with the header, so that any of them can be read alone; a
+    table without rows has no file with one."""
 
     def shown(field: T.StructField) -> Column:
         column = F.col(f"`{field.name}`")
         if numbers.is_fraction(field.dataType):
             column = numbers.plain(column)
-        return text.blank(column).alias(field.name)
-
-    (
-        df.select(*[shown(f) for f in df.schema.fields])
-        .write.mode(mode)
-        .option("header", True)
-        .option("quoteAll", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .csv(path)
-    )
+        doubled = F.replace(text.blank(column), F.lit('"'), F.lit('""'))
+        return F.concat(F.lit('"'), doubled, F.lit('"'))
+
+    line = F.concat_ws(",", *[shown(f) for f in df.schema.fields])
+    # the low bits number the rows of a task, and each task writes a file
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.lit(",".join(df.columns) + "\n")
+    whole = F.when(first, F.concat(header, line)).otherwise(line)
+    df.select(whole.alias("line")).write.mode(mode).text(path)
     return path

@@ -36,13 +36,14 @@ def spark():
 
 @pytest.fixture
 def raw_dirty(spark):
+    # a month past the last, a missing district, a missing major, three good rows
     rows = [
-        ("City of London", "Theft and Handling", "Pickpocketing", 10, 2016, 1, "E01000001"),
-        ("Westminster", "Violence Against the Person", "Assault", 5, 2015, 13, "E01000002"),
-        (None, "Burglary", None, -3, 2020, 6, "E01000003"),
-        ("Kensington And Chelsea", None, "Burglary", 15, 2017, 8, "E01000004"),
-        ("Camden", "Theft and Handling", "Shoplifting", 0, 2016, 1, "E01000001"),
-        ("Westminster", "Theft and Handling", "Pickpocketing", 10, 2016, 1, "E01000001"),
+        ("Eastley", "road works", "Resurfacing", 7, 2011, 4, "A1"),
+        ("Fernhill", "Lighting", "Lamp out", 9, 2012, 14, "A2"),
+        (None, "Drainage", None, -8, 2013, 2, "A3"),
+        ("Gorsefield", None, "Drainage", 21, 2014, 9, "A4"),
+        ("Dunmore", "road works", "potholes", 0, 2011, 4, "A1"),
+        ("Fernhill", "road works", "Resurfacing", 7, 2011, 4, "A1"),
     ]
     return spark.createDataFrame(rows, RAW_SCHEMA)
 
@@ -52,9 +53,9 @@ def clean_small(spark):
     from datetime import date
 
     rows = [
-        ("City of London", "Theft and Handling", "Pickpocketing", 10.0, 2016, 1, date(2016, 1, 1)),
-        ("Westminster", "Violence Against the Person", "Assault", 5.0, 2015, 12, date(2015, 12, 1)),
-        ("Camden", "Theft and Handling", "Shoplifting", 0.0, 2016, 1, date(2016, 1, 1)),
+        ("Eastley", "Road Works", "Resurfacing", 7.0, 2011, 4, date(2011, 4, 1)),
+        ("Fernhill", "Lighting", "Lamp Out", 9.0, 2012, 11, date(2012, 11, 1)),
+        ("Dunmore", "Road Works", "Potholes", 0.0, 2011, 4, date(2011, 4, 1)),
     ]
     return spark.createDataFrame(rows, TOTALS_SCHEMA)
 

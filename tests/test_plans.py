@@ -52,6 +52,33 @@ def test_failed_load_is_a_warning(spark, raw_dirty, tmp_path):
     assert not result.loaded and result.run.first()["warnings_count"] == 1
 
 
+def test_a_demo_run_is_loaded_only_if_asked(spark, raw_dirty, tmp_path, monkeypatch):
+    loads = []
+
+    def load(totals, url, table, mode, spec):
+        loads.append((url, table, mode))
+        return bool(url)
+
+    monkeypatch.setattr(etl.jdbc, "load_table", load)
+    assert not etl.run_etl(spark, str(tmp_path / "a"), db_url="jdbc:x").loaded
+    assert loads == []
+    assert etl.run_etl(spark, str(tmp_path / "b"), db_url="jdbc:x", load_demo=True).loaded
+    assert etl.run_etl(spark, str(tmp_path / "c"), raw_dirty, db_url="jdbc:x").loaded
+    assert loads == [("jdbc:x", "facts_aggregated", "replace")] * 2
+
+
+def test_published_documents(spark, tmp_path):
+    out = str(tmp_path)
+    etl.run_etl(spark, out)
+    lines = spark.createDataFrame([("1", "ERROR", "a")], "ts string, level string, msg string")
+    (entry,) = etl.publish_run(spark, out, lines).collect()
+    stats = {r["stage"]: r for r in spark.read.json(f"{out}/metrics/statistics").collect()}
+    assert stats["crudos"]["records"] == f"~{entry['total_records_in']}"
+    assert stats["agregacion"]["records_out"] == str(entry["total_records_out"])
+    card = spark.read.json(f"{out}/metrics/cards").first()
+    assert card["errors"] == 1 and card["stability"] == "Revisar"
+
+
 def test_bad_table_raises(spark, raw_dirty, tmp_path):
     with pytest.raises(quality.QualityError):
         etl.run_etl(spark, str(tmp_path), raw_dirty.drop("month"))
@@ -145,3 +172,20 @@ def test_run_log_keeps_rows_apart(spark, tmp_path):
     etl.run_etl(spark, str(tmp_path))
     runs = runlog.read_runs(spark, f"{tmp_path}/metrics/runs")
     assert runs.count() == 2 and runs.agg(F.count_distinct("timestamp")).first()[0] == 2
+
+
+def test_scored_stream_matches_batch(spark, ml_small, tmp_path):
+    from factmill.operators import models
+    from factmill.plans.training import train_and_evaluate
+
+    store, source, out = (str(tmp_path / p) for p in ("models", "in", "out"))
+    train_and_evaluate(ml_small, trees=3, max_depth=3, folder=store)
+    rows = ml_small.select("borough", "major_category", "minor_category", "year", "month")
+    rows.write.parquet(source)
+    fitted = models.load_models(spark, store)
+    stream = stream_rows.read_stream(spark, source, rows.schema, files_per_batch=1)
+    scored = stream_rows.score_stream(stream, fitted)
+    stream_rows.append_to(scored, out, str(tmp_path / "log")).awaitTermination()
+    expected = models.score(rows, fitted)
+    got = spark.read.schema(expected.schema).parquet(out)
+    assert sorted(got.collect()) == sorted(expected.collect())

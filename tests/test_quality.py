@@ -36,7 +36,7 @@ def test_wrong_type_raises(clean_small):
 )
 def test_bad_values_raise(clean_small, column, value, rule):
     bad = clean_small.withColumn(
-        column, F.when(F.col("borough") == "Camden", F.expr(value)).otherwise(F.col(column))
+        column, F.when(F.col("borough") == "Dunmore", F.expr(value)).otherwise(F.col(column))
     )
     with pytest.raises(quality.QualityError, match=rule):
         quality.check(bad)
@@ -47,9 +47,9 @@ def test_no_upper_year_bound_after_cleaning(clean_small):
 
 
 def test_duplicates(clean_small):
-    same = clean_small.unionAll(clean_small.where("borough = 'Camden'"))
+    same = clean_small.unionAll(clean_small.where("borough = 'Dunmore'"))
     other = same.unionAll(
-        clean_small.where("borough = 'Camden'").withColumn("total_crimes", F.lit(7.0))
+        clean_small.where("borough = 'Dunmore'").withColumn("total_crimes", F.lit(7.0))
     )
     report = by_rule(quality.quality_report(other))
     assert report["unique_keys"]["observed"] == 2
@@ -68,7 +68,7 @@ def test_raw_report_never_raises(raw_dirty):
     assert found["no_negatives"]["observed"] == 1
     assert found["nulls_borough"]["observed"] == 1
     assert found["total_rows"]["detail"] == "6"
-    assert found["year_span"]["detail"] == "2015-2020"
+    assert found["year_span"]["detail"] == "2011-2014"
     missing = by_rule(quality.quality_report(raw_dirty.drop("value"), "raw"))
     assert missing["required_columns"]["detail"] == "value"
 
@@ -82,14 +82,14 @@ def test_counts(spark, raw_dirty):
     found = quality.range_violations(df).first().asDict()
     assert found == {
         "bad_months": 1, "bad_years": 0, "negatives": 1, "null_measures": 0, "fractional": 0,
-        "year_min": 2015, "year_max": 2020,
+        "year_min": 2011, "year_max": 2014,
     }
 
 
 def test_completeness(spark, clean_small):
     assert quality.completeness(clean_small).first()[0] == 100.0
     assert quality.completeness(clean_small.where("false")).first()[0] == 100.0
-    holes = clean_small.withColumn("year", F.when(F.col("borough") == "Camden", F.col("year")))
+    holes = clean_small.withColumn("year", F.when(F.col("borough") == "Dunmore", F.col("year")))
     assert quality.completeness(holes).first()[0] == pytest.approx(100 * 10 / 12)
 
 

@@ -86,3 +86,27 @@ def test_unknown_method_and_missing_totals(spark):
     other = spark.range(3)
     assert outliers.flag_outliers(other).count() == 0
     assert outliers.outlier_summary(other).first()["n_outliers"] == 0
+
+
+def test_quantiles_do_not_depend_on_the_number_of_ranges(spark):
+    """Infinities, ties and awkward doubles: one range and many give the very same numbers."""
+    import random
+
+    pick = random.Random(4)
+    values = [pick.uniform(-1, 1) ** 3 for _ in range(300)] + [0.1, 0.1, 0.1, 0.3] * 20
+    values += [float("inf")] * 40 + [float("-inf")] * 35 + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    counts = ranked.value_counts(df, "x")
+    shares = [0.0, 0.01, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.95, 0.99, 1.0]
+    one = ranked.quantiles_of_counts(counts, shares).first()
+    assert one["q05"] == float("-inf") and one["q95"] == float("inf")
+    for range_rows in (7, 50, 200):
+        many = ranked.quantiles_of_counts(counts, shares, range_rows).first()
+        assert [repr(x) for x in many] == [repr(x) for x in one]
+
+
+def test_numbered_rows(spark):
+    df = spark.range(500).selectExpr("concat('k', id % 170) AS a", "id AS b").repartition(9)
+    got = [tuple(r) for r in ranked.numbered(df).orderBy("index").collect()]
+    want = sorted((f"k{i % 170}", i) for i in range(500))
+    assert got == [(k, *row) for k, row in enumerate(want)]

@@ -1,4 +1,3 @@
-import glob
 import json
 import os
 
@@ -96,11 +95,36 @@ def test_processed_save_only_warns(spark, clean_small, tmp_path, caplog):
     assert os.path.isdir(tmp_path / "t.parquet") and not os.path.exists(tmp_path / "t.csv")
 
 
+def test_unknown_formats_and_undetermined_caps_raise(spark, clean_small, tmp_path):
+    with pytest.raises(ValueError, match="xlsx"):
+        writers.save_processed(clean_small, str(tmp_path), "t", ["parquet", "xlsx"])
+    assert not (tmp_path / "t.parquet").exists()
+    path = writers.write_table(clean_small, str(tmp_path / "c"), "csv")
+    with pytest.raises(ValueError, match="cap_order"):
+        readers.scan(spark, path, "csv", row_cap=2)
+    assert readers.scan(spark, path, "csv", row_cap=2, cap_order=["_c0"]).count() == 2
+
+
+def test_export_has_a_bare_header_and_plain_numbers(spark, tmp_path):
+    rows = [('a "b", c', 1e-5, 1), (None, 1e20, 2), ("x", -1.5e-7, None), ("y", 12345678.25, 4)]
+    df = spark.createDataFrame(rows, "`Some Name` string, v double, n long").coalesce(1)
+    path = writers.export_csv(df, str(tmp_path / "e"))
+    (file,) = [f for f in os.listdir(path) if f.endswith(".txt")]
+    with open(os.path.join(path, file)) as lines:
+        assert lines.read().splitlines() == [
+            "Some Name,v,n",
+            '"a ""b"", c","0.00001","1"',
+            '"","100000000000000000000","2"',
+            '"x","-0.00000015",""',
+            '"y","12345678.25","4"',
+        ]
+
+
 def test_partitioned_snapshot_prunes(spark, clean_small, tmp_path):
     path = writers.write_table(clean_small, str(tmp_path / "t"), partition_by=["year"])
-    plan = spark.read.parquet(path).where("year = 2015")._jdf.queryExecution().toString()
+    plan = spark.read.parquet(path).where("year = 2012")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
-    assert spark.read.parquet(path).where("year = 2015").count() == 1
+    assert spark.read.parquet(path).where("year = 2012").count() == 1
 
 
 def test_validated_save(spark, clean_small, tmp_path):
@@ -112,18 +136,6 @@ def test_validated_save(spark, clean_small, tmp_path):
     assert "  required_columns: [WARN] 1 value" in text
 
 
-def test_export_quotes_every_value(spark, tmp_path):
-    df = spark.createDataFrame(
-        [('say "hi", you', 10.0, None), ("", 2.5, 3)], "`Name` string, `T C` double, n long"
-    )
-    path = writers.export_csv(df.coalesce(1), str(tmp_path / "out"))
-    (part,) = glob.glob(f"{path}/part-*.csv")
-    with open(part, encoding="utf-8") as file:
-        header, *lines = file.read().splitlines()
-    assert header.replace('"', "") == "Name,T C,n"
-    assert lines == ['"say ""hi"", you","10",""', '"","2.5","3"']
-
-
 def test_dimensions(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(fixed.SAMPLE_DISTRICTS, indent=1))
     (tmp_path / "c.json").write_text(json.dumps(fixed.SAMPLE_CATEGORIES, indent=1))
@@ -161,13 +173,21 @@ def test_sample_distribution(spark):
     assert clean.clean(sample.sample_table(spark)).count() > 100
 
 
-def test_pools_are_bounded(spark, monkeypatch):
-    df = spark.range(6).selectExpr("id % 2 AS a", "id AS b")
-    monkeypatch.setattr(sample, "MAX_POOL", 4)
-    with pytest.raises(ValueError, match="more than 4"):
-        sample.category_pool(df, "a", "b")
-    got = spark.range(1).select(sample.value_pool(df, "a").alias("p")).first()["p"]
-    assert got == [0, 1]
+def test_pools_are_numbered_tables(spark):
+    df = spark.range(60).selectExpr("concat('m', id % 4) AS a", "concat('n', id % 20) AS b")
+    pool = sample.value_pool(df, "a")
+    assert [tuple(r) for r in pool.table.orderBy("index").collect()] == [
+        (k, f"m{k}") for k in range(4)
+    ]
+    categories = sample.category_pool(df, "a", "b")
+    of = {r["major"]: (r["first"], r["n"]) for r in categories.majors.table.collect()}
+    minors = {r["index"]: r["minor"] for r in categories.minors.collect()}
+    for k in range(4):
+        first, n = of[f"m{k}"]
+        wanted = sorted({f"n{i % 20}" for i in range(60) if i % 4 == k})
+        assert [minors[first + i] for i in range(n)] == wanted
+    made = sample.sample_facts(spark.range(300), districts=pool, categories=categories)
+    assert made.count() == 300 and made.where("borough IS NULL OR minor_category IS NULL").isEmpty()
 
 
 def test_poisson_steps():

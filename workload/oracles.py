@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from factmill import fixed_values as fixed
 from factmill.plans.dashboard import TAGS
-from factmill.sources.sample import poisson_steps
-from workload.queries import DISTRICT, MAJOR, YEAR
+from workload.queries import DISTRICT, INFINITE_SHARES, MAJOR, NEW_NAMES, YEAR
 from workload.tables import TRAIN_UNTIL, YEARS
 
 TOKENS = ", ".join(f"'{t}'" for t in fixed.NULL_TOKENS)
@@ -83,10 +82,8 @@ IN_RANGE = """(month IS NULL OR month BETWEEN 1 AND 12)
   AND (year IS NULL OR year BETWEEN 1990 AND 2026) AND (value IS NULL OR value >= 0)"""
 
 
-def correct(text: str) -> str:
-    cases = " ".join(
-        f"WHEN '{old}' THEN '{new}'" for old, new in fixed.DISTRICT_CORRECTIONS.items()
-    )
+def correct(text: str, names: dict[str, str] = fixed.DISTRICT_CORRECTIONS) -> str:
+    cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in names.items())
     return f"CASE {text} {cases} ELSE {text} END"
 
 
@@ -257,6 +254,13 @@ staged AS (
          CASE WHEN stage <> 'signup' AND came > 0
               THEN round_even((1.0::DOUBLE - records_out::DOUBLE / came) * 100, 1) END AS reduction_pct
   FROM stages)"""
+HOURLY = (
+    RUNS.replace("CAST(ts AS DATE) AS day", "date_trunc('hour', ts) AS day")
+    .replace("CAST(day AS VARCHAR) AS run_id", "strftime(day, '%Y-%m-%d') AS run_id")
+    .replace(
+        "CAST(day AS VARCHAR) || 'T06:00:00+00:00'", "strftime(day, '%Y-%m-%dT%H:00:00+00:00')"
+    )
+)
 MODE = f"CASE WHEN demo_mode THEN '{fixed.MODE_DEMO}' ELSE '{fixed.MODE_PRODUCTION}' END"
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END"
 
@@ -266,7 +270,12 @@ def draw(place: int) -> str:
 
 
 def sample_sql() -> str:
-    steps = ", ".join(str(int(s * 2**32)) for s in poisson_steps(fixed.SAMPLE_MEAN))
+    # cumulative Poisson probabilities, as whole parts of 2 ** 32: a draw above k of them is k
+    steps = (
+        "(SELECT list(CAST(floor(c * 4294967296) AS BIGINT) ORDER BY k) FROM ("
+        f"SELECT k, sum(exp(-{fixed.SAMPLE_MEAN}::DOUBLE + k * ln({fixed.SAMPLE_MEAN}) - lgamma(k + 1)))"
+        " OVER (ORDER BY k) AS c FROM range(100) r(k)))"
+    )
     years = ", ".join(str(y) for y in fixed.SAMPLE_YEARS)
     span = fixed.SAMPLE_AREA_STOP - fixed.SAMPLE_AREA_START
     return f"""
@@ -274,16 +283,17 @@ WITH pairs AS (SELECT p_type AS major, list_sort(list(DISTINCT p_brand)) AS mino
                FROM part GROUP BY p_type),
 pool AS (SELECT list(p ORDER BY p.major) AS pool FROM pairs p),
 names AS (SELECT list_sort(list(DISTINCT n_name)) AS names FROM nation),
+stepped AS (SELECT {steps} AS steps),
 hashed AS (SELECT o_orderkey AS id,
                   sha256('{fixed.SAMPLE_SEED}:' || CAST(o_orderkey AS VARCHAR)) AS digest
            FROM orders),
-drawn AS (SELECT *, pool[1 + {draw(1)} % len(pool)] AS category FROM hashed, pool, names),
+drawn AS (SELECT *, pool[1 + {draw(1)} % len(pool)] AS category FROM hashed, pool, names, stepped),
 made AS (
   SELECT id,
     'E010' || lpad(CAST({fixed.SAMPLE_AREA_START} + {draw(3)} % {span} AS VARCHAR), 5, '0') AS lsoa_code,
     names[1 + {draw(0)} % len(names)] AS borough, category.major AS major_category,
     category.minors[1 + {draw(2)} % len(category.minors)] AS minor_category,
-    CAST(len(list_filter([{steps}], lambda s: s < {draw(4)})) AS BIGINT) AS value,
+    CAST(len(list_filter(steps, lambda s: s < {draw(4)})) AS BIGINT) AS value,
     CAST([{years}][1 + {draw(5)} % {len(fixed.SAMPLE_YEARS)}] AS BIGINT) AS year,
     CAST(1 + {draw(6)} % 12 AS BIGINT) AS month
   FROM drawn)
@@ -355,6 +365,71 @@ SELECT '{method}' AS method, count(*) AS n_rows, {count_if(outside)} AS n_outlie
 FROM totals, {source}"""
 
 
+def infinite(ranges: str) -> str:
+    """Quantiles by rank: between two equal values, infinite too, there is nothing to add."""
+
+    def at(share: float) -> str:
+        low = f"max(x) FILTER (place = floor({share}::DOUBLE * (n - 1)))"
+        high = f"max(x) FILTER (place = ceil({share}::DOUBLE * (n - 1)))"
+        part = f"({share}::DOUBLE * max(n - 1) - floor({share}::DOUBLE * max(n - 1)))"
+        name = f"q{share * 100:g}".replace(".", "_")
+        name = "q" + name[1:].zfill(2)
+        return f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * {part} END AS {name}"
+
+    return f"""SELECT max(n) AS n, {', '.join(at(s) for s in INFINITE_SHARES)}, '{ranges}' AS ranges
+FROM ranked"""
+
+
+def kpi_sql(ctes: str) -> str:
+    return f"""WITH {ctes}, newest AS (SELECT * FROM runs ORDER BY timestamp DESC LIMIT 1),
+slow AS (SELECT stage, duration_s FROM staged JOIN newest USING (day)
+         ORDER BY duration_s DESC, stage LIMIT 1),
+levels AS (SELECT count(*) FILTER (event_type = 'error') AS errors,
+                  count(*) FILTER (event_type = 'signup') AS warnings FROM events)
+SELECT run_id, round_even(total_duration_seconds, 1) AS duration_seconds, errors, warnings,
+       CASE WHEN errors = 0 THEN '{fixed.STABLE}' ELSE '{fixed.UNSTABLE}' END AS stability,
+       stage AS slowest_stage, duration_s AS slowest_seconds, completeness_pct, warnings_count
+FROM newest, slow, levels"""
+
+
+STAT_ROWS = f"""
+SELECT '{fixed.STAT_RAW}' AS stage, '~' || format('{{:,}}', came) AS records,
+       '-' AS records_out FROM newest
+UNION ALL SELECT '{fixed.STAGE_CLEAN}', '-', '-'
+UNION ALL SELECT '{fixed.STAT_AGGREGATED}', '-', format('{{:,}}', gone) FROM newest
+UNION ALL SELECT '{fixed.STAT_TOTAL}', '-', '-'"""
+NEWEST = """newest AS (SELECT records_initial AS came, records_final AS gone
+  FROM runs ORDER BY timestamp DESC LIMIT 1)"""
+UNIQUE_ROWS = "unique_rows AS (SELECT DISTINCT * FROM normal)"
+
+
+def short_report() -> str:
+    """The processed rules on totals without a date and a total, the month being text."""
+    rules = [
+        ("required_columns", "hard", "2", "'total_crimes, date'"),
+        ("column_types", "hard", "1", "''"),
+        (
+            "core_nulls",
+            "hard",
+            "SELECT " + " + ".join(
+                f"count(*) FILTER ({c} IS NULL)" for c in ("borough", "year", "month")
+            ) + " FROM totals",
+            "''",
+        ),
+        ("year_range", "hard", tally("totals", "year < 1990"), "''"),
+        ("month_range", "hard", tally("totals", "month NOT BETWEEN 1 AND 12"), "''"),
+        ("unique_keys", "hard", surplus("totals", KEYS), "''"),
+        *[
+            (f"nulls_{c}", "soft", tally("totals", f"{c} IS NULL"), "''")
+            for c in ("borough", "major_category", "year", "month")
+        ],
+        ("total_duplicates", "soft", surplus("totals", KEYS), "''"),
+        ("total_rows", "info", "0", "SELECT count(*) FROM totals"),
+        ("year_span", "info", "0", "SELECT min(year) || '-' || max(year) FROM totals"),
+    ]
+    return report("totals", rules, TOTALS)
+
+
 def split(early: str) -> str:
     return f"""WITH {TOTALS}
 SELECT 'train' AS side, count(*) AS n_rows FROM totals WHERE {early}
@@ -403,6 +478,38 @@ def validation_sql() -> str:
 FROM ({inner}) UNION ALL {heads}"""
 
 
+def dashboard_sql() -> str:
+    shown = f"(SELECT * FROM totals WHERE {FILTER})"
+
+    def groups(columns: str, source: str = shown) -> str:
+        return f"SELECT count(*) FROM (SELECT DISTINCT {columns} FROM {source})"
+
+    top = f"least(10, ({groups('minor_category')}))"
+    counted = {
+        "districts": groups("borough", "totals"),
+        "majors": groups("major_category", "totals"),
+        "years": groups("year", "totals"),
+        "minors": groups("minor_category", f"(SELECT * FROM totals WHERE major_category = '{MAJOR}')"),
+        "counts": "1",
+        "total": "1",
+        "by_district": groups("borough"),
+        "by_major": groups("major_category"),
+        "top_minors": f"SELECT {top}",
+        "leading_district": "1",
+        "leading_major": "1",
+        "trend": groups("year, month"),
+        "year_span": "1",
+        "district_by_year": groups("borough"),
+        "export_filtered": f"SELECT count(*) FROM {shown}",
+        "export_aggregated": f"SELECT ({groups('borough')}) + {top} + ({groups('year, month')})",
+        "export_complete": "SELECT count(*) FROM totals",
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST(({sql}) AS BIGINT) AS n_rows" for name, sql in counted.items()
+    )
+    return f"WITH {TOTALS} {rows}"
+
+
 def oracles() -> dict[str, str]:
     years = ", ".join(
         f'coalesce(sum(total_crimes) FILTER (year = {y}), 0.0) AS "{y}"' for y in YEARS
@@ -427,6 +534,9 @@ def oracles() -> dict[str, str]:
   SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT coalesce(r_name, borough) AS borough, count(*) AS n_rows
 FROM dirty LEFT JOIN pairs ON borough = n_name GROUP BY 1""",
+        "corrected_names": f"""WITH {DIRTY}, named AS (
+  SELECT {correct(title('borough'), NEW_NAMES)} AS borough FROM dirty)
+SELECT borough, count(*) AS n_rows FROM named GROUP BY borough""",
         "dedup_exact": f"WITH {FACTS} SELECT DISTINCT * FROM facts",
         "agg_facts": f"""WITH {FACTS}
 SELECT {KEYS}, sum(value) AS total_crimes FROM facts GROUP BY {KEYS}""",
@@ -517,12 +627,21 @@ SELECT {count_if('month NOT BETWEEN 1 AND 12')} AS bad_months,
         ),
         "quality_report_raw": quality("cast_rows", "value", False, CAST),
         "validation_lines": validation_sql(),
+        "quality_report_short": short_report(),
+        "outliers_without_totals": f"""SELECT 'iqr' AS method, CAST(0 AS BIGINT) AS n_rows,
+  CAST(0 AS BIGINT) AS n_outliers, {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in
+  ('outlier_min', 'outlier_max', 'q05', 'q95'))}, CAST(0 AS BIGINT) AS n_flagged""",
         "quantiles": f"""WITH {TOTALS} SELECT count(*) AS n,
 {', '.join(f"round({quantile('total_crimes', s)}, 6) AS q{n}" for s, n in
            ((0.05, '05'), (0.95, '95'), (0.25, '25'), (0.75, '75'), (0.5, '50')))} FROM totals""",
         "price_quantiles": f"""SELECT count(*) AS n,
 {', '.join(f"round({quantile('l_extendedprice', s)}, 6) AS q{n}" for s, n in
            ((0.05, '05'), (0.5, '50'), (0.95, '95')))} FROM lineitem""",
+        "quantiles_infinite": f"""WITH valued AS (
+  SELECT CASE l_orderkey % 10 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE
+              ELSE l_extendedprice END AS x FROM lineitem),
+ranked AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS n FROM valued)
+{infinite('one')} UNION ALL {infinite('many')}""",
         "mean_and_spread": f"""WITH {SPREAD}
 SELECT round(mean, 6) AS mean, round(std, 6) AS std FROM spread""",
         "outliers_iqr": f"WITH {FENCES} SELECT totals.* FROM totals, fences WHERE {IQR_OUT}",
@@ -546,10 +665,39 @@ SELECT {KEYS}, round((year - my) / sy, 5) AS year_scaled, round((s - ms) / ss, 5
 FROM turned, stats""",
         "temporal_split_counts": split(split_until),
         "fallback_split_counts": split(HASH_SIDE),
-        "onehot_width": f"""WITH {TOTALS} SELECT (
-  SELECT count(DISTINCT borough) + count(DISTINCT major_category) + count(DISTINCT minor_category) + 3
-  FROM totals WHERE {split_until}) AS width, count(*) AS n_rows
+        "onehot_width": f"""WITH {TOTALS}, train AS (SELECT * FROM totals WHERE {split_until})
+SELECT (SELECT count(DISTINCT borough) + count(DISTINCT major_category)
+          + count(DISTINCT minor_category) + 3 FROM train) AS width, count(*) AS n_rows,
+  CAST(count(*) FILTER (borough IN (SELECT borough FROM train))
+    + count(*) FILTER (major_category IN (SELECT major_category FROM train))
+    + count(*) FILTER (minor_category IN (SELECT minor_category FROM train)) AS BIGINT) AS n_filled
 FROM totals WHERE NOT ({split_until})""",
+        "onehot_slots": f"""WITH {TOTALS},
+rows AS (WITH {CLEAN}, {UNIQUE_ROWS}, {grouped('unique_rows')} SELECT * FROM totals)
+SELECT {KEYS}, {', '.join(
+    f"CAST({c} IN (SELECT {c} FROM totals) AS INTEGER) AS slots_{c}"
+    for c in ('borough', 'major_category', 'minor_category'))} FROM rows""",
+        "classifier_optimum": f"""WITH {TOTALS}
+SELECT CAST(unnest(range(count(DISTINCT borough) + count(DISTINCT major_category)
+  + count(DISTINCT minor_category) + 3)) AS INTEGER) AS feature, 0.0::DOUBLE AS gradient
+FROM totals""",
+        "train_eval": f"""WITH {TOTALS}, sides AS (
+  SELECT {count_if(split_until)} AS train_rows, {count_if(f'NOT ({split_until})')} AS test_rows
+  FROM totals)
+SELECT train_rows, test_rows, test_rows AS scored_rows, test_rows AS confused_rows,
+  true AS accuracy_holds, true AS precision_holds, true AS recall_holds, true AS mae_holds,
+  true AS r2_holds, true AS forest_in_range FROM sides""",
+        "score_batch": f"""WITH {TOTALS}, {FACTS.replace('facts AS', 'given AS')}
+SELECT DISTINCT {KEYS}, true AS sums_to_one, true AS class_fits, true AS estimate_fits,
+  CAST((SELECT count(DISTINCT borough) + count(DISTINCT major_category)
+    + count(DISTINCT minor_category) + 3 FROM totals WHERE {split_until}) AS INTEGER)
+    AS features_used
+FROM given""",
+        "metrics_document": f"""WITH {TOTALS}
+SELECT 'LogisticRegression' AS model, {count_if(split_until)} AS train_rows,
+  {count_if(f'NOT ({split_until})')} AS test_rows, '{fixed.LOG_SCHEMA_VERSION}' AS schema_version,
+  CAST({fixed.FOREST_TREES} AS BIGINT) AS forest_trees, CAST({TRAIN_UNTIL} AS BIGINT) AS train_until
+FROM totals""",
         "confusion": f"WITH {CONFUSION} SELECT * FROM confused",
         "class_metrics": f"""WITH {CONFUSION}, d AS (
   SELECT true_negatives::DOUBLE AS tn, false_positives::DOUBLE AS fp,
@@ -570,6 +718,21 @@ UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE""",
         "sample_facts": sample_sql(),
         "etl_run": f"""WITH {CLEAN}, unique_rows AS (SELECT DISTINCT * FROM normal),
 {grouped('unique_rows')} SELECT * FROM totals""",
+        "etl_record": f"""WITH {CLEAN}, {UNIQUE_ROWS}, {grouped('unique_rows')},
+fences AS (SELECT {quantile('total_crimes', 0.25)} AS q1, {quantile('total_crimes', 0.75)} AS q3
+           FROM totals)
+SELECT '{fixed.LOG_SCHEMA_VERSION}' AS schema_version, false AS demo_mode,
+  (SELECT count(*) FROM dirty) AS records_initial, (SELECT count(*) FROM totals) AS records_final,
+  100.0::DOUBLE AS completeness_pct,
+  (SELECT count(*) FROM totals, fences WHERE {IQR_OUT}) AS outliers_detected,
+  CAST(0 AS BIGINT) AS warnings_count,
+  ['{fixed.STAGE_INGEST}', '{fixed.STAGE_CLEAN}', '{fixed.STAGE_VALIDATE}', '{fixed.STAGE_SAVE}',
+   '{fixed.STAGE_LOAD}'] AS stages""",
+        "validated_round_trip": f"WITH {TOTALS} SELECT * FROM totals",
+        "validated_report": validation_sql(),
+        "json_dimensions": """
+SELECT DISTINCT n_name AS major, '' AS minor FROM nation
+UNION ALL SELECT DISTINCT p_type, p_brand FROM part""",
         "csv_round_trip": f"WITH {TOTALS} SELECT * FROM totals",
         "export_round_trip": f"""WITH {TOTALS}
 SELECT borough AS "Borough", major_category AS "Major Category",
@@ -596,22 +759,15 @@ FROM runs JOIN staged USING (day)""",
 SELECT run_id, {MODE} AS mode, round_even(total_duration_seconds, 1) AS duration_seconds,
        records_initial AS total_records_in, records_final AS total_records_out
 FROM runs ORDER BY timestamp DESC LIMIT 5""",
-        "run_history_prepend": f"""WITH {RUNS}
-SELECT run_id, round_even(total_duration_seconds, 1) AS duration_seconds FROM runs
-WHERE run_id >= '2024-01-02' ORDER BY run_id = '2024-01-02' DESC, run_id DESC LIMIT 5""",
+        "run_history_prepend": f"""WITH {HOURLY}
+SELECT run_id, timestamp, round_even(total_duration_seconds, 1) AS duration_seconds FROM runs
+ORDER BY timestamp = (SELECT min(timestamp) FROM runs) DESC, timestamp DESC LIMIT 5""",
         "run_stage_shares": f"""WITH {RUNS}
 SELECT CAST(day AS VARCHAR) AS run_id, stage, duration_s,
        round(duration_s * 100.0 / sum(duration_s) OVER (PARTITION BY day), 1) AS share_pct
 FROM staged""",
-        "run_kpis": f"""WITH {RUNS}, newest AS (SELECT * FROM runs ORDER BY timestamp DESC LIMIT 1),
-slow AS (SELECT stage, duration_s FROM staged JOIN newest USING (day)
-         ORDER BY duration_s DESC, stage LIMIT 1),
-levels AS (SELECT count(*) FILTER (event_type = 'error') AS errors,
-                  count(*) FILTER (event_type = 'signup') AS warnings FROM events)
-SELECT run_id, round_even(total_duration_seconds, 1) AS duration_seconds, errors, warnings,
-       CASE WHEN errors = 0 THEN '{fixed.STABLE}' ELSE '{fixed.UNSTABLE}' END AS stability,
-       stage AS slowest_stage, duration_s AS slowest_seconds, completeness_pct, warnings_count
-FROM newest, slow, levels""",
+        "run_kpis": kpi_sql(RUNS),
+        "run_kpis_hourly": kpi_sql(HOURLY),
         "log_errors": f"""
 SELECT event_id, strftime(ts, '%H:%M:%S') AS ts, {LEVEL} AS level,
        event_type || ' by ' || user_id AS msg FROM events WHERE event_type = 'error'""",
@@ -621,13 +777,14 @@ SELECT count(*) FILTER (event_type = 'error') AS errors,
         "sample_rollup": """
 SELECT event_type, round(coalesce(avg(value - 10) FILTER (value - 10 > 0), 0.0), 6) AS mean_positive,
        round(max(value - 10), 6) AS peak FROM events GROUP BY event_type""",
-        "run_stats": f"""WITH {RUNS}, newest AS (SELECT * FROM runs ORDER BY timestamp DESC LIMIT 1)
-SELECT '{fixed.STAT_RAW}' AS stage, '~' || format('{{:,}}', records_initial) AS records,
-       '-' AS records_out FROM newest
-UNION ALL SELECT '{fixed.STAGE_CLEAN}', '-', '-'
-UNION ALL SELECT '{fixed.STAT_AGGREGATED}', '-', format('{{:,}}', records_final) FROM newest
-UNION ALL SELECT '{fixed.STAT_TOTAL}', '-', '-'""",
+        "run_stats": f"WITH {RUNS}, {NEWEST} {STAT_ROWS}",
+        "run_stat_of": f"""WITH {RUNS}, {NEWEST}, stats AS ({STAT_ROWS})
+SELECT * FROM stats WHERE stage = '{fixed.STAT_RAW}'""",
+        "published_stats": f"""WITH {CLEAN}, {UNIQUE_ROWS}, {grouped('unique_rows')},
+newest AS (SELECT (SELECT count(*) FROM dirty) AS came, (SELECT count(*) FROM totals) AS gone)
+{STAT_ROWS}""",
         "run_summary": summary_sql(),
+        "dashboard_tables": dashboard_sql(),
         "run_json": f"""WITH {RUNS}
 SELECT timestamp, demo_mode, records_initial, warnings_count,
        (SELECT count(*) FROM stages s WHERE s.day = runs.day) AS n_stages FROM runs""",

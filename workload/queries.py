@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factmill import fixed_values as fixed
@@ -20,20 +22,22 @@ from factmill.operators import (
     ranked,
     runlog,
 )
-from factmill.plans.dashboard import TAGS
-from factmill.plans.etl import run_etl
+from factmill.plans.dashboard import TAGS, dashboard
+from factmill.plans.etl import publish_run, run_etl
 from factmill.plans.training import train_and_evaluate
 from factmill.session import settle, settled_folder
-from factmill.sources import readers, sample, writers
+from factmill.sources import dimensions, readers, sample, writers
 from factmill.streaming import rows as stream_rows
 from workload import tables
-from workload.tables import SPEC, TRAIN_UNTIL, YEARS
+from workload.tables import SPEC, TRAIN_UNTIL
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 # choices used by the filtered queries
 DISTRICT, MAJOR, YEAR = "Nation_7", "Economy", 1997
+NEW_NAMES = {"Nation_3": "Third Nation", "Nation_11": "Nation_12", "Unknown": "Elsewhere"}
+INFINITE_SHARES = (0.02, 0.25, 0.5, 0.75, 0.98)
 
 
 def query(function: Query) -> Query:
@@ -99,6 +103,14 @@ def correct_spellings(spark, folder):
     return corrected.groupBy("borough").agg(F.count("*").alias("n_rows"))
 
 
+@query
+def corrected_names(spark, folder):
+    """District spellings replaced by a small map, which some names match."""
+    spec = SPEC.but(corrections=NEW_NAMES)
+    named = clean.normalize_text(raw(spark, folder), spec)
+    return named.groupBy("borough").agg(F.count("*").alias("n_rows"))
+
+
 @query
 def dedup_exact(spark, folder):
     return clean.drop_copies(tables.facts(spark, folder), SPEC)
@@ -161,7 +173,7 @@ def trend_monthly(spark, folder):
 
 @query
 def matrix_district_year(spark, folder):
-    return aggregate.matrix(totals(spark, folder), "borough", "year", YEARS, SPEC)
+    return aggregate.matrix(totals(spark, folder), "borough", "year", spec=SPEC)
 
 
 @query
@@ -177,14 +189,7 @@ def grand_total(spark, folder):
 
 @query
 def distinct_values(spark, folder):
-    source = totals(spark, folder)
-    lists = [
-        aggregate.distinct_values(source, c).select(
-            F.lit(c).alias("kind"), F.col(c).cast("string").alias("item")
-        )
-        for c in ("borough", "major_category", "year")
-    ]
-    return lists[0].unionAll(lists[1]).unionAll(lists[2])
+    return aggregate.distinct_lists(totals(spark, folder), "borough", "major_category", "year")
 
 
 @query
@@ -341,6 +346,23 @@ def quality_report_raw(spark, folder):
     return quality.quality_report(cast, "raw", SPEC)
 
 
+@query
+def quality_report_short(spark, folder):
+    """The processed rules on totals without a date, the year being text."""
+    short = totals(spark, folder).drop("date", "total_crimes")
+    return quality.quality_report(
+        short.withColumn("month", F.col("month").cast("string")), "processed", SPEC
+    )
+
+
+@query
+def outliers_without_totals(spark, folder):
+    """Nothing to flag: the finding has all its columns, and no row is an outlier."""
+    rows = tables.facts(spark, folder)
+    flagged = outliers.flag_outliers(rows, "iqr", SPEC).agg(F.count("*")).scalar()
+    return outliers.outlier_summary(rows, "iqr", SPEC).withColumn("n_flagged", flagged)
+
+
 @query
 def validation_lines(spark, folder):
     report = quality.quality_report(totals(spark, folder), "processed", SPEC)
@@ -371,6 +393,24 @@ def price_quantiles(spark, folder):
     )
 
 
+@query
+def quantiles_infinite(spark, folder):
+    """Quantiles of values of which some are infinite, as one range and as many."""
+    price = F.col("l_extendedprice")
+    some = (
+        F.when(F.col("l_orderkey") % 10 == 0, F.lit(float("inf")))
+        .when(F.col("l_orderkey") % 10 == 1, F.lit(float("-inf")))
+        .otherwise(price)
+    )
+    values = tables.table(spark, folder, "lineitem").select(some.alias("x"))
+    counts = ranked.value_counts(values, "x")
+    whole = ranked.quantiles_of_counts(counts, INFINITE_SHARES)
+    cut = ranked.quantiles_of_counts(counts, INFINITE_SHARES, 3000)
+    return whole.withColumn("ranges", F.lit("one")).unionByName(
+        cut.withColumn("ranges", F.lit("many"))
+    )
+
+
 @query
 def mean_and_spread(spark, folder):
     found = outliers.spread(totals(spark, folder), "total_crimes")
@@ -470,18 +510,56 @@ def fallback_split_counts(spark, folder):
     return _split_counts(settled_totals(spark, folder), 1900)
 
 
+def _slots(encoded: DataFrame) -> list:
+    """How many slots of each dimension a row fills."""
+    return [
+        F.aggregate(vector_to_array(f"{c}_slots"), F.lit(0.0), lambda a, x: a + x)
+        .cast("int")
+        .alias(f"slots_{c}")
+        for c in SPEC.dims
+    ]
+
+
 @query
 def onehot_width(spark, folder):
     """Width of the feature vector, and how many slots the later rows fill."""
     source = settled_totals(spark, folder)
     train, test = features.temporal_split(source, TRAIN_UNTIL, spec=SPEC)
     encoded = features.encoder(train, SPEC).fit(train).transform(test)
-    return encoded.agg(
+    filled = sum(F.col(f"slots_{c}") for c in SPEC.dims)
+    return encoded.select(*_slots(encoded)).agg(
         F.lit(features.feature_width(encoded)).cast("bigint").alias("width"),
         F.count("*").alias("n_rows"),
+        F.coalesce(F.sum(filled), F.lit(0)).cast("bigint").alias("n_filled"),
     )
 
 
+@query
+def onehot_slots(spark, folder):
+    """Slots that each row of the dirty table's totals fills, by the facts' encoder."""
+    train = settled_totals(spark, folder)
+    rows = settle(clean.clean(tables.dirty_facts(spark, folder), SPEC), "rows")
+    encoded = features.encoder(train, SPEC).fit(train).transform(rows)
+    return encoded.select(*SPEC.keys, *_slots(encoded))
+
+
+@query
+def classifier_optimum(spark, folder):
+    """Gradient of the penalised loss at the fitted weights: zero for every feature."""
+    labelled = settle(features.add_target(totals(spark, folder), spec=SPEC), "labelled")
+    encoded = features.encoder(labelled, SPEC).fit(labelled).transform(labelled)
+    encoded = settle(encoded.select(features.FEATURES, features.LABEL), "encoded")
+    rows = encoded.count()
+    fitted = models.train_classifier(encoded, rows)
+    scored = fitted.transform(encoded).select(
+        (models.probability_of("probability", 1) - F.col(features.LABEL)).alias("error"),
+        F.posexplode(vector_to_array(features.FEATURES)).alias("feature", "x"),
+    )
+    weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients])
+    slope = F.avg(F.col("error") * F.col("x")) + F.get(weights, F.col("feature")) / F.lit(rows)
+    return scored.groupBy("feature").agg(F.round(F.abs(slope), 4).alias("gradient"))
+
+
 @query
 def confusion(spark, folder):
     return evaluate.confusion(tables.scored_lines(spark, folder))
@@ -511,16 +589,42 @@ def roc_points(spark, folder):
 
 
 def _trained(spark, folder, store=None):
-    # fewer and shallower trees than the default, for a forest that grows in seconds
-    return train_and_evaluate(
-        totals(spark, folder), TRAIN_UNTIL, trees=10, max_depth=8, folder=store, spec=SPEC
-    )
+    return train_and_evaluate(totals(spark, folder), TRAIN_UNTIL, folder=store, spec=SPEC)
 
 
 @query
 def train_eval(spark, folder):
-    found = _trained(spark, folder).metrics
-    return found.drop("duration_seconds", "hyperparameters")
+    """Row counts of a training run, and whether its measures are those of its scored rows."""
+    found = _trained(spark, folder)
+    metrics = found.metrics.select(F.struct("*").alias("m")).scalar()
+    label, guess = F.col(features.LABEL), F.col("prediction")
+    actual, predicted = F.col(SPEC.total), F.col("predicted")
+
+    def close(name: str, value) -> list:
+        return F.abs(metrics[name] - F.coalesce(value, F.lit(0.0))) <= 6e-5
+
+    hits = F.count_if((label == 1) & (guess == 1)).cast("double")
+    mean = found.scored.agg(F.avg(actual)).scalar()
+    limits = totals(spark, folder).where(F.col("year") <= TRAIN_UNTIL)
+    low, high = (limits.agg(f(SPEC.total)).scalar() for f in (F.min, F.max))
+    return found.scored.agg(
+        metrics["train_rows"].alias("train_rows"),
+        metrics["test_rows"].alias("test_rows"),
+        F.count("*").alias("scored_rows"),
+        sum(
+            metrics[c]
+            for c in ("true_negatives", "false_positives", "false_negatives", "true_positives")
+        ).alias("confused_rows"),
+        close("accuracy", F.avg((label == guess).cast("double"))).alias("accuracy_holds"),
+        close("precision", F.try_divide(hits, F.count_if(guess == 1))).alias("precision_holds"),
+        close("recall", F.try_divide(hits, F.count_if(label == 1))).alias("recall_holds"),
+        close("mae", F.avg(F.abs(actual - predicted))).alias("mae_holds"),
+        close(
+            "r2",
+            1 - F.avg((actual - predicted) ** 2) / F.avg((actual - mean) * (actual - mean)),
+        ).alias("r2_holds"),
+        F.bool_and(predicted.between(low, high)).alias("forest_in_range"),
+    )
 
 
 @query
@@ -529,7 +633,34 @@ def score_batch(spark, folder):
     store = _fresh_folder(spark)
     _trained(spark, folder, store)
     rows = tables.facts(spark, folder).select(*SPEC.keys).distinct()
-    return models.score(rows, models.load_models(spark, store), spec=SPEC)
+    scored = models.score(rows, models.load_models(spark, store), spec=SPEC)
+    high = F.col("probability_high")
+    return scored.select(
+        *SPEC.keys,
+        (F.abs(high + F.col("probability_low") - 1) < 2e-4).alias("sums_to_one"),
+        ((high >= F.col("threshold")) == (F.col("prediction") == 1))
+        .__or__(F.abs(high - F.col("threshold")) < 1e-4)
+        .alias("class_fits"),
+        (F.col("predicted_crimes") == numbers.half_even(F.col("predicted_crimes_raw"), 0))
+        .__or__(F.abs(F.col("predicted_crimes_raw") % 1 - 0.5) < 0.006)
+        .alias("estimate_fits"),
+        "features_used",
+    )
+
+
+@query
+def metrics_document(spark, folder):
+    """The metrics that a training run stores, read again."""
+    store = _fresh_folder(spark)
+    _trained(spark, folder, store)
+    return spark.read.json(f"{store}/metrics").select(
+        "model",
+        "train_rows",
+        "test_rows",
+        "schema_version",
+        F.col("hyperparameters.forest_trees").alias("forest_trees"),
+        F.col("hyperparameters.train_until").alias("train_until"),
+    )
 
 
 # --- sample table -----------------------------------------------------------
@@ -576,6 +707,59 @@ def export_round_trip(spark, folder):
     return spark.read.schema(schema).csv(path, header=True, escape='"').na.fill("")
 
 
+@query
+def validated_round_trip(spark, folder):
+    """The validated snapshot, read back."""
+    paths = writers.save_validated(totals(spark, folder), _fresh_folder(spark), "totals")
+    return spark.read.parquet(paths["parquet"])
+
+
+@query
+def validated_report(spark, folder):
+    """The text report beside a validated snapshot, read back."""
+    stamp = "2024-01-31 06:00:00"
+    paths = writers.save_validated(
+        totals(spark, folder), _fresh_folder(spark), "totals", "report", "processed", stamp, SPEC
+    )
+    return spark.read.text(paths["validation_report"]).select(F.col("value").alias("line"))
+
+
+@query
+def etl_record(spark, folder):
+    """The record of a whole run over the dirty rows, read back from its log."""
+    out = _fresh_folder(spark)
+    run_etl(spark, out, tables.dirty_facts(spark, folder), spec=SPEC)
+    return runlog.read_runs(spark, f"{out}/metrics/runs").select(
+        "schema_version", "demo_mode", "records_initial", "records_final", "completeness_pct",
+        "outliers_detected", "warnings_count", F.col("stages.stage").alias("stages"),
+    )
+
+
+@query
+def published_stats(spark, folder):
+    """The statistics that the dashboard reads after a run over the dirty rows."""
+    out = _fresh_folder(spark)
+    run_etl(spark, out, tables.dirty_facts(spark, folder), spec=SPEC)
+    publish_run(spark, out)
+    stats = spark.read.schema("stage string, records string, records_out string")
+    return stats.json(f"{out}/metrics/statistics")
+
+
+@query
+def json_dimensions(spark, folder):
+    """Nations and part kinds written as JSON documents and read as dimensions."""
+    out = _fresh_folder(spark)
+    names = tables.table(spark, folder, "nation").agg(F.to_json(F.collect_set("n_name")))
+    parts = tables.table(spark, folder, "part").groupBy("p_type")
+    kinds = parts.agg(F.collect_set("p_brand").alias("minors"))
+    entries = F.map_from_entries(F.collect_list(F.struct("p_type", "minors")))
+    names.write.text(f"{out}/names")
+    kinds.agg(F.to_json(entries)).write.text(f"{out}/kinds")
+    districts = dimensions.read_districts(spark, f"{out}/names", "major")
+    pairs = dimensions.read_categories(spark, f"{out}/kinds")
+    return districts.select("major", F.lit("").alias("minor")).unionByName(pairs)
+
+
 @query
 def run_log_round_trip(spark, folder):
     """Run records appended to the log in two parts and read back."""
@@ -634,11 +818,16 @@ def run_history5(spark, folder):
 
 @query
 def run_history_prepend(spark, folder):
-    """The first run put in front of the later ones; the newest few are kept."""
-    entries = runlog.dashboard_entries(tables.runs(spark, folder))
-    added = entries.where(F.col("run_id") == "2024-01-02")
-    older = entries.where(F.col("run_id") > "2024-01-02")
-    return runlog.add_to_history(older, added).select("run_id", "duration_seconds")
+    """The first run put in front of the others; the newest few are kept. Days hold
+    several runs."""
+    entries = settle(
+        runlog.dashboard_entries(tables.runs(spark, folder, hourly=True)), "entries"
+    )
+    first = entries.agg(F.min("timestamp")).scalar()
+    added = entries.where(F.col("timestamp") == first)
+    older = entries.where(F.col("timestamp") != first)
+    kept = runlog.add_to_history(older, added)
+    return kept.select("run_id", "timestamp", "duration_seconds")
 
 
 @query
@@ -654,6 +843,26 @@ def run_kpis(spark, folder):
     )
 
 
+@query
+def run_kpis_hourly(spark, folder):
+    """The cards of the newest of several runs on one day."""
+    return runlog.kpis(
+        runlog.dashboard_entries(tables.runs(spark, folder, hourly=True)),
+        tables.log_entries(spark, folder),
+    )
+
+
+@query
+def dashboard_tables(spark, folder):
+    """Rows of every table that the dashboard shows under its filters."""
+    shown = dashboard(settled_totals(spark, folder), DISTRICT, MAJOR, YEAR, SPEC)
+    counted = [
+        frame.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+        for name, frame in shown.items()
+    ]
+    return reduce(DataFrame.unionAll, counted)
+
+
 @query
 def log_errors(spark, folder):
     return runlog.of_level(tables.log_entries(spark, folder), "ERROR")
@@ -676,23 +885,16 @@ def sample_rollup(spark, folder):
 @query
 def run_stats(spark, folder):
     """Record counts of the newest run put into a table of stages."""
-    stages = [fixed.STAT_RAW, fixed.STAGE_CLEAN, fixed.STAT_AGGREGATED, fixed.STAT_TOTAL]
-    stats = spark.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(s).alias("stage"),
-                        F.lit("-").alias("records"),
-                        F.lit("-").alias("records_out"),
-                    )
-                    for s in stages
-                ]
-            )
-        )
-    )
     newest = runlog.dashboard_entries(runlog.latest_run(tables.runs(spark, folder)))
-    return runlog.updated_stats(stats, newest)
+    return runlog.updated_stats(runlog.empty_stats(spark), newest)
+
+
+@query
+def run_stat_of(spark, folder):
+    """The statistics of one stage."""
+    newest = runlog.dashboard_entries(runlog.latest_run(tables.runs(spark, folder)))
+    stats = runlog.updated_stats(runlog.empty_stats(spark), newest)
+    return runlog.stat_of(stats, fixed.STAT_RAW)
 
 
 @query

@@ -8,7 +8,7 @@ from factmill import FactSpec
 
 # the given tables hold years 1995 to 2001
 SPEC = FactSpec(year_min=1990, year_max=2026)
-YEARS = list(range(1995, 2002))
+YEARS = list(range(1995, 2002))  # as the SQL side has to name them
 TRAIN_UNTIL = 1999
 
 
@@ -92,11 +92,12 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def run_stages(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per day and kind of event: a run's stage."""
+def run_stages(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
+    """One row per day (or hour) and kind of event: a run's stage."""
+    slot = F.date_trunc("hour", "ts") if hourly else F.to_date("ts")
     return (
         table(spark, folder, "events")
-        .groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("stage"))
+        .groupBy(slot.alias("day"), F.col("event_type").alias("stage"))
         .agg(
             F.round(F.sum("value"), 2).alias("duration_seconds"),
             F.count("*").alias("records_in"),
@@ -106,8 +107,12 @@ def run_stages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each day of events as one run record; its stages are the kinds of event."""
+def runs(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
+    """Each day (or hour) of events as one run record; its stages are the kinds of event."""
+    if hourly:
+        stamp = F.date_format("day", "yyyy-MM-dd'T'HH:00:00+00:00")
+    else:
+        stamp = F.concat(F.col("day").cast("string"), F.lit("T06:00:00+00:00"))
     signup = F.col("stage") == "signup"
     stage = F.struct(
         "stage",
@@ -118,11 +123,11 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
     came, left = F.sum("records_in"), F.sum("records_out")
     return (
-        run_stages(spark, folder)
+        run_stages(spark, folder, hourly)
         .groupBy("day")
         .agg(
             F.lit("1.0").alias("schema_version"),
-            F.concat(F.col("day").cast("string"), F.lit("T06:00:00+00:00")).alias("timestamp"),
+            stamp.alias("timestamp"),
             (F.dayofmonth("day") % 7 == 0).alias("demo_mode"),
             F.round(F.sum("duration_seconds"), 2).alias("total_duration_seconds"),
             F.sort_array(F.collect_list(stage)).alias("stages"),
