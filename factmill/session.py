@@ -48,16 +48,17 @@ def settled_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/factmill-{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+def settle(df: DataFrame, label: str = "table", codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
     Used where several plans read one expensive result. The lineage is cut and,
     unlike cached blocks, the files outlive lost executors and keep column
-    pruning and filter pushdown for the readers.
+    pruning and filter pushdown for the readers. ``codec`` may be zstd for long texts,
+    which take less room by it and more time.
     """
     spark = df.sparkSession
     path = f"{settled_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
