@@ -142,9 +142,12 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     # what a document gives to the one before it: as much of its beginning as that needs
     before = order.select(F.col("doc_id").alias("_previous"), (F.col("n") / 2).cast("int").alias("room"))
     giving = order.join(before, "_previous").select("doc_id", "first", "_previous", "room")
+    # the same rows as below, so that one shuffle of the texts serves both joins
+    known = docs.where(F.col("doc_id").isNotNull())
     heads = (
-        docs.join(giving, "doc_id")
-        .where(F.col("row") == F.col("first"))
+        known.join(giving, "doc_id")
+        # equality would become a key of the join and call for a shuffle of its own
+        .where(F.col("row") <= F.col("first"))
         .select(F.col("_previous").alias("doc_id"), F.substring("text", F.lit(1), F.col("room")).alias("head"))
     )
     n = F.char_length("text")
@@ -153,7 +156,9 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         F.substring("text", F.lit(1), n - half),
         F.coalesce(F.substring("head", F.lit(1), half), F.lit("")),
     )
-    both = docs.join(heads, "doc_id", "left").select("row", "doc_id", "text", edited.alias("edited"))
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("head", F.lit(""))
+    both = known.join(heads, "doc_id", "left").unionByName(nameless)
+    both = both.select("row", "doc_id", "text", edited.alias("edited"))
     texts = F.array(
         F.struct(F.lit(0).alias("kind"), "text", n.alias("n"), F.lit("").alias("sha")),
         F.struct(
