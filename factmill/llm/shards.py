@@ -18,6 +18,8 @@ from factmill.session import settle
 
 BUCKET_BYTES = 8 << 20
 """Bytes of a bucket; a task holds a few buckets at once."""
+SENT_BUCKETS = 1_000_000
+"""Buckets whose numbers, 16 bytes each, are sent to all tasks; beyond it they are joined."""
 
 
 def scatter(df: DataFrame, buckets: int, seed: int) -> DataFrame:
@@ -61,14 +63,17 @@ def shuffled_shards(
         raise ValueError("there must be a shard")
     (total,) = df.agg(F.sum(size)).first()
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
-    table = settle(scatter(df, buckets, seed), "scattered")
+    table = settle(scatter(df, buckets, seed), "scattered", "zstd")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket: 12 million for 100 TB
+    # one row per bucket
     first = (
         table.groupBy("_bucket")
         .agg(F.count("*").alias("_n"))
         .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     )
+    # joined by a shuffle the records would move once more
+    if buckets <= SENT_BUCKETS:
+        first = F.broadcast(first)
     place = F.col("_first") + F.col("_at")
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     return table.join(first, "_bucket").select(
