@@ -8,7 +8,7 @@ their end id alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm import jaccard, language, packing, secrets, toxicity
@@ -31,22 +31,23 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest doc_id of each group that five-word shingles link at 0.8."""
     groups = jaccard.jaccard_groups(docs, size=5, percent=80)
-    kept = settle(groups.where("kept").select(F.col("row").alias("_row")), "kept")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = settle(groups.where("kept").select("row"), "kept")
+    rows = docs.select(whole(docs), F.monotonically_increasing_id().alias("row"))
+    return rows.join(kept, "row", "left_semi").select("document.*")
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no name can clash with its columns."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("document")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind of a secret in its place; ``n_chars`` follows where a text changes."""
-    fresh = docs.withColumn("_new", secrets.redact("text"))
-    changed = ~F.col("_new").eqNullSafe(F.col("text"))
-    new = {
-        "text": F.col("_new"),
-        "n_chars": F.when(changed, F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(
-            F.col("n_chars")
-        ),
-    }
-    return fresh.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    fresh = docs.select(whole(docs), secrets.redact("text").alias("text"))
+    changed = ~F.col("text").eqNullSafe(F.col("document.text"))
+    size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": F.when(changed, size).otherwise(F.col("document.n_chars"))}
+    return fresh.select(*[new.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,10 +47,10 @@ def flat_texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if not len(bounds):
-        bounds = np.zeros(1, np.int64)
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return flat[bounds[0] : bounds[-1]], bounds - bounds[0]
 
