@@ -238,7 +238,8 @@ def known_language(docs: DataFrame, languages: Sequence[str] = LANGUAGES) -> Dat
     """The rows of ``docs``, with their columns, whose language is one of ``languages``.
 
     The declared language is ``lang``, the host ``source``; there is no address, hence
-    no suffix. Rows found to be ``und`` go.
+    no suffix. Rows found to be ``und`` go; rows without a trigram, null texts
+    included, say nothing and stay.
     """
     table = log_likelihoods(trigram_counts(docs, languages))
     evidence = docs.select(
@@ -250,4 +251,5 @@ def known_language(docs: DataFrame, languages: Sequence[str] = LANGUAGES) -> Dat
         likelihoods(table, "text").alias("_log"),
     )
     judged = posteriors(settle(evidence, "evidence"), languages)
-    return judged.where(F.col("language") != OTHER).select("_row.*")
+    blank = F.array_min("_log") == 0
+    return judged.where((F.col("language") != OTHER) | blank).select("_row.*")
