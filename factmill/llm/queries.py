@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from factmill.llm import (
     topk,
     toxicity,
 )
-from factmill.session import settle
+from factmill.session import settle, settled_folder
 
 # The ASCII letters that the contract lower-cases.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -226,9 +227,10 @@ def op8_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted in flat files of the ids of all documents."""
-    places = tokenfiles.write_token_files(table(spark, folder, "documents"))
-    counted = tokenfiles.count_tokens(places, width=2)
-    return places.join(counted, ["file", "place"]).select("doc_id", "n_tokens", "place")
+    files = f"{settled_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    places = tokenfiles.write_token_files(table(spark, folder, "documents"), files)
+    counted = tokenfiles.count_written(places, files, width=2)
+    return counted.select("doc_id", "n_tokens", "part", "place")
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {

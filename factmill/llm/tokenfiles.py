@@ -15,13 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factmill.llm.wordids import PATH, word_ids
-from factmill.session import settle, settled_folder
+from factmill.session import settle
 
 SEPARATOR = 49407
 BLOCK_IDS = 1 << 20
@@ -39,23 +38,23 @@ def file_system(uri: str):
 
 def write_token_files(
     docs: DataFrame,
-    folder: str | None = None,
+    folder: str,
     id_column: str = "doc_id",
     text: str = "text",
     path: str = PATH,
     separator: int = SEPARATOR,
 ) -> DataFrame:
-    """Write one flat file per task and return what is in them: id, ``file``, ``place``.
+    """Write one flat file per task and return what is in them: id, ``part``, ``place``.
 
-    ``place`` numbers the documents of a file from 0. A null or empty text has no ids and is
-    a separator alone. Each attempt at a task writes a file of its own; the returned table,
-    which is settled, names those of the attempts that count.
+    ``part`` is the number in a file's name (``part_file``), ``place`` numbers its documents
+    from 0. A null or empty text has no ids and is a separator alone. Each attempt at a task
+    writes a file of its own; the returned table, which is settled, has the numbers of the
+    attempts that count.
     """
-    folder = folder or f"{settled_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     schema = T.StructType(
         [
             T.StructField(id_column, docs.schema[id_column].dataType),
-            T.StructField("file", T.StringType()),
+            T.StructField("part", T.LongType()),
             T.StructField("place", T.LongType()),
         ]
     )
@@ -64,9 +63,8 @@ def write_token_files(
         coder = word_ids(path)
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
-        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
-        place = 0
-        with system.open_output_stream(f"{root}/{name}") as out:
+        part, place = uuid.uuid4().int >> 65, 0
+        with system.open_output_stream(f"{root}/{part}.bin") as out:
             for batch in batches:
                 for i, j, ids, bounds in coder.column(batch.column(1)):
                     flat = np.full(len(ids) + j - i, separator, coder.type)
@@ -77,12 +75,27 @@ def write_token_files(
                 n = batch.num_rows
                 places = pa.array(np.arange(place, place + n))
                 place += n
-                files = pa.array(np.full(n, f"{folder}/{name}"), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), files, places], schema.names)
+                parts = pa.array(np.full(n, part))
+                yield pa.RecordBatch.from_arrays([batch.column(0), parts, places], schema.names)
 
     return settle(docs.select(id_column, text).mapInArrow(run, schema), "places")
 
 
+def part_file(folder: str, part: Column | str = "part") -> Column:
+    """The path of a part's file."""
+    return F.concat(F.lit(f"{folder}/"), F.col(part).cast("string"), F.lit(".bin"))
+
+
+def count_written(places: DataFrame, folder: str, width: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """``places`` with ``n_tokens``, counted in the files that were written."""
+    files = places.select("part").distinct().select(part_file(folder).alias("file"))
+    counted = count_tokens(files, width, block_ids=block_ids).select(
+        F.regexp_extract("file", r"([0-9]+)\.bin$", 1).cast("long").alias("part"), "place", "n_tokens"
+    )
+    # a row per document on either side: neither may be broadcast, however small its file
+    return places.hint("merge").join(counted, ["part", "place"])
+
+
 def file_blocks(files: DataFrame, width: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The blocks of the files in column ``file``: ``file`` and ``block``, dealt out evenly."""
 

@@ -89,13 +89,13 @@ def test_token_counts_of_flat_files(spark, tmp_path):
     rows = [(k, t) for k, t in enumerate([*HARD_TEXTS, "", "", None, "last one"])] + [(3, "again")]
     path = str(tmp_path / "docs")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    places = tokenfiles.write_token_files(spark.read.parquet(path))
+    files = f"file://{tmp_path}/files"
+    places = tokenfiles.write_token_files(spark.read.parquet(path), files)
     for block_ids in (1, 7, 1 << 20):
-        counted = tokenfiles.count_tokens(places, 2, block_ids=block_ids)
-        got = places.join(counted, ["file", "place"]).collect()
+        got = tokenfiles.count_written(places, files, 2, block_ids).collect()
         assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, len(library_ids(t))) for k, t in rows)
-    empty = tokenfiles.write_token_files(spark.read.parquet(path).limit(0))
-    assert tokenfiles.count_tokens(empty, 2).count() == 0
+    empty = tokenfiles.write_token_files(spark.read.parquet(path).limit(0), files)
+    assert tokenfiles.count_written(empty, files, 2).count() == 0
 
 
 @pytest.mark.parametrize("block_ids", [1, 3, 100])
