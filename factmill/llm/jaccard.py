@@ -12,10 +12,11 @@ Sizes are banded, and a text that could link into the next band has keys there t
 few cells more than needed, empty cells can go without a key.
 
 *Links.* Texts of one set are one node. In a cell all nodes are first compared with one
-leader, which settles large groups of copies without comparing their members. Then cells
-whose nodes still belong to different components are searched with an R-tree over the
-points: its boxes and points are passed over if the bound is too small. Pairs that survive
-the bound are verified on their whole sets. No pair is left out at any size, and no cell is
+leader, which settles large groups of copies without comparing their members. Cells whose
+nodes still belong to different components get other leaders, drawn per cell, and those
+that stay open are searched with an R-tree over the points: its boxes and points are passed
+over if the bound is too small. Pairs that survive the bound are verified on their whole
+sets. No pair is left out at any size, and no cell is
 gathered: hot cells meet as leaders of blocks, then as pairs of blocks.
 
 Shingles are compared as 52-bit hashes and sets as 64-bit sums of them: two different
@@ -35,7 +36,7 @@ from factmill.llm.components import components
 from factmill.llm.words import LOWER, blocks, hashed_words, mix
 from factmill.session import settle
 
-GROUPS = 32
+GROUPS = 128
 BAND = 1.5
 LEAF = 16
 CHUNK = 2000
@@ -43,6 +44,8 @@ CHUNK = 2000
 SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
 BLOCK_KEYS = 2_000_000
+ROUNDS = 2
+"""Times that open cells get a new leader before they are searched; not a bound on links."""
 _BITS = np.uint64(52)
 _MASK = np.uint64((1 << 52) - 1)
 
@@ -140,24 +143,21 @@ def _node(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(out[0] ^ mix(out[1], 22)).view(np.int64)
 
 
-def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``row``, ``doc_id``, ``n_shingles``, ``node``, ``counts`` and ``keys`` of every text.
+def profiles(docs: DataFrame, size: int) -> DataFrame:
+    """``row``, ``doc_id``, ``n_shingles``, ``node`` and ``counts`` of every text.
 
     ``node`` tells sets apart and is null for texts without words. Rows are numbered by
     their place, so ``docs`` must read stored tables.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "n_shingles", "node", "counts", "keys"]
+    names = ["row", "doc_id", "n_shingles", "node", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
             for i, j, row, h in text_sets(batch.column(2), size):
                 n = np.bincount(row, minlength=j - i)
-                counts = np.bincount(row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=(j - i) * GROUPS)
-                counts = counts.astype("<u4").tobytes()
-                owner, keys = cell_keys(row, h, n, bands)
-                begin = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
+                group = row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64)
+                counts = np.bincount(group, minlength=(j - i) * GROUPS).astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -165,66 +165,87 @@ def profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         pa.array(n.astype(np.int64)),
                         pa.array(_node(row, h, n), mask=n == 0),
                         pa.array([counts[k : k + 4 * GROUPS] for k in range(0, len(counts), 4 * GROUPS)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(begin), pa.array(keys.view(np.int64))),
                     ],
                     names,
                 )
 
     return numbered(docs).mapInArrow(
-        run, f"row long, doc_id {kind}, n_shingles long, node long, counts binary, keys array<long>"
+        run, f"row long, doc_id {kind}, n_shingles long, node long, counts binary"
     )
 
 
+def cells_of(column: pa.Array, size: int, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and keys of texts, a pair of equal length for each run of rows."""
+    for i, j, row, h in text_sets(column, size):
+        n = np.bincount(row, minlength=j - i)
+        owner, keys = cell_keys(row, h, n, bands)
+        yield _node(row, h, n)[owner], keys.view(np.int64)
+
+
+def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node`` and ``key``, one row per cell of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            for node, key in cells_of(batch.column(0), size, bands):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "key"])
+
+    return rows.select("text").mapInArrow(run, "node long, key long")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def leaders(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key with one of them as leader, from ``node``, ``keys``.
+def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of nodes that share a key with one of them as leader.
 
-    Nodes of a task that share a key are paired there, and only their first goes on; so a
-    key that very many nodes share arrives once from each task.
+    Nodes of a task that share a key are paired there, and only the first goes on under the
+    key; so a key that very many nodes share arrives once from each block of a task.
     """
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        have = 0
+        have, bands = 0, Bands(percent)
 
         def combined() -> Iterator[pa.RecordBatch]:
-            key, node = (np.concatenate(x) for x in zip(*held))
+            node, key = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
             lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
             pair = lead != node
-            a, b = lead[pair], node[pair]
-            if len(a):
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = both[:, 0], both[:, 1]
+            both = np.unique(np.stack([lead[pair], node[pair]], 1), axis=0)
+            # the pairs travel along under any key
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[first]), pa.array(node[first]), pa.nulls(int(first.sum()), pa.int64())],
+                [
+                    pa.array(np.concatenate([key[first], both[:, 1]])),
+                    pa.array(np.concatenate([node[first], both[:, 1]])),
+                    pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(both[:, 0])]),
+                ],
                 ["key", "node", "leader"],
             )
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(a), pa.int64()), pa.array(b), pa.array(a)], ["key", "node", "leader"]
-            )
 
         for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            many = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
-            held.append((keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)))
-            have += len(keys)
-            if have >= BLOCK_KEYS:
-                yield from combined()
-                held, have = [], 0
+            for node, key in cells_of(batch.column(0), size, bands):
+                if not len(key):
+                    continue
+                held.append((node, key))
+                have += len(key)
+                if have >= BLOCK_KEYS:
+                    yield from combined()
+                    held, have = [], 0
         if have:
             yield from combined()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_lead = None, 0
         for batch in batches:
-            key, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            ready = batch.filter(batch.column(2).is_valid())
+            yield pa.RecordBatch.from_arrays([ready.column(2), ready.column(1)], ["a", "b"])
+            batch = batch.filter(batch.column(2).is_null())
+            key, node = (batch.column(k).to_numpy() for k in (0, 1))
             if not len(key):
                 continue
             first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
@@ -236,18 +257,14 @@ def leaders(nodes: DataFrame) -> DataFrame:
                 [pa.array(lead[pair]), pa.array(node[pair])], ["a", "b"]
             )
 
-    combined = settle(
-        nodes.select("node", "keys").mapInArrow(within, "key long, node long, leader long"), "keys"
-    )
-    met = (
-        combined.where("key is not null")
-        .select("key", "node")
+    return (
+        docs.select("text")
+        .mapInArrow(within, "key long, node long, leader long")
         .repartition("key")
         .sortWithinPartitions("key", "node")
         .mapInArrow(across, "a long, b long")
+        .distinct()
     )
-    own = combined.where("key is null").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    return own.union(met).distinct()
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -328,10 +345,16 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, pe
         for batch in batches:
             n = batch.num_rows
             keep = np.zeros(n, bool)
-            first, second = (text_sets(batch.column(k), size) for k in (2, 3))
-            left, right = _lined_up(first), _lined_up(second)
+            sets = []
+            for node, text in ((0, 2), (1, 3)):
+                # a node stands in many pairs: its text is cut once a batch
+                _, first, again = np.unique(
+                    batch.column(node).to_numpy(), return_index=True, return_inverse=True
+                )
+                own = list(_lined_up(text_sets(batch.column(text).take(pa.array(first)), size)))
+                sets.append((own, again))
             for k in range(n):
-                a, b = next(left), next(right)
+                a, b = (own[again[k]] for own, again in sets)
                 both = np.concatenate([a, b])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -348,32 +371,59 @@ def _lined_up(runs: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterat
             yield h[at[k] : at[k + 1]]
 
 
-def unsettled(nodes: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key and pass the bound, by R-tree.
+def open_cells(nodes: DataFrame, labels: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
+    """Cells with nodes of different components, and the rows of these cells.
 
-    ``nodes``: node and keys; ``labels``: node and component. Cells of one component are
-    left out; a cell of many nodes is searched as pairs of blocks.
+    ``nodes``: node and key; ``labels``: node and component. A cell has its number of
+    nodes and, as ``pick``, the smallest of numbers drawn for them.
     """
     labelled = nodes.join(labels, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key")
+        "node", F.coalesce("component", "node").alias("component"), "key"
+    )
+    labelled = labelled.withColumn("drawn", F.xxhash64("key", "node", F.lit(draw)))
+    cells = labelled.groupBy("key").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count("*").alias("many"),
+        F.min("drawn").alias("pick"),
     )
-    span = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")
+    cells = settle(cells.where("low < high").select("key", "many", "pick"), "open")
+    members = settle(labelled.join(cells, "key"), "members")
+    return cells, members
+
+
+def other_leaders(members: DataFrame) -> DataFrame:
+    """Pairs of each node of an open cell with the one drawn, if of another component."""
+    drawn = members.where(F.col("drawn") == F.col("pick")).select(
+        "key", F.col("node").alias("lead"), F.col("component").alias("lead_component")
     )
-    opened = settle(span.where("low < high").select("key", "many"), "open")
+    pairs = members.join(settle(drawn, "drawn"), "key").where("component != lead_component")
+    return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def cell_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """All pairs of an open cell, of different components, that pass the bound, by R-tree.
+
+    A cell of many nodes is searched as pairs of blocks.
+    """
     parts = F.ceil(F.col("many") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = (
-        labelled.join(opened, "key")
-        .withColumn("parts", parts)
+    blocks_of = (
+        members.withColumn("parts", parts)
         .withColumn("mine", mine)
-        .select("key", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select(
-            "key", "node", "component", "mine",
-            F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        )
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    members = settle(members, "members").join(points.select("node", "n_shingles", "counts"), "node")
+    cells = settle(
+        blocks_of.select(
+            "key",
+            "node",
+            "component",
+            "mine",
+            F.least("mine", "other").alias("i"),
+            F.greatest("mine", "other").alias("j"),
+        ),
+        "cells",
+    ).join(points.select("node", "n_shingles", "counts"), "node")
 
     def search(cell: pa.Table) -> pa.Table:
         node, component, mine, sizes = (
@@ -381,19 +431,23 @@ def unsettled(nodes: DataFrame, labels: DataFrame, points: DataFrame, percent: i
         )
         points = _points(cell.column("counts").combine_chunks())
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        indexed = np.flatnonzero(mine == j)
-        tree = RTree(points[indexed], sizes[indexed])
+        # of two nodes of different components one is not of the largest
+        kinds, many = np.unique(component, return_counts=True)
+        minor = component != kinds[many.argmax()]
         a, b = [], []
-        for k in np.flatnonzero(mine == i):
-            found = indexed[tree.search(points[k], int(sizes[k]), percent)]
-            found = found[component[found] != component[k]]
-            a.append(np.minimum(node[found], node[k]))
-            b.append(np.maximum(node[found], node[k]))
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for asked, held in ((i, j), (j, i)) if i != j else ((i, i),):
+            indexed = np.flatnonzero(mine == held)
+            tree = RTree(points[indexed], sizes[indexed])
+            for k in np.flatnonzero((mine == asked) & minor):
+                found = indexed[tree.search(points[k], int(sizes[k]), percent)]
+                found = found[component[found] != component[k]]
+                a.append(np.minimum(node[found], node[k]))
+                b.append(np.maximum(node[found], node[k]))
+        both = np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)], 1)
+        both = np.unique(both, axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
-    return members.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -406,35 +460,41 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     and are one group. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    profile = settle(profiles(docs, size, percent), "profiles")
+    profile = settle(profiles(docs, size), "profiles")
     sets = profile.where("node is not null")
+    # the smallest doc_id, a null one last
+    first_of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = settle(
         sets.groupBy("node")
-        .agg(F.min(F.struct("doc_id", "row")).alias("first"))
+        .agg(F.min(first_of).alias("first"))
         .select("node", "first.row", "first.doc_id"),
         "classes",
     )
     points = settle(
         sets.select("row", "n_shingles", "counts").join(classes.select("row", "node"), "row"), "points"
     )
-    keyed = sets.select("row", "node", "keys")
-    pairs = settle(leaders(keyed), "leaders")
+    pairs = settle(leaders(docs, size, percent), "leaders")
     links = settle(verified(pairs, points, docs, size, percent), "links")
     labels = components(links)
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     touched = settle(classes.select("row", "node").join(touched, "node").select("row"), "touched")
     if touched.count() <= SENT_ROWS:
         touched = F.broadcast(touched)
-    nodes = keyed.join(touched, "row").select("node", "keys")
-    rest = settle(unsettled(nodes, labels, points, percent), "rest")
-    more = verified(rest, points, docs, size, percent)
-    links = settle(links.union(more), "links")
-    labels = components(links)
+    nodes = settle(keyed(numbered(docs).join(touched, "row"), size, percent), "nodes")
+    for draw in range(ROUNDS + 1):
+        cells, members = open_cells(nodes, labels, draw)
+        if cells.isEmpty():
+            break
+        last = draw == ROUNDS
+        rest = cell_pairs(members, points, percent) if last else other_leaders(members)
+        more = verified(settle(rest, "rest"), points, docs, size, percent)
+        links = settle(links.union(more), "links")
+        labels = components(links)
     named = classes.join(labels, "node", "left").select(
         "node", "doc_id", "row", F.coalesce("component", "node").alias("component")
     )
     named = settle(named, "named")
-    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    least = named.groupBy("component").agg(F.min(first_of).alias("first"))
     least = settle(least, "least")
     group = named.join(least, "component").select(
         "node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("head")
