@@ -35,7 +35,7 @@ def train_classifier(
     Spark averages the loss over the rows, so the penalty is divided by ``rows``
     to weigh the same. The intercept is not penalised.
     """
-    return LogisticRegression(
+    fitted = LogisticRegression(
         featuresCol=FEATURES,
         labelCol=LABEL,
         predictionCol="prediction",
@@ -48,6 +48,11 @@ def train_classifier(
         tol=1e-8,
         threshold=fixed.DECISION_THRESHOLD,
     ).fit(encoded)
+    # the training summary holds the session, which cannot be sent to tasks once anything
+    # in it was observed; scoring needs the weights only
+    nothing = encoded.sparkSession._jvm.scala.Option.empty()
+    fitted._java_obj.setSummary(nothing)
+    return fitted
 
 
 def train_regressor(

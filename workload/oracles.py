@@ -495,8 +495,8 @@ def dashboard_sql() -> str:
         "by_district": groups("borough"),
         "by_major": groups("major_category"),
         "top_minors": f"SELECT {top}",
-        "leading_district": "1",
-        "leading_major": "1",
+        "leading_district": f"SELECT least(1, count(*)) FROM {shown}",
+        "leading_major": f"SELECT least(1, count(*)) FROM {shown}",
         "trend": groups("year, month"),
         "year_span": "1",
         "district_by_year": groups("borough"),
@@ -726,8 +726,8 @@ SELECT '{fixed.LOG_SCHEMA_VERSION}' AS schema_version, false AS demo_mode,
   100.0::DOUBLE AS completeness_pct,
   (SELECT count(*) FROM totals, fences WHERE {IQR_OUT}) AS outliers_detected,
   CAST(0 AS BIGINT) AS warnings_count,
-  ['{fixed.STAGE_INGEST}', '{fixed.STAGE_CLEAN}', '{fixed.STAGE_VALIDATE}', '{fixed.STAGE_SAVE}',
-   '{fixed.STAGE_LOAD}'] AS stages""",
+  '{fixed.STAGE_INGEST},{fixed.STAGE_CLEAN},{fixed.STAGE_VALIDATE},{fixed.STAGE_SAVE},{fixed.STAGE_LOAD}'
+    AS stages""",
         "validated_round_trip": f"WITH {TOTALS} SELECT * FROM totals",
         "validated_report": validation_sql(),
         "json_dimensions": """

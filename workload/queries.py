@@ -731,7 +731,7 @@ def etl_record(spark, folder):
     run_etl(spark, out, tables.dirty_facts(spark, folder), spec=SPEC)
     return runlog.read_runs(spark, f"{out}/metrics/runs").select(
         "schema_version", "demo_mode", "records_initial", "records_final", "completeness_pct",
-        "outliers_detected", "warnings_count", F.col("stages.stage").alias("stages"),
+        "outliers_detected", "warnings_count", F.array_join("stages.stage", ",").alias("stages"),
     )
 
 
