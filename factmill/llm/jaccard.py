@@ -183,15 +183,36 @@ def cells_of(column: pa.Array, size: int, bands: Bands) -> Iterator[tuple[np.nda
 
 
 def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node`` and ``key``, one row per cell of each text."""
+    """``node``, ``key`` and ``component``, one row per cell of each text of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            for node, key in cells_of(batch.column(0), size, bands):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "key"])
+            for i, j, row, h in text_sets(batch.column(0), size):
+                n = np.bincount(row, minlength=j - i)
+                owner, key = cell_keys(row, h, n, bands)
+                component = batch.column(1).to_numpy()[i:j][owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_node(row, h, n)[owner]), pa.array(key.view(np.int64)), pa.array(component)],
+                    ["node", "key", "component"],
+                )
+
+    return rows.select("text", "component").mapInArrow(run, "node long, key long, component long")
 
-    return rows.select("text").mapInArrow(run, "node long, key long")
+
+def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node`` and ``key`` in all cells in which texts of different components meet.
+
+    The keys are made twice rather than stored: first to find these cells, which takes a
+    row per key and task, then to pick their members.
+    """
+    cells = keyed(rows, size, percent).groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    cells = settle(cells.where("low < high").select("key"), "shared")
+    if cells.count() <= SENT_ROWS:
+        cells = F.broadcast(cells)
+    return settle(keyed(rows, size, percent).select("node", "key").join(cells, "key"), "nodes")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -477,14 +498,17 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     links = settle(verified(pairs, points, docs, size, percent), "links")
     labels = components(links)
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    touched = settle(classes.select("row", "node").join(touched, "node").select("row"), "touched")
+    touched = classes.select("row", "node").join(touched, "node").join(labels, "node", "left")
+    touched = settle(touched.select("row", F.coalesce("component", "node").alias("component")), "touched")
     if touched.count() <= SENT_ROWS:
         touched = F.broadcast(touched)
-    nodes = settle(keyed(numbered(docs).join(touched, "row"), size, percent), "nodes")
+    nodes = shared_cells(numbered(docs).join(touched, "row"), size, percent)
     for draw in range(ROUNDS + 1):
         cells, members = open_cells(nodes, labels, draw)
         if cells.isEmpty():
             break
+        # a cell that is closed stays so
+        nodes = members.select("node", "key")
         last = draw == ROUNDS
         rest = cell_pairs(members, points, percent) if last else other_leaders(members)
         more = verified(settle(rest, "rest"), points, docs, size, percent)
