@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm.wordids import PATH, word_ids
-from factmill.llm.words import mix, ragged
+from factmill.llm.words import mix
 from factmill.session import settle
 
 WINDOW = 4096
@@ -30,8 +30,6 @@ SHARD_IDS = 1 << 20
 """Ids of a shard, the documents of one index."""
 TASK_IDS = 1 << 23
 """Ids that a task packs, shard after shard."""
-COMMON = 0.05
-"""Ids in more than this share of all documents are stop words of the index."""
 K1, B = 1.2, 0.75
 
 TAILS = (
@@ -111,29 +109,39 @@ def tokenized(docs: DataFrame, path: str = PATH, end_id: int = END_ID, window: i
 
 
 class Index:
-    """BM25 over the documents of one shard; ``ids`` are their ids one behind the other."""
+    """BM25 over the documents of one shard; ``ids`` are their ids one behind the other.
+
+    Every id with an idf is indexed, frequent ones too. A seed's ids lie in most of the
+    documents, so one pass over all entries scores them, and documents that are used up
+    leave the index.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray) -> None:
         length = np.array([len(d) for d in docs])
         ids = np.concatenate(docs).astype(np.int64)
         owner = np.repeat(np.arange(len(docs)), length)
         indexed = idf[ids] > 0
-        keys, times = np.unique(ids[indexed] * len(docs) + owner[indexed], return_counts=True)
-        term, self.doc = np.divmod(keys, len(docs))
+        keys, times = np.unique(owner[indexed] * len(idf) + ids[indexed], return_counts=True)
+        self.doc, self.term = np.divmod(keys, len(idf))
         norm = K1 * (1 - B + B * length / max(length.mean(), 1))
-        self.weight = idf[term] * times * (K1 + 1) / (times + norm[self.doc])
-        self.terms, self.begin, self.many = np.unique(term, return_index=True, return_counts=True)
-        slot = np.repeat(np.arange(len(self.terms)), self.many)
-        order = np.argsort(self.doc, kind="stable")
-        self.slots = slot[order]
-        self.of = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.n = len(docs)
+        self.weight = idf[self.term] * times * (K1 + 1) / (times + norm[self.doc])
+        self.asked = np.zeros(len(idf))
+        self.n = self.live = len(docs)
+        self.of = np.searchsorted(self.doc, np.arange(self.n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share an indexed id with the seed, best first."""
-        slots = self.slots[self.of[seed] : self.of[seed + 1]]
-        places = ragged(np.arange(len(self.doc)), self.begin[slots], self.many[slots])
-        scores = np.bincount(self.doc[places], self.weight[places], self.n)
+        terms = self.term[self.of[seed] : self.of[seed + 1]]
+        live = self.n - np.count_nonzero(used)
+        if 4 * live < 3 * self.live:
+            keep = ~used[self.doc]
+            keep[self.of[seed] : self.of[seed + 1]] = True
+            self.doc, self.term, self.weight = self.doc[keep], self.term[keep], self.weight[keep]
+            self.of = np.searchsorted(self.doc, np.arange(self.n + 1))
+            self.live = live
+        self.asked[terms] = 1
+        scores = np.bincount(self.doc, self.weight * self.asked[self.term], self.n)
+        self.asked[terms] = 0
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
@@ -269,8 +277,7 @@ def pack_documents(
     n, ids = own.agg(F.count("*"), F.sum(F.octet_length("tail"))).first()
     idf = np.zeros(word_ids(path).size)
     for token, df in counts:
-        if df <= max(COMMON * n, 1):
-            idf[token] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf[token] = np.log(1 + (n - df + 0.5) / (df + 0.5))
     tasks = max(1, -(-(ids or 0) // (width * TASK_IDS)))
     rests = own.where(F.octet_length("tail") > 0)
     full = own.select("doc_id", "doc_tokens", "sequence", F.posexplode("windows").alias("_w", "crc"))

@@ -81,6 +81,60 @@ def test_neighbours_are_those_of_bm25():
     assert index.neighbours(0, used).tolist() == wanted == [3, 1]
 
 
+def brute_force_windows(docs, n_texts, window):
+    """Documents (name, ids) in their order, packed by BM25 over every id; all by plain sums."""
+    ids = [list(d) for _, d in docs]
+    df = {t: sum(t in d[:-1] for d in ids) for d in ids for t in d[:-1]}
+    idf = {t: np.log(1 + (n_texts - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    mean = sum(map(len, ids)) / len(ids)
+    taken, windows, room = [0] * len(ids), [[]], window
+
+    def score(a, b):
+        found = 0.0
+        for t in sorted(set(ids[a]) & set(ids[b]) & set(idf)):
+            times = ids[b].count(t)
+            norm = packing.K1 * (1 - packing.B + packing.B * len(ids[b]) / mean)
+            found += idf[t] * times * (packing.K1 + 1) / (times + norm)
+        return found
+
+    while left := [k for k in range(len(ids)) if taken[k] < len(ids[k])]:
+        scores = {k: score(left[0], k) for k in left[1:]}
+        for k in [left[0], *sorted(scores, key=lambda k: -scores[k])]:
+            part = min(room, len(ids[k]) - taken[k])
+            windows[-1].append((docs[k][0], taken[k], part))
+            taken[k] += part
+            room -= part
+            if not room:
+                windows.append([])
+                room = window
+                break
+    return windows
+
+
+def packed_and_brute_force(spark, path, texts, window):
+    """Full windows that pack_documents makes of short texts, and those of brute force."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = {}
+    for r in packing.pack_documents(docs, window=window).collect():
+        got.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length))
+    got = [[p[1:] for p in sorted(g)] for _, g in sorted(got.items())]
+    got = [g for g in got if sum(p[2] for p in g) == window]
+    own = packing.tokenized(docs, window=window).where("row is not null").orderBy("sketch", "row").collect()
+    ids = [(r.doc_id, np.frombuffer(r.tail, "<u2").tolist()) for r in own]
+    return got, brute_force_windows(ids, len(texts), window)
+
+
+def test_packing_takes_the_neighbours_of_all_ids(spark, tmp_path):
+    # every word stands in far more than a twentieth of the texts
+    pick = random.Random(4)
+    topics = [[f"{a}{b}" for b in "abcdef"] for a in "rtm"]
+    texts = [" ".join(pick.choices(topics[k % 3], k=pick.randint(5, 40))) for k in range(90)]
+    got, want = packed_and_brute_force(spark, str(tmp_path / "docs"), texts, 128)
+    assert len(got) > 10
+    assert got == want[: len(got)]
+
+
 def test_powers():
     assert [packing.powers(n) for n in (0, 1, 12, 4095)] == [[], [1], [8, 4], [1 << k for k in range(11, -1, -1)]]
 
