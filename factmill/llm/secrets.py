@@ -32,6 +32,12 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+KEY_NEXT = "-----BEGIN "
+# between lines of a key: white space, escaped line ends, quotes and marks of quoted lines
+_GAP = r"""(?:[\s"'>#|,*]|\\+[rnt])*+"""
+_RUN = r"(?:[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]++={0,2}(?=[ \t\"']*(?:[\r\n]|\\+[rn]|\Z)))"
+KEY_BODY = re.compile(rf"(?:(?:{_GAP}[A-Z][A-Za-z0-9-]*:[^\r\n\\]*+)*+{_GAP}{_RUN})(?:{_GAP}{_RUN})*+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -111,6 +117,18 @@ def hex_runs(data: np.ndarray, least: int = HEX_LEAST) -> Iterator[tuple[int, in
             yield start, end
 
 
+def key_end(text: str, body: int) -> int:
+    """Where a private key ends whose BEGIN line ends at ``body``.
+
+    That is behind its END line, which stands before any other BEGIN line; without one,
+    behind its lines of base64.
+    """
+    following = text.find(KEY_NEXT, body)
+    stop = len(text) if following < 0 else following
+    match = KEY_END.search(text, body, stop) or KEY_BODY.match(text, body, stop)
+    return match.end() if match else body
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All secrets of a text: kind, start and end in code points, by start and kind."""
     found = []
@@ -131,9 +149,10 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         else:
             match = good = PRIVATE_KEY.match(text, start)
         if match:
-            behind[kind] = match.end()
+            end = key_end(text, match.end()) if kind == "private_key" else match.end()
+            behind[kind] = end
             if good:
-                found.append((kind, start, match.end()))
+                found.append((kind, start, end))
     raw = text.encode("utf-8", "surrogatepass")
     data, seen, chars = np.frombuffer(raw, np.uint8), 0, 0
     for start, end in hex_runs(data):

@@ -112,6 +112,41 @@ def test_checksums_decide():
     assert found[0] == ("checked", 4, 4 + len(good))
 
 
+def test_whole_private_keys_are_found():
+    pick = random.Random(6)
+    lines = ["".join(pick.choices(secrets.BASE62 + "+/", k=n)) for n in (64, 64, 64, 22)]
+    lines[-1] += "=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    keys = [
+        f"{begin}\n{body}\n{end}",
+        f"{begin}\r\n" + "\r\n".join(lines) + f"\r\n{end}",
+        f"{begin}\n{headers}{body}\n{end}",
+        begin + "\\n" + "\\n".join(lines) + "\\n" + end,
+        f"{begin} " + " ".join(lines) + f" {end}",
+        # lines that a quotation marks, and one that is no base64
+        f"{begin}\n> " + "\n> ".join(lines) + f"\n> ...\n> {end}",
+        # no END line
+        f"{begin}\n{body}",
+        f"{begin}\n{headers}{body}",
+        begin + "\\n" + "\\n".join(lines),
+        f"{begin}\n{lines[0]}\n{lines[1][:9]}",
+        begin,
+    ]
+    for key in keys:
+        text = f"é before {key}\nprose goes on here, -----END of it"
+        found = [s for s in secrets.scan(text) if s[0] == "private_key"]
+        assert found == [("private_key", 9, 9 + len(key))], key
+        assert secrets.redacted(text) == "é before <private_key>\nprose goes on here, -----END of it"
+        assert not any(line in secrets.redacted(f"{text}\n{key}") for line in lines)
+    # the second one's END line is not the first one's
+    two = f"{keys[6]}\nkept words between them\n{keys[0]}\nlast words"
+    assert secrets.redacted(two) == "<private_key>\nkept words between them\n<private_key>\nlast words"
+    many = f"{begin} x " * 20000
+    assert len(secrets.scan(many)) == 20000
+
+
 def test_redacted_texts(spark):
     rows = [(1, "ä token = abcdefabcdefabcdef end", None), (2, None, None), (3, "clean", None), (4, "", None)]
     df = spark.createDataFrame(rows, DOCS)
