@@ -54,7 +54,7 @@ def tokenized(docs: DataFrame, path: str = PATH, end_id: int = END_ID, window: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(path)
+        coder = word_ids(path, plain=False)
         task = TaskContext.get().partitionId()
         frequency = np.zeros(coder.size, np.int64)
         row, sequence = task << 33, (1 << 62) | (task << 33)
@@ -270,12 +270,12 @@ def pack_documents(
     documents of their own; an empty table has no pieces.
     """
     table = settle(tokenized(docs, path, end_id, window), "tokenized")
-    width = np.dtype(word_ids(path).type).itemsize
+    width = np.dtype(word_ids(path, plain=False).type).itemsize
     own = table.where("row is not null")
     # one row per id of the vocabulary reaches the driver
     counts = table.where("row is null").groupBy("token").agg(F.sum("df").alias("df")).collect()
     n, ids = own.agg(F.count("*"), F.sum(F.octet_length("tail"))).first()
-    idf = np.zeros(word_ids(path).size)
+    idf = np.zeros(word_ids(path, plain=False).size)
     for token, df in counts:
         idf[token] = np.log(1 + (n - df + 0.5) / (df + 0.5))
     tasks = max(1, -(-(ids or 0) // (width * TASK_IDS)))

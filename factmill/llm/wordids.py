@@ -29,7 +29,7 @@ _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(f"[!-@\\[-`{{-~{_LETTERS}]+")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
 _NONE = np.iinfo(np.int32).max
-_open: dict[str, WordIds] = {}
+_open: dict[tuple[str, bool], WordIds] = {}
 
 
 _KIND = np.zeros(256, np.uint8)
@@ -63,15 +63,23 @@ def _byte_characters() -> list[str]:
 
 
 class WordIds:
-    """The tokenizer in ``path`` with a table of the chunks seen so far."""
+    """The tokenizer in ``path`` with a table of the chunks seen so far.
 
-    def __init__(self, path: str = PATH) -> None:
+    With ``plain`` its added tokens (``<|endoftext|>``) are encoded like any other
+    characters of a text; without it they are one id each, as the library has it.
+    """
+
+    def __init__(self, path: str = PATH, plain: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        added = [] if plain else whole["added_tokens"]
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.added_at = re.compile(b"|".join(map(re.escape, self.added)))
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.uint16 if self.size <= 1 << 16 else np.uint32
@@ -177,30 +185,53 @@ class WordIds:
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of rows: first, behind the last, their ids, and where each row's ids begin."""
-        for i, j, data, bounds in blocks(texts, BLOCK):
-            data, kind = _lowered(data)
-            before, after = kind[:-1], kind[1:]
-            cut = np.zeros(len(data) + 1, bool)
-            cut[1:-1] = (before > 0) & (after > 0) & ((before != after) | (after == 2))
-            cut[bounds] = True
-            starts, ends, hashes = hashed_words(data, np.flatnonzero(cut))
-            kinds, where, code = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
-            if len(self.known) > KEEP:
-                self.clear()
-            new = ~np.isin(kinds, self.known)
-            if new.any():
-                odd = np.concatenate([[0], np.cumsum(kind != 1)])
-                at = where[new]
-                self._learn(data, odd, starts[at], ends[at], kinds[new])
-            at = np.searchsorted(self.known, kinds)[code]
-            count = self.count[at]
-            total = np.concatenate([[0], np.cumsum(count)])
-            ids = ragged(self.flat, self.first[at], count)
-            yield i, j, ids, total[np.searchsorted(starts, bounds)]
-
-
-def word_ids(path: str = PATH) -> WordIds:
+        for i, j, raw, bounds in blocks(texts, BLOCK):
+            yield i, j, *self._with_added(raw, bounds)
+
+    def _with_added(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a run and where each row's begin; added tokens are one id each."""
+        found = list(self.added_at.finditer(raw)) if self.added else []
+        if not found:
+            return self._run(raw, bounds)
+        at, to = (np.array([f(m) for m in found]) for f in (re.Match.start, re.Match.end))
+        # what begins in one row and ends in another is no token
+        inside = to <= bounds[np.searchsorted(bounds, at, "right")]
+        own = np.array([self.added[m[0]] for m in found], self.type)[inside]
+        at, to = at[inside], to[inside]
+        edges = np.unique(np.concatenate([bounds, at, to]))
+        ids, begin = self._run(raw, edges)
+        first, count = begin[:-1].copy(), np.diff(begin)
+        parts = np.searchsorted(edges, at)
+        first[parts], count[parts] = len(ids) + np.arange(len(at)), 1
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = ragged(np.concatenate([ids, own]), first, count)
+        return ids, total[np.searchsorted(edges, bounds)]
+
+    def _run(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a run, added tokens as other characters, and where each row's begin."""
+        data, kind = _lowered(raw)
+        before, after = kind[:-1], kind[1:]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (before > 0) & (after > 0) & ((before != after) | (after == 2))
+        cut[bounds] = True
+        starts, ends, hashes = hashed_words(data, np.flatnonzero(cut))
+        kinds, where, code = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
+        if len(self.known) > KEEP:
+            self.clear()
+        new = ~np.isin(kinds, self.known)
+        if new.any():
+            odd = np.concatenate([[0], np.cumsum(kind != 1)])
+            at = where[new]
+            self._learn(data, odd, starts[at], ends[at], kinds[new])
+        at = np.searchsorted(self.known, kinds)[code]
+        count = self.count[at]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = ragged(self.flat, self.first[at], count)
+        return ids, total[np.searchsorted(starts, bounds)]
+
+
+def word_ids(path: str = PATH, plain: bool = True) -> WordIds:
     """The tokenizer of this process, read once."""
-    if path not in _open:
-        _open[path] = WordIds(path)
-    return _open[path]
+    if (path, plain) not in _open:
+        _open[path, plain] = WordIds(path, plain)
+    return _open[path, plain]

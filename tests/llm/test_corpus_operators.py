@@ -5,9 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from factmill.llm import language, packing, tokenfiles, topk, toxicity
-from factmill.llm.wordids import word_ids
+from factmill.llm.wordids import PATH, word_ids
 from plain import HARD_TEXTS
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def library_ids(text):
@@ -135,6 +136,25 @@ def test_packing_takes_the_neighbours_of_all_ids(spark, tmp_path):
     assert got == want[: len(got)]
 
 
+def test_packed_ids_are_those_of_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    end, begin = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"a {end} b", f"{end}{begin}", f"x{begin}'s{end}\u0301A", "<|ENDOFTEXT|> <|endof", "text|> 12", end, "", None]
+    texts += [f"{t or ''} {end}" for t in HARD_TEXTS]
+    rows = list(enumerate(texts))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    seen = {}
+    for r in packing.pack_documents(spark.read.parquet(path), window=64).collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [packing.END_ID]
+        assert r.doc_tokens == len(ids), texts[r.doc_id]
+        piece = np.array(ids[r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(piece.tobytes()), texts[r.doc_id]
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+        assert seen[r.doc_id] <= r.doc_tokens
+    assert len(seen) == len(texts)
+
+
 def test_powers():
     assert [packing.powers(n) for n in (0, 1, 12, 4095)] == [[], [1], [8, 4], [1 << k for k in range(11, -1, -1)]]
 
