@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factmill.llm import jaccard, language, packing, secrets, toxicity
 from factmill.llm.queries import held_out, table
+from factmill.llm.rows import numbered
 from factmill.session import settle
 
 
@@ -30,9 +31,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest doc_id of each group that five-word shingles link at 0.8."""
-    groups = jaccard.jaccard_groups(docs, size=5, percent=80)
+    rows = numbered(docs, whole(docs))
+    texts = rows.select("row", "document.doc_id", "document.text")
+    groups = jaccard.numbered_groups(texts, size=5, percent=80)
     kept = settle(groups.where("kept").select("row"), "kept")
-    rows = docs.select(whole(docs), F.monotonically_increasing_id().alias("row"))
     return rows.join(kept, "row", "left_semi").select("document.*")
 
 

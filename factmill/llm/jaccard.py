@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm.components import components
+from factmill.llm.rows import numbered
 from factmill.llm.words import LOWER, blocks, hashed_words, mix
 from factmill.session import settle
 
@@ -146,8 +147,8 @@ def _node(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, size: int) -> DataFrame:
     """``row``, ``doc_id``, ``n_shingles``, ``node`` and ``counts`` of every text.
 
-    ``node`` tells sets apart and is null for texts without words. Rows are numbered by
-    their place, so ``docs`` must read stored tables.
+    ``node`` tells sets apart and is null for texts without words. ``docs`` has its rows
+    numbered.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["row", "doc_id", "n_shingles", "node", "counts"]
@@ -169,7 +170,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
                     names,
                 )
 
-    return numbered(docs).mapInArrow(
+    return docs.select("row", "doc_id", "text").mapInArrow(
         run, f"row long, doc_id {kind}, n_shingles long, node long, counts binary"
     )
 
@@ -215,10 +216,6 @@ def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return settle(keyed(rows, size, percent).select("node", "key").join(cells, "key"), "nodes")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-
-
 def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of nodes that share a key with one of them as leader.
 
@@ -358,7 +355,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, pe
     wanted = settle(points.select("row", "node").join(nodes, "node"), "wanted")
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
-    texts = settle(numbered(docs).join(wanted, "row").select("node", "text"), "texts")
+    texts = settle(docs.join(wanted, "row").select("node", "text"), "texts")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
 
@@ -480,7 +477,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     texts included, link with nothing. Repeated rows, whatever their doc_id, share a set
     and are one group. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    return numbered_groups(numbered(docs, "doc_id", "text"), size, percent)
+
+
+def numbered_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The same of ``docs`` (row, doc_id, text), whose rows are numbered."""
     profile = settle(profiles(docs, size), "profiles")
     sets = profile.where("node is not null")
     # the smallest doc_id, a null one last
@@ -502,7 +503,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     touched = settle(touched.select("row", F.coalesce("component", "node").alias("component")), "touched")
     if touched.count() <= SENT_ROWS:
         touched = F.broadcast(touched)
-    nodes = shared_cells(numbered(docs).join(touched, "row"), size, percent)
+    nodes = shared_cells(docs.join(touched, "row"), size, percent)
     for draw in range(ROUNDS + 1):
         cells, members = open_cells(nodes, labels, draw)
         if cells.isEmpty():

@@ -20,6 +20,7 @@ from factmill.llm import (
     topk,
     toxicity,
 )
+from factmill.llm.rows import numbered
 from factmill.session import settle, settled_folder
 
 # The ASCII letters that the contract lower-cases.
@@ -130,12 +131,10 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     first one counts. A row without doc_id has no next one: its edited text is its first
     part, and ``near_next`` is 0.
     """
-    docs = table(spark, folder, "documents").select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
+    docs = numbered(
+        table(spark, folder, "documents"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
-    # one small row per document; rows are numbered by their place in the stored files
+    # one small row per document
     sizes = settle(docs.select("row", "doc_id", F.char_length("text").alias("n")), "sizes")
     ids = sizes.groupBy("doc_id").agg(F.min("row").alias("first"), F.max("n").alias("n"))
     order = fingerprints.neighbours(ids, "doc_id")
