@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from factmill.llm import (
     jaccard,
     language,
     packing,
+    periodic,
     secrets,
     shards,
     tokenfiles,
@@ -232,6 +234,41 @@ def op9_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "part", "place")
 
 
+def loops(n: int, h: int) -> np.ndarray | None:
+    """For every tenth checksum, places that from some word on go round a part of the text."""
+    g = h // 10
+    if h % 10:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    return np.where(places < a, places, a + (places - a) % p)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words that repeat with a period, in every text; a tenth of them is made to repeat.
+
+    A row without doc_id has no checksum and keeps its text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = table(spark, folder, "documents").select("doc_id", periodic.runs("text", loops, h).alias("f"))
+    found = found.select("doc_id", "f.runs", "f.collapsed_sha256")
+    # the smallest is the longest, then the first, then that of the smaller period
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        (-best["length"]).alias("length"),
+        best["period"].alias("period"),
+        F.floor(-1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(line, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -245,5 +282,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_convolutional_toxicity,
         op9_separator_scan,
         op10_multiset_fingerprints,
+        op11_periodic_runs,
     )
 }
