@@ -61,3 +61,19 @@ def head_bound(counts: DataFrame, column: str, limit: int = HEAD) -> int:
         if total > limit:
             return 1 << digit
     return 1
+
+
+def with_tail(parts: DataFrame, rest: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of ``parts`` without a key, their ``columns`` completed from the table of the tail.
+
+    ``parts`` has a row without a key for each ``row``, and a row with a key and ``n``, how
+    often it occurs, for each key of the tail in it. ``rest`` has ``columns`` by key.
+    """
+    tail = parts.where(F.col(key).isNotNull()).select("row", key, F.col("n").alias("_times"))
+    # neither side has a size that is known to be small
+    tail = tail.join(rest.select(key, *columns).hint("merge"), key)
+    tail = tail.groupBy("row").agg(*[F.sum(F.col("_times") * F.col(c)).alias(f"_{c}") for c in columns])
+    whole = parts.where(F.col(key).isNull()).drop(key).hint("merge").join(tail, "row", "left")
+    return whole.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in columns}).drop(
+        *[f"_{c}" for c in columns]
+    )

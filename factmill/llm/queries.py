@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm import (
+    alignment,
     bpe,
     fingerprints,
     jaccard,
     language,
+    lattice,
     packing,
     periodic,
     secrets,
@@ -269,6 +271,30 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_arrow_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two tokenizers in every text, their links and how frequent these are."""
+    return alignment.alignments(table(spark, folder, "documents"))
+
+
+def op13_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probabilities of every text; every fifth by the checksum of its id is held out.
+
+    A row without doc_id has no checksum and is not held out.
+    """
+    docs = table(spark, folder, "documents")
+    mod = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    held = F.coalesce(mod == 1, F.lit(False))
+    return lattice.scores(docs, ~held).select(
+        "doc_id",
+        held.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -283,5 +309,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_separator_scan,
         op10_multiset_fingerprints,
         op11_periodic_runs,
+        op12_arrow_alignment,
+        op13_subword_lattice,
     )
 }
