@@ -315,9 +315,11 @@ def scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
+        if not table.num_rows:
+            return  # no rows, not even an end
         order = pc.sort_indices(pc.is_null(table.column("word")))
         table = table.take(order).combine_chunks()
-        # the last is the end; a table without any has no rows to score
+        # the last is the end
         names = table.column("word").combine_chunks().cast(pa.large_binary())[:-1]
         values = np.stack([table.column(c).to_numpy().astype(float) for c in ("known", "base", "score")], 1)
         values, end = values[:-1], values[-1]

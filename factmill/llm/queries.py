@@ -74,6 +74,43 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM scored)
 WHERE rank <= 10""",
+    # the checksum of an id: bytes and eight shifts for each, by the reversed polynomial
+    "op11_periodic_runs": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, v: CASE WHEN v >= 0 THEN xor(s, v) ELSE xor(s >> 1, 3988292384 * (s & 1)) END),
+      4294967295) AS h
+  FROM documents),
+places AS (
+  SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM texts),
+words AS (
+  SELECT r, i, w[1 + CASE WHEN h % 10 = 0 AND i >= a
+    THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM places)),
+same AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND x.i < y.i),
+stretches AS (
+  SELECT r, q, min(i) AS s, max(i) + 1 + q AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+  GROUP BY r, q, island),
+runs AS (
+  SELECT r, s, e - s AS m, min(q) AS q FROM stretches
+  WHERE e - s >= greatest(12, 2 * q) GROUP BY r, s, e),
+found AS (
+  SELECT r, count(*) AS n_runs, min({'m': -m, 's': s, 'q': q}) AS best,
+    string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY r),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words
+  ANTI JOIN (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM runs) USING (r, i)
+  GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.m AS length, best.q AS period,
+  1000 * -best.m // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM texts LEFT JOIN found USING (r) LEFT JOIN kept USING (r)""",
 }
 BATCH_ROWS = "1000"
 
