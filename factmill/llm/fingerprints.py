@@ -9,8 +9,11 @@ paragraphs' vectors, lane by lane, modulo 2 ** 32. So
 
 The first ``EXACT`` lanes are pseudo-random numbers drawn from the whole paragraph: any
 other multiset gives other sums, but for a chance of 2 ** -64 a pair. The remaining
-``SIGNS`` lanes add up signs hashed from the clauses of the paragraph: their cosine
-estimates what share of clauses two texts have in common.
+``SIGNS`` lanes add up signs hashed from the runs of the paragraph: their cosine estimates
+what share of runs two texts have in common. A run is four words, or as many pieces of eight
+characters where a word is longer, counted from the beginning of the paragraph, whatever its
+script and punctuation. Paragraphs of up to ``SHORT`` characters are cut into pieces of three,
+as they have too few words to be alike in some.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 EXACT, SIGNS = 16, 64
 LANES = EXACT + SIGNS
 MODULUS = 1 << 32
-PARAGRAPH, CLAUSE = "\n", r"[.,;:!?|]+\s*"
+PARAGRAPH, RUN = "\n", r"(?:\S{1,8}\s*){1,4}"
+SHORT, PIECE = 48, r"(?s).{1,3}"
 
 
 def _low(x: Column) -> Column:
@@ -44,7 +48,10 @@ def fingerprints(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
             F.xxhash64(p, F.lit(0)).alias("a"),
             F.xxhash64(p, F.lit(1)).alias("b"),
             F.transform(
-                F.filter(F.split(p, CLAUSE, -1), lambda c: c != ""), lambda c: F.xxhash64(c)
+                F.when(F.char_length(p) <= SHORT, F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))).otherwise(
+                    F.regexp_extract_all(p, F.lit(RUN), F.lit(0))
+                ),
+                lambda c: F.xxhash64(F.rtrim(c)),
             ).alias("c"),
         ),
     )

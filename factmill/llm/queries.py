@@ -187,8 +187,9 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     heads = (
         known.join(giving, "doc_id")
-        # equality would become a key of the join and call for a shuffle of its own
-        .where(F.col("row") <= F.col("first"))
+        # equality would become a key of the join and call for a shuffle of its own; a bare
+        # comparison would ask the scan for rows that have a number, and so for other rows
+        .where(F.coalesce(F.col("row") <= F.col("first"), F.lit(False)))
         .select(F.col("_previous").alias("doc_id"), F.substring("text", F.lit(1), F.col("room")).alias("head"))
     )
     n = F.char_length("text")

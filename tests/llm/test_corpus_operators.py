@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
+FRESH = Tokenizer.from_file(PATH)
+
+
 def library_ids(text):
+    """By the tokenizer as it is, which takes literals of its added tokens for one id each."""
+    return FRESH.encode(text or "", add_special_tokens=False).ids
+
+
+def separated_ids(text):
+    """By the setting of the separator scan, which takes them for other characters."""
     return word_ids().tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
