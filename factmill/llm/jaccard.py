@@ -15,8 +15,8 @@ few cells more than needed, empty cells can go without a key.
 leader, which settles large groups of copies without comparing their members. Cells whose
 nodes still belong to different components get other leaders, drawn per cell, and those
 that stay open are searched with an R-tree over the points: its boxes and points are passed
-over if the bound is too small. Pairs that survive the bound are verified on their whole
-sets. No pair is left out at any size, and no cell is
+over if the bound is too small. Pairs that survive are bounded again by points with a group
+for each shingle, and those that survive this are verified on their whole sets. No pair is left out at any size, and no cell is
 gathered: hot cells meet as leaders of blocks, then as pairs of blocks.
 
 Shingles are compared as 52-bit hashes and sets as 64-bit sums of them: two different
@@ -348,14 +348,78 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets; texts are fetched for their nodes only."""
-    pairs = settle(bounded(pairs, points, percent), "pairs")
+def wanted_texts(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node`` and ``text`` of the nodes of the pairs."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = settle(points.select("row", "node").join(nodes, "node"), "wanted")
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
-    texts = settle(docs.join(wanted, "row").select("node", "text"), "texts")
+    return docs.join(wanted, "row").select("node", "text")
+
+
+def fine_points(texts: DataFrame, size: int) -> DataFrame:
+    """Points with as many groups as a text has shingles, a power of two: node and counts.
+
+    They take a byte a group unless a count is larger, so a fraction of the text's room.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for own in _lined_up(text_sets(batch.column(1), size)):
+                groups = max(GROUPS, 1 << (len(own) - 1).bit_length())
+                found = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+                kind = "u1" if found.max() < 256 else "<u4"
+                counts.append(kind[-1].encode() + found.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], ["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+
+
+def _fine(value: bytes) -> np.ndarray:
+    kind = "u1" if value[:1] == b"1" else "<u4"
+    return np.frombuffer(value, kind, offset=1).astype(np.int64)
+
+
+def bounded_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed minima of two fine points; the finer one is folded to the groups of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.minimum(a.reshape(-1, len(b)).sum(0), b).sum())
+
+
+def finely_bounded(pairs: DataFrame, points: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose overlap may suffice by their fine points."""
+    sized = fine.join(points.select("node", "n_shingles"), "node")
+    for side in ("a", "b"):
+        pairs = pairs.join(
+            sized.select(
+                F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("fine").alias(f"f_{side}")
+            ),
+            side,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            points = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = [bounded_overlap(_fine(a), _fine(b)) >= n for (a, b), n in zip(points, least.tolist())]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets.
+
+    The groups of a point are too few to tell long texts apart. So pairs that pass the bound
+    are bounded once more by points of more groups, and texts are fetched, and sent along,
+    for what remains, which is little more than the links.
+    """
+    pairs = settle(bounded(pairs, points, percent), "pairs")
+    fine = settle(fine_points(wanted_texts(pairs, points, docs), size), "fine")
+    pairs = settle(finely_bounded(pairs, points, fine, percent), "likely")
+    texts = settle(wanted_texts(pairs, points, docs), "texts", "zstd")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
 

@@ -102,3 +102,28 @@ def test_components_of_chains_and_stars(spark):
     want = {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)} | {300: 300, -5: -5, 400: -5}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fine_points_bound_the_overlap():
+    pick = np.random.default_rng(5)
+    for _ in range(200):
+        a = pick.integers(0, 1 << 52, pick.integers(1, 3000), dtype=np.uint64)
+        b = np.concatenate([a[: pick.integers(0, len(a) + 1)], pick.integers(0, 1 << 52, pick.integers(1, 900), dtype=np.uint64)])
+        points = []
+        for own in (a, b):
+            groups = max(jaccard.GROUPS, 1 << (len(np.unique(own)) - 1).bit_length())
+            points.append(np.bincount((np.unique(own) & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
+        common = len(np.intersect1d(a, b))
+        assert common <= jaccard.bounded_overlap(*points) <= min(len(np.unique(a)), len(np.unique(b)))
+
+
+def test_fine_points_of_texts(spark):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (1, 3, 200, 5000)] + ["q " * 2000, "a b " * 700]
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for r in jaccard.fine_points(frame, 3).collect():
+        n = len(shingles(texts[r.node], 3))
+        point = jaccard._fine(bytes(r.fine))
+        assert point.sum() == n and len(point) >= n
+    # a group that holds more than a byte can count
+    wide = b"4" + np.full(128, 300, "<u4").tobytes()
+    assert jaccard._fine(wide).sum() == 128 * 300
