@@ -46,6 +46,34 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def document_frequency(ids: np.ndarray, bounds: np.ndarray, size: int, docs: int = 128) -> np.ndarray:
+    """In how many documents each id occurs: marks in a table of some documents at a time."""
+    total = np.zeros(size, np.int64)
+    for at in range(0, len(bounds) - 1, docs):
+        to = min(at + docs, len(bounds) - 1)
+        own = ids[bounds[at] : bounds[to]].astype(np.int64)
+        marks = np.zeros(((to - at), size), np.uint8)
+        marks.ravel()[np.repeat(np.arange(to - at) * size, np.diff(bounds[at : to + 1])) + own] = 1
+        total += marks.sum(0, dtype=np.uint8)
+    return total
+
+
+def _sketches(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The smallest hash of two neighbouring ids of each document; 0 without two ids."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    if not len(ids):
+        return out
+    pairs = np.full(len(ids), np.iinfo(np.uint64).max, np.uint64)
+    pairs[:-1] = mix(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:])
+    size = np.diff(bounds)
+    # no pair across two documents
+    pairs[bounds[1:][size > 0] - 1] = np.iinfo(np.uint64).max
+    some = size > 0
+    least = np.minimum.reduceat(pairs, bounds[:-1][some])
+    out[some] = np.where(size[some] > 1, least >> np.uint64(1), 0).astype(np.int64)
+    return out
+
+
 def tokenized(docs: DataFrame, path: str = PATH, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """Full windows and the rest of every document; in other rows each task's id counts.
 
@@ -62,33 +90,36 @@ def tokenized(docs: DataFrame, path: str = PATH, end_id: int = END_ID, window: i
         names = ["row", "doc_id", "doc_tokens", "windows", "sequence", "start", "tail", "sketch", "token", "df"]
         for batch in batches:
             for i, j, ids, bounds in coder.column(batch.column(1)):
-                owner = np.repeat(np.arange(j - i), np.diff(bounds))
-                used = np.unique(owner * coder.size + ids) % coder.size
-                frequency += np.bincount(used, minlength=coder.size)
-                pairs = np.zeros(len(ids) + 1, np.uint64)
-                pairs[1:-1] = mix(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:])
-                windows, numbers, starts, tails, sketches = [], [], [], [], []
-                for k in range(j - i):
-                    own = np.append(ids[bounds[k] : bounds[k + 1]], coder.type(end_id))
-                    full = len(own) // window
-                    windows.append([_crc(own[w * window : (w + 1) * window]) for w in range(full)])
-                    numbers.append(sequence)
-                    sequence += full
-                    starts.append(full * window)
-                    tails.append(own[full * window :].astype(little).tobytes())
-                    inner = pairs[bounds[k] + 1 : bounds[k + 1]]
-                    sketches.append(int(inner.min() >> np.uint64(1)) if len(inner) else 0)
                 n = j - i
+                frequency += document_frequency(ids, bounds, coder.size)
+                # every document's ids and its end, one behind the other
+                own = np.full(len(ids) + n, end_id, coder.type)
+                inside = np.ones(len(own), bool)
+                inside[bounds[1:] + np.arange(n)] = False
+                own[inside] = ids
+                first = bounds + np.arange(n + 1)
+                full = np.diff(first) // window
+                starts = full * window
+                flat = own.astype(little).tobytes()
+                begin = ((first[:-1] + starts) * little.itemsize).tolist()
+                tails = [flat[a:b] for a, b in zip(begin, (first[1:] * little.itemsize).tolist())]
+                windows: list[list[int]] = [[] for _ in range(n)]
+                for k in np.flatnonzero(full).tolist():
+                    cuts = range(first[k], first[k] + starts[k], window)
+                    windows[k] = [_crc(own[cut : cut + window]) for cut in cuts]
+                numbers = sequence + np.cumsum(full) - full
+                sequence += int(full.sum())
+                sketches = _sketches(ids, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)),
                         batch.column(0).slice(i, n),
                         pa.array(np.diff(bounds) + 1),
                         pa.array(windows, pa.list_(pa.int64())),
-                        pa.array(numbers, pa.int64()),
-                        pa.array(starts, pa.int64()),
+                        pa.array(numbers.astype(np.int64)),
+                        pa.array(starts.astype(np.int64)),
                         pa.array(tails, pa.binary()),
-                        pa.array(sketches, pa.int64()),
+                        pa.array(sketches),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.int64()),
                     ],
