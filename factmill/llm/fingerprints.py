@@ -10,8 +10,8 @@ paragraphs' vectors, lane by lane, modulo 2 ** 32. So
 The first ``EXACT`` lanes are pseudo-random numbers drawn from the whole paragraph: any
 other multiset gives other sums, but for a chance of 2 ** -64 a pair. The remaining
 ``SIGNS`` lanes add up signs hashed from the runs of the paragraph: their cosine estimates
-what share of runs two texts have in common. A run is four words, or as many pieces of eight
-characters where a word is longer, counted from the beginning of the paragraph, whatever its
+what share of runs two texts have in common. A run is four short words, or as many pieces of
+four characters where a word is longer, counted from the beginning of the paragraph, whatever its
 script and punctuation. Paragraphs of up to ``SHORT`` characters are cut into pieces of three,
 as they have too few words to be alike in some.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 EXACT, SIGNS = 16, 64
 LANES = EXACT + SIGNS
 MODULUS = 1 << 32
-PARAGRAPH, RUN = "\n", r"(?:\S{1,8}\s*){1,4}"
+PARAGRAPH, RUN = "\n", r"(?:\S{1,4}\s*){1,4}"
 SHORT, PIECE = 48, r"(?s).{1,3}"
 
 

@@ -215,11 +215,13 @@ def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     prints = settle(prints, "prints")
     whole = prints.where("kind = 0")
     changed = prints.where("kind = 1").select("row", F.col("sha").alias("edited_sha256"), F.col("lanes").alias("edited"))
-    firsts = order.select(F.col("doc_id").alias("_next"), F.col("first").alias("row"))
-    following = firsts.join(order.select("doc_id", "_next"), "_next").select("doc_id", "row")
-    following = following.join(whole.select("row", F.col("lanes").alias("following")), "row").drop("row")
+    # small rows name the first row of the next document; then all meet by row
+    firsts = order.select(F.col("doc_id").alias("_next"), F.col("first").alias("_first"))
+    nexts = sizes.select("row", "doc_id").join(order.select("doc_id", "_next"), "doc_id")
+    nexts = nexts.join(firsts, "_next").select("row", "_first")
+    following = nexts.join(whole.select(F.col("row").alias("_first"), F.col("lanes").alias("following")), "_first")
     same, other = fingerprints.likeness, F.col("following")
-    return whole.join(changed, "row").join(following, "doc_id", "left").select(
+    return whole.join(changed, "row").join(following.select("row", "following"), "row", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",

@@ -176,7 +176,7 @@ def test_token_counts_of_flat_files(spark, tmp_path):
     places = tokenfiles.write_token_files(spark.read.parquet(path), files)
     for block_ids in (1, 7, 1 << 20):
         got = tokenfiles.count_written(places, files, 2, block_ids).collect()
-        assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, len(library_ids(t))) for k, t in rows)
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, len(separated_ids(t))) for k, t in rows)
     empty = tokenfiles.write_token_files(spark.read.parquet(path).limit(0), files)
     assert tokenfiles.count_written(empty, files, 2).count() == 0
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from factmill.llm import bpe, queries
 from plain import base_secrets
-from test_corpus_operators import check_packing, library_ids
+from test_corpus_operators import check_packing, separated_ids
 from workload import compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -98,7 +98,7 @@ def test_toxic(spark, texts):
 
 def test_counted(spark, texts):
     out = run(spark, "op9_separator_scan").collect()
-    assert {r.doc_id: r.n_tokens for r in out} == {k: len(library_ids(t)) for k, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in out} == {k: len(separated_ids(t)) for k, t in texts.items()}
 
 
 def test_fingerprinted(spark, texts):
