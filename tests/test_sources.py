@@ -220,3 +220,31 @@ def test_load_without_url_is_skipped(clean_small):
         jdbc.load_table(clean_small.drop("date"), "jdbc:x", "t")
     with pytest.raises(ValueError, match="mode"):
         jdbc.load_table(clean_small, "jdbc:x", "t", mode="merge")
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7, 40, 123, 400, 1000])
+def test_first_in_order_is_a_sorted_prefix(spark, tmp_path, rows):
+    import random
+
+    pick = random.Random(rows)
+    # nulls, ties in the first columns, NaN, and a last column that tells rows apart
+    data = [
+        (pick.choice([None, "a", "b", "b", "c"]), pick.choice([None, 1.5, float("nan"), -2.0]), k)
+        for k in pick.sample(range(600), 600)
+    ]
+    spark.createDataFrame(data, "x string, y double, z int").repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = readers.first_in_order(df, rows, ["x", "y", "z"], small=20, pivots=4)
+    assert [r.z for r in got.orderBy("x", "y", "z").collect()] == [
+        r.z for r in df.orderBy("x", "y", "z").limit(rows).collect()
+    ]
+    # tied rows: as many as have room
+    few = readers.first_in_order(df.select("x"), rows, ["x"], small=20, pivots=4)
+    assert [r.x for r in few.orderBy("x").collect()] == [r.x for r in df.select("x").orderBy("x").limit(rows).collect()]
+
+
+def test_first_in_order_moves_no_rows(spark, tmp_path):
+    spark.range(0, 50_000, 1, 4).selectExpr("hash(id) AS h", "id").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = readers.first_in_order(df, 30_000, ["h", "id"], small=1000)
+    assert got.count() == 30_000 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -745,6 +745,11 @@ SELECT timestamp, demo_mode, records_initial, records_final, stage,
        duration_s AS duration_seconds, records_in, staged.records_out
 FROM runs JOIN staged USING (day)""",
         "streamed_rows": f"WITH {CLEAN} SELECT * FROM normal",
+        "streamed_unique_rows": f"WITH {CLEAN} SELECT DISTINCT * FROM normal",
+        "streamed_totals": f"""WITH {CLEAN}, {UNIQUE_ROWS}, {grouped('unique_rows')}
+SELECT * FROM totals""",
+        "refreshed_totals": f"""WITH {CLEAN}, {UNIQUE_ROWS}, {grouped('unique_rows')}
+SELECT * FROM totals""",
         "run_latest": f"""WITH {RUNS}
 SELECT '1.0' AS schema_version, timestamp, demo_mode, total_duration_seconds, records_initial,
        records_final, reduction_pct, completeness_pct, CAST(0 AS BIGINT) AS outliers_detected,

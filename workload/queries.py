@@ -24,10 +24,12 @@ from factmill.operators import (
 )
 from factmill.plans.dashboard import TAGS, dashboard
 from factmill.plans.etl import publish_run, run_etl
+from factmill.plans.refresh import read_refreshed, refresh_totals
 from factmill.plans.training import train_and_evaluate
 from factmill.session import settle, settled_folder
 from factmill.sources import dimensions, readers, sample, writers
 from factmill.streaming import rows as stream_rows
+from factmill.streaming import totals as stream_totals
 from workload import tables
 from workload.tables import SPEC, TRAIN_UNTIL
 
@@ -784,6 +786,54 @@ def streamed_rows(spark, folder):
     return spark.read.schema(cleaned.schema).parquet(f"{trip}/rows")
 
 
+def _arrivals(spark, folder, trip: str):
+    """The dirty rows as files that come one by one; writes the files of one turn."""
+    dirty = settle(tables.dirty_facts(spark, folder), "dirty")
+    part = F.pmod(F.xxhash64(*dirty.columns), F.lit(3))
+
+    def arrive(*parts: int) -> None:
+        for k in parts:
+            dirty.where(part == k).write.mode("append").parquet(f"{trip}/raw")
+
+    return dirty.schema, arrive
+
+
+@query
+def streamed_unique_rows(spark, folder):
+    """Cleaned rows without copies, from files in three batches of which two come again."""
+    trip = _fresh_folder(spark)
+    schema, arrive = _arrivals(spark, folder, trip)
+    arrive(0, 1, 0, 2, 1)
+    arrivals = stream_totals.read_arrivals(spark, f"{trip}/raw", schema, files_per_batch=2)
+    unique = stream_totals.unique_stream(clean.clean_rows(arrivals, SPEC), "1 day")
+    stream_rows.append_to(unique, f"{trip}/rows", f"{trip}/progress").awaitTermination()
+    return spark.read.schema(unique.schema).parquet(f"{trip}/rows")
+
+
+@query
+def streamed_totals(spark, folder):
+    """Totals kept by a stream that is stopped and started again, with files that come twice."""
+    trip = _fresh_folder(spark)
+    schema, arrive = _arrivals(spark, folder, trip)
+    arrive(2, 0)
+    stream_totals.stream_to_totals(spark, f"{trip}/raw", schema, trip, "1 day", 1, SPEC)
+    arrive(2, 1, 0)
+    return stream_totals.stream_to_totals(spark, f"{trip}/raw", schema, trip, "1 day", 2, SPEC)
+
+
+@query
+def refreshed_totals(spark, folder):
+    """Totals by month after refreshes for the first files, for later years, and for none."""
+    trip = _fresh_folder(spark)
+    dirty = settle(tables.dirty_facts(spark, folder), "dirty")
+    late = F.coalesce(F.col("Year") >= "1998", F.lit(False))
+    for rows in (dirty.where(~late), dirty.where(late), None):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{trip}/raw")
+        refresh_totals(spark, f"{trip}/raw", trip, dirty.schema, SPEC)
+    return read_refreshed(spark, trip, SPEC)
+
+
 # --- run log ----------------------------------------------------------------
 
 
