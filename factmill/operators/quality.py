@@ -250,18 +250,14 @@ def check(df: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> bool:
 
 
 def report_lines(report: DataFrame, stamp: str) -> DataFrame:
-    """The report as text lines, in rule order, one ``value`` column."""
-    status = F.when(F.col("severity") == "info", F.col("detail")).otherwise(
-        F.when(F.col("passed"), F.lit("[OK] PASS")).otherwise(
-            F.concat(
-                F.lit("[WARN] "),
-                F.col("observed").cast("string"),
-                F.when(F.col("detail") != "", F.concat(F.lit(" "), "detail")).otherwise(""),
-            )
-        )
+    """The report as text, one ``value`` column: when it was made, then a line for each rule,
+    which begins with ``info``, ``ok`` or ``found`` so that it can be searched for."""
+    name, more = F.col("rule"), F.col("detail")
+    found = F.concat_ws(" ", F.lit("found"), F.col("observed").cast("string"), F.lit("in"), name)
+    line = (
+        F.when(F.col("severity") == "info", F.concat_ws(" ", F.lit("info"), name, F.lit("is"), more))
+        .when(F.col("passed"), F.concat(F.lit("ok "), name))
+        .otherwise(F.when(more != "", F.concat(found, F.lit(" ("), more, F.lit(")"))).otherwise(found))
     )
-    lines = report.select(F.concat(F.lit("  "), "rule", F.lit(": "), status).alias("value"))
-    rule = "=" * 70
-    head = [rule, "DATA VALIDATION REPORT", f"Date: {stamp}", rule]
-    heading = report.sparkSession.createDataFrame([(line,) for line in head], "value string")
-    return heading.coalesce(1).unionAll(lines).coalesce(1)
+    made = report.sparkSession.createDataFrame([(f"# rules checked at {stamp}",)], "value string")
+    return made.coalesce(1).unionAll(report.select(line.alias("value"))).coalesce(1)

@@ -133,7 +133,7 @@ def test_validated_save(spark, clean_small, tmp_path):
     )
     assert spark.read.parquet(paths["parquet"]).count() == 3
     text = [r[0] for r in spark.read.text(paths["validation_report"]).collect()]
-    assert "  required_columns: [WARN] 1 value" in text
+    assert "found 1 in required_columns (value)" in text
 
 
 def test_dimensions(spark, tmp_path):

@@ -448,34 +448,31 @@ SELECT totals.*, CAST(total_crimes > threshold AS INTEGER) AS label FROM totals,
 
 
 def summary_sql() -> str:
-    rule = "=" * 70
     return f"""WITH {RUNS}, listed AS (
-  SELECT day, list(printf('    - %s: %.2fs', stage, duration_s) ||
-    CASE WHEN records_in IS NULL THEN '' ELSE printf('  [%d > %d]', records_in, records_out) END
-    ORDER BY stage) AS lines
-  FROM staged GROUP BY day),
+  SELECT day, list(concat_ws(' ',
+    printf('%5.1f%%', coalesce(100 * duration_s / nullif(total_duration_seconds, 0), 0)), stage,
+    printf('(%.2f s,', duration_s),
+    coalesce(records_in::VARCHAR, '?') || ' rows to ' || coalesce(records_out::VARCHAR, '?') || ')')
+    ORDER BY duration_s DESC, stage) AS lines
+  FROM staged JOIN runs USING (day) GROUP BY day),
 whole AS (
-  SELECT timestamp, list_concat(list_concat(
-    ['{rule}', 'RUN SUMMARY', '{rule}', '  Run:          ' || timestamp,
-     '  Mode:         ' || {MODE}, printf('  Duration:     %.2f s', total_duration_seconds)],
-    lines),
-    [printf('  Records:      %d > %d (%.1f%% reduction)', records_initial, records_final, reduction_pct),
-     printf('  Completeness: %.1f%%', completeness_pct), '  Outliers:     0',
-     printf('  Warnings:     %d', warnings_count), '{rule}']) AS lines
+  SELECT timestamp, list_concat(
+    [timestamp || ' in mode ' || {MODE},
+     printf('%d of %d rows kept in %.2f s', records_final, records_initial, total_duration_seconds),
+     printf('%.1f%% complete, 0 outliers, %d warnings', completeness_pct, warnings_count)],
+    lines) AS lines
   FROM runs JOIN listed USING (day))
 SELECT timestamp, CAST(unnest(range(len(lines))) AS INTEGER) AS position, unnest(lines) AS line
 FROM whole"""
 
 
 def validation_sql() -> str:
-    rule = "=" * 70
     inner = quality("totals", "total_crimes", True, TOTALS)
-    head = [rule, "DATA VALIDATION REPORT", "Date: 2024-01-31 06:00:00", rule]
-    heads = " UNION ALL ".join(f"SELECT '{line}' AS line" for line in head)
-    return f"""SELECT '  ' || rule || ': ' || CASE WHEN severity = 'info' THEN detail
-  WHEN passed THEN '[OK] PASS'
-  ELSE '[WARN] ' || observed || CASE WHEN detail <> '' THEN ' ' || detail ELSE '' END END AS line
-FROM ({inner}) UNION ALL {heads}"""
+    return f"""SELECT CASE WHEN severity = 'info' THEN 'info ' || rule || ' is ' || detail
+  WHEN passed THEN 'ok ' || rule
+  ELSE 'found ' || observed || ' in ' || rule
+    || CASE WHEN detail <> '' THEN ' (' || detail || ')' ELSE '' END END AS line
+FROM ({inner}) UNION ALL SELECT '# rules checked at 2024-01-31 06:00:00' AS line"""
 
 
 def dashboard_sql() -> str:
