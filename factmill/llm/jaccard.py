@@ -2,8 +2,11 @@
 
 Two texts link when ``100 * |A and B| >= percent * |A or B|`` for their sets of shingles.
 
-*Points.* Shingles are hashed into ``GROUPS`` groups; a text is the point of its counts per
-group. The sum of the smaller coordinates of two points bounds the overlap of their sets.
+*Points.* Shingles are hashed into groups, at least ``GROUPS`` of them and at most ``LOAD``
+shingles to a group on average; a text is the point of its counts per group. The sum of the
+smaller coordinates of two points bounds the overlap of their sets; of points with different
+numbers of groups, powers of two, the finer one is folded. With few shingles a group this
+tells long texts apart as well as short ones.
 
 *Routing.* Linked texts of up to U shingles differ in D at most, which follows from U and
 ``percent``. So when shingles are dealt into more than D cells by hash, linked texts agree
@@ -15,9 +18,10 @@ few cells more than needed, empty cells can go without a key.
 leader, which settles large groups of copies without comparing their members. Cells whose
 nodes still belong to different components get other leaders, drawn per cell, and those
 that stay open are searched with an R-tree over the points: its boxes and points are passed
-over if the bound is too small. Pairs that survive are bounded again by points with a group
-for each shingle, and those that survive this are verified on their whole sets. No pair is left out at any size, and no cell is
-gathered: hot cells meet as leaders of blocks, then as pairs of blocks.
+over if the bound is too small. Cells of the same nodes are searched once. Pairs that survive
+are bounded again by points with a group for each shingle, and those that survive this are
+verified on their whole sets. No pair is left out at any size, and no cell is gathered: hot
+cells meet as leaders of blocks, then as pairs of blocks.
 
 Shingles are compared as 52-bit hashes and sets as 64-bit sums of them: two different
 shingles of a pair of texts agree with a chance of about ``|A| * |B| / 2 ** 52``.
@@ -38,10 +42,13 @@ from factmill.llm.words import LOWER, blocks, hashed_words, mix
 from factmill.session import settle
 
 GROUPS = 128
+LOAD = 4
 BAND = 1.5
 LEAF = 16
-CHUNK = 2000
+CHUNK = 4000
 """Nodes of a block of a cell in the search by R-tree."""
+CHUNK_BYTES = 16 << 20
+"""Bytes of their points."""
 SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
 BLOCK_KEYS = 2_000_000
@@ -144,6 +151,18 @@ def _node(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(out[0] ^ mix(out[1], 22)).view(np.int64)
 
 
+def groups_of(n: np.ndarray, load: int) -> np.ndarray:
+    """Groups of the points of texts of ``n`` shingles: a power of two."""
+    least = np.maximum(-(-n // load), GROUPS)
+    return np.int64(1) << np.ceil(np.log2(least)).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A byte a group unless a count is larger."""
+    kind = "u1" if counts.max() < 256 else "<u4"
+    return kind[-1].encode() + counts.astype(kind).tobytes()
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
     """``row``, ``doc_id``, ``n_shingles``, ``node`` and ``counts`` of every text.
 
@@ -157,15 +176,18 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for i, j, row, h in text_sets(batch.column(2), size):
                 n = np.bincount(row, minlength=j - i)
-                group = row * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64)
-                counts = np.bincount(group, minlength=(j - i) * GROUPS).astype("<u4").tobytes()
+                groups = groups_of(n, LOAD)
+                first = np.cumsum(groups) - groups
+                group = (h & (groups - 1).astype(np.uint64)[row]).astype(np.int64)
+                found = np.bincount(first[row] + group, minlength=int(groups.sum()))
+                counts = [_packed(own) for own in np.split(found, first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
                         pa.array(n.astype(np.int64)),
                         pa.array(_node(row, h, n), mask=n == 0),
-                        pa.array([counts[k : k + 4 * GROUPS] for k in range(0, len(counts), 4 * GROUPS)], pa.binary()),
+                        pa.array(counts, pa.binary()),
                     ],
                     names,
                 )
@@ -184,7 +206,10 @@ def cells_of(column: pa.Array, size: int, bands: Bands) -> Iterator[tuple[np.nda
 
 
 def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node``, ``key`` and ``component``, one row per cell of each text of ``rows``."""
+    """``node``, ``key``, ``component`` and ``width``, one row per cell of each text of ``rows``.
+
+    ``width`` is the number of groups of the node's point.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -193,16 +218,17 @@ def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 n = np.bincount(row, minlength=j - i)
                 owner, key = cell_keys(row, h, n, bands)
                 component = batch.column(1).to_numpy()[i:j][owner]
+                width = groups_of(n, LOAD)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_node(row, h, n)[owner]), pa.array(key.view(np.int64)), pa.array(component)],
-                    ["node", "key", "component"],
+                    [pa.array(x) for x in (_node(row, h, n)[owner], key.view(np.int64), component, width)],
+                    ["node", "key", "component", "width"],
                 )
 
-    return rows.select("text", "component").mapInArrow(run, "node long, key long, component long")
+    return rows.select("text", "component").mapInArrow(run, "node long, key long, component long, width long")
 
 
 def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node`` and ``key`` in all cells in which texts of different components meet.
+    """``node``, ``key`` and ``width`` in all cells in which texts of different components meet.
 
     The keys are made twice rather than stored: first to find these cells, which takes a
     row per key and task, then to pick their members.
@@ -213,7 +239,7 @@ def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
     cells = settle(cells.where("low < high").select("key"), "shared")
     if cells.count() <= SENT_ROWS:
         cells = F.broadcast(cells)
-    return settle(keyed(rows, size, percent).select("node", "key").join(cells, "key"), "nodes")
+    return settle(keyed(rows, size, percent).select("node", "key", "width").join(cells, "key"), "nodes")
 
 
 def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -314,7 +340,8 @@ class RTree:
         live = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, least = self.levels[depth]
-            bound = np.minimum(tops[live], point).sum(1)
+            # a sum of counts is at most a size, which the type of the counts holds
+            bound = np.add.reduce(np.minimum(tops[live], point), axis=1, dtype=tops.dtype)
             live = live[bound >= least_overlap(size, least[live], percent)]
             if depth:
                 below = len(self.levels[depth - 1][0])
@@ -323,13 +350,46 @@ class RTree:
         return self.order[live]
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, "<u4").reshape(-1, GROUPS).astype(np.int64)
+def _alike(values: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Points of one number of groups: where they are, and their counts, a row each."""
+    found: dict[tuple[bytes, int], list[int]] = {}
+    for k, value in enumerate(values):
+        found.setdefault((value[:1], len(value)), []).append(k)
+    for (kind, _), at in found.items():
+        raw = np.frombuffer(b"".join(values[k][1:] for k in at), "u1" if kind == b"1" else "<u4")
+        yield at, raw.reshape(len(at), -1)
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    if counts.shape[1] == groups:
+        return counts
+    return counts.reshape(len(counts), -1, groups).sum(1, dtype=np.uint32)
+
+
+def points_of(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Points in the groups of the coarsest of them, a row each."""
+    alike = list(_alike(column.to_pylist()))
+    groups = min(counts.shape[1] for _, counts in alike)
+    out = np.empty((len(sizes), groups), np.uint16 if sizes.max() < 1 << 16 else np.uint32)
+    for at, counts in alike:
+        out[at] = _folded(counts, groups)
+    return out
+
+
+def bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bounds of the overlap of pairs by their points."""
+    out = np.zeros(len(a), np.int64)
+    for at, left in _alike(a):
+        at = np.array(at)
+        for some, right in _alike([b[k] for k in at]):
+            groups = min(left.shape[1], right.shape[1])
+            both = np.minimum(_folded(left[some], groups), _folded(right, groups))
+            out[at[some]] = both.sum(1, dtype=np.int64)
+    return out
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose overlap may suffice by their points."""
+    """The pairs ``a``, ``b`` whose overlap may suffice by their points (node, n_shingles, counts)."""
     for side in ("a", "b"):
         pairs = pairs.join(
             points.select(
@@ -340,10 +400,13 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(k).to_numpy() for k in (2, 3))
-            bound = np.minimum(_points(batch.column(4)), _points(batch.column(5))).sum(1)
-            keep = pa.array(bound >= least_overlap(n, m, percent))
-            yield batch.select([0, 1]).filter(keep)
+            least = least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            found = [
+                bounds(*(batch.column(c).slice(k, 256).to_pylist() for c in (4, 5)))
+                for k in range(0, batch.num_rows, 256)
+            ]
+            keep = np.concatenate(found) >= least if found else np.zeros(0, bool)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a long, b long")
 
@@ -367,10 +430,8 @@ def fine_points(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             counts = []
             for own in _lined_up(text_sets(batch.column(1), size)):
-                groups = max(GROUPS, 1 << (len(own) - 1).bit_length())
-                found = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-                kind = "u1" if found.max() < 256 else "<u4"
-                counts.append(kind[-1].encode() + found.astype(kind).tobytes())
+                groups = int(groups_of(np.array([len(own)]), 1)[0])
+                counts.append(_packed(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], ["node", "fine"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
@@ -388,37 +449,15 @@ def bounded_overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a.reshape(-1, len(b)).sum(0), b).sum())
 
 
-def finely_bounded(pairs: DataFrame, points: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose overlap may suffice by their fine points."""
-    sized = fine.join(points.select("node", "n_shingles"), "node")
-    for side in ("a", "b"):
-        pairs = pairs.join(
-            sized.select(
-                F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("fine").alias(f"f_{side}")
-            ),
-            side,
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            points = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            keep = [bounded_overlap(_fine(a), _fine(b)) >= n for (a, b), n in zip(points, least.tolist())]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets.
+    """The pairs that link, by their whole sets; ``pairs`` passed the bound by ``points``.
 
-    The groups of a point are too few to tell long texts apart. So pairs that pass the bound
-    are bounded once more by points of more groups, and texts are fetched, and sent along,
-    for what remains, which is little more than the links.
+    They are bounded once more by points of more groups, and texts are fetched, and sent
+    along, for what remains, which is little more than the links.
     """
-    pairs = settle(bounded(pairs, points, percent), "pairs")
-    fine = settle(fine_points(wanted_texts(pairs, points, docs), size), "fine")
-    pairs = settle(finely_bounded(pairs, points, fine, percent), "likely")
+    fine = fine_points(wanted_texts(pairs, points, docs), size).withColumnRenamed("fine", "counts")
+    fine = settle(fine.join(points.select("node", "n_shingles"), "node"), "fine")
+    pairs = settle(bounded(pairs, fine, percent), "likely")
     texts = settle(wanted_texts(pairs, points, docs), "texts", "zstd")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
@@ -456,20 +495,36 @@ def _lined_up(runs: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterat
 def open_cells(nodes: DataFrame, labels: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
     """Cells with nodes of different components, and the rows of these cells.
 
-    ``nodes``: node and key; ``labels``: node and component. A cell has its number of
-    nodes and, as ``pick``, the smallest of numbers drawn for them.
+    ``nodes``: node, key and width; ``labels``: node and component. A cell has its number of
+    nodes, the bytes of their points, as ``pick`` the smallest of numbers drawn for them and
+    as ``main`` the component of that node. Of cells of the same nodes one is kept: they
+    offer the same pairs.
     """
     labelled = nodes.join(labels, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"), "key"
+        "node", F.coalesce("component", "node").alias("component"), "key", "width"
     )
     labelled = labelled.withColumn("drawn", F.xxhash64("key", "node", F.lit(draw)))
     cells = labelled.groupBy("key").agg(
         F.min("component").alias("low"),
         F.max("component").alias("high"),
         F.count("*").alias("many"),
-        F.min("drawn").alias("pick"),
+        F.sum("width").alias("bytes"),
+        F.min(F.struct("drawn", "component")).alias("first"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)],
+    )
+    cells = cells.where("low < high").groupBy("many", "bytes", "same0", "same1").agg(
+        F.min(F.struct("key", "first")).alias("one")
+    )
+    cells = settle(
+        cells.select(
+            "one.key",
+            "many",
+            "bytes",
+            F.col("one.first.drawn").alias("pick"),
+            F.col("one.first.component").alias("main"),
+        ),
+        "open",
     )
-    cells = settle(cells.where("low < high").select("key", "many", "pick"), "open")
     members = settle(labelled.join(cells, "key"), "members")
     return cells, members
 
@@ -486,47 +541,64 @@ def other_leaders(members: DataFrame) -> DataFrame:
 def cell_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """All pairs of an open cell, of different components, that pass the bound, by R-tree.
 
-    A cell of many nodes is searched as pairs of blocks.
+    Of two such nodes one is not of the main component. In a cell of many nodes these, the
+    minor ones, are dealt into blocks, and the others into blocks behind them; every minor
+    block is searched in itself and in each later block.
     """
-    parts = F.ceil(F.col("many") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    blocks_of = (
-        members.withColumn("parts", parts)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = lambda share: F.greatest(
+        F.ceil(share * F.col("many") / CHUNK), F.ceil(share * F.col("bytes") / CHUNK_BYTES), F.lit(1)
+    ).cast("int")
+    minor = F.col("component") != F.col("main")
+    shares = settle(
+        members.groupBy("key").agg((F.count_if(minor) / F.count("*")).alias("share")), "shares"
     )
-    cells = settle(
-        blocks_of.select(
-            "key",
-            "node",
-            "component",
-            "mine",
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-        ),
-        "cells",
+    dealt = members.join(shares, "key").select(
+        "key",
+        "node",
+        "component",
+        "main",
+        F.when(blocks(F.lit(1.0)) == 1, 0).when(minor, blocks(F.col("share"))).otherwise(
+            blocks(1 - F.col("share"))
+        ).alias("own"),
+        blocks(F.col("share")).alias("minors"),
+        (blocks(F.col("share")) + blocks(1 - F.col("share"))).alias("parts"),
+        minor.alias("minor"),
+    )
+    # a cell of one block has no own blocks
+    mine = F.when(F.col("own") == 0, 0).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("own")) + F.when(F.col("minor"), 0).otherwise(F.col("minors"))
+    )
+    others = F.when(F.col("own") == 0, 1).when(F.col("minor"), F.col("parts")).otherwise(F.col("minors"))
+    cells = dealt.withColumn("mine", mine.cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), others - 1))
+    )
+    cells = cells.select(
+        "key",
+        "node",
+        "component",
+        "main",
+        "mine",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
     ).join(points.select("node", "n_shingles", "counts"), "node")
 
     def search(cell: pa.Table) -> pa.Table:
-        node, component, mine, sizes = (
-            cell.column(c).to_numpy() for c in ("node", "component", "mine", "n_shingles")
+        node, component, main, mine, sizes = (
+            cell.column(c).to_numpy() for c in ("node", "component", "main", "mine", "n_shingles")
         )
-        points = _points(cell.column("counts").combine_chunks())
+        points = points_of(cell.column("counts").combine_chunks(), sizes)
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        # of two nodes of different components one is not of the largest
-        kinds, many = np.unique(component, return_counts=True)
-        minor = component != kinds[many.argmax()]
-        a, b = [], []
-        for asked, held in ((i, j), (j, i)) if i != j else ((i, i),):
-            indexed = np.flatnonzero(mine == held)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        indexed = np.flatnonzero(mine == j)
+        asked = np.flatnonzero((mine == i) & (component != main))
+        if len(indexed) and len(asked):
             tree = RTree(points[indexed], sizes[indexed])
-            for k in np.flatnonzero((mine == asked) & minor):
+            for k in asked:
                 found = indexed[tree.search(points[k], int(sizes[k]), percent)]
                 found = found[component[found] != component[k]]
                 a.append(np.minimum(node[found], node[k]))
                 b.append(np.maximum(node[found], node[k]))
-        both = np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)], 1)
-        both = np.unique(both, axis=0)
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return cells.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
@@ -560,7 +632,8 @@ def numbered_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         sets.select("row", "n_shingles", "counts").join(classes.select("row", "node"), "row"), "points"
     )
     pairs = settle(leaders(docs, size, percent), "leaders")
-    links = settle(verified(pairs, points, docs, size, percent), "links")
+    close = settle(bounded(pairs, points, percent), "pairs")
+    links = settle(verified(close, points, docs, size, percent), "links")
     labels = components(links)
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     touched = classes.select("row", "node").join(touched, "node").join(labels, "node", "left")
@@ -573,9 +646,11 @@ def numbered_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if cells.isEmpty():
             break
         # a cell that is closed stays so
-        nodes = members.select("node", "key")
-        last = draw == ROUNDS
-        rest = cell_pairs(members, points, percent) if last else other_leaders(members)
+        nodes = members.select("node", "key", "width")
+        if draw == ROUNDS:
+            rest = cell_pairs(members, points, percent)
+        else:
+            rest = bounded(other_leaders(members), points, percent)
         more = verified(settle(rest, "rest"), points, docs, size, percent)
         links = settle(links.union(more), "links")
         labels = components(links)
