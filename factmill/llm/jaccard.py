@@ -49,6 +49,8 @@ CHUNK = 4000
 """Nodes of a block of a cell in the search by R-tree."""
 CHUNK_BYTES = 16 << 20
 """Bytes of their points."""
+SEARCHED = 1 << 21
+"""Counts that queries of a block are compared with at once."""
 SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
 BLOCK_KEYS = 2_000_000
@@ -335,19 +337,34 @@ class RTree:
             least = np.minimum.reduceat(least, at)
             self.levels.append((tops, least))
 
+    def search_all(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and the points whose overlap with them is bounded by no less than a link needs.
+
+        Queries descend together, as many as keep their pairs with the lowest level small.
+        """
+        step = max(1, SEARCHED // max(self.levels[0][0].size, 1))
+        asked, found = [], []
+        for a in range(0, len(points), step):
+            query = np.arange(a, min(a + step, len(points)))
+            top = len(self.levels[-1][0])
+            query, live = np.repeat(query, top), np.tile(np.arange(top), len(query))
+            for depth in range(len(self.levels) - 1, -1, -1):
+                tops, least = self.levels[depth]
+                # a sum of counts is at most a size, which the type of the counts holds
+                bound = np.add.reduce(np.minimum(tops[live], points[query]), axis=1, dtype=tops.dtype)
+                keep = bound >= least_overlap(sizes[query], least[live], percent)
+                query, live = query[keep], live[keep]
+                if depth:
+                    live = (live[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    inside = live < len(self.levels[depth - 1][0])
+                    query, live = np.repeat(query, LEAF)[inside], live[inside]
+            asked.append(query)
+            found.append(self.order[live])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, found))
+
     def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points whose overlap with the query is bounded by no less than a link needs."""
-        live = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            tops, least = self.levels[depth]
-            # a sum of counts is at most a size, which the type of the counts holds
-            bound = np.add.reduce(np.minimum(tops[live], point), axis=1, dtype=tops.dtype)
-            live = live[bound >= least_overlap(size, least[live], percent)]
-            if depth:
-                below = len(self.levels[depth - 1][0])
-                live = (live[:, None] * LEAF + np.arange(LEAF)).ravel()
-                live = live[live < below]
-        return self.order[live]
+        """The points that one query finds."""
+        return self.search_all(point[None], np.array([size]), percent)[1]
 
 
 def _alike(values: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -588,17 +605,16 @@ def cell_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         )
         points = points_of(cell.column("counts").combine_chunks(), sizes)
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         indexed = np.flatnonzero(mine == j)
         asked = np.flatnonzero((mine == i) & (component != main))
+        a = b = np.zeros(0, np.int64)
         if len(indexed) and len(asked):
             tree = RTree(points[indexed], sizes[indexed])
-            for k in asked:
-                found = indexed[tree.search(points[k], int(sizes[k]), percent)]
-                found = found[component[found] != component[k]]
-                a.append(np.minimum(node[found], node[k]))
-                b.append(np.maximum(node[found], node[k]))
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            a, b = tree.search_all(points[asked], sizes[asked], percent)
+            a, b = asked[a], indexed[b]
+        other = component[a] != component[b]
+        both = np.sort(np.stack([node[a[other]], node[b[other]]], 1), axis=1)
+        both = np.unique(both, axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return cells.groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct()
