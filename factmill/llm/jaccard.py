@@ -19,8 +19,8 @@ leader, which settles large groups of copies without comparing their members. Ce
 nodes still belong to different components get other leaders, drawn per cell, and those
 that stay open are searched with an R-tree over the points: its boxes and points are passed
 over if the bound is too small. Cells of the same nodes are searched once. Pairs that survive
-are bounded again by points with a group for each shingle, and those that survive this are
-verified on their whole sets. No pair is left out at any size, and no cell is gathered: hot
+meet as pairs of blocks of nodes, where they are bounded again by points with a group for
+each shingle and then verified on their whole sets. No pair is left out at any size, and no cell is gathered: hot
 cells meet as leaders of blocks, then as pairs of blocks.
 
 Shingles are compared as 52-bit hashes and sets as 64-bit sums of them: two different
@@ -51,6 +51,9 @@ CHUNK_BYTES = 16 << 20
 """Bytes of their points."""
 SEARCHED = 1 << 21
 """Counts that queries of a block are compared with at once."""
+UNIT_NODES = 500
+UNIT_BYTES = 8 << 20
+"""Nodes, and bytes of their texts, of a block in the comparison of whole sets."""
 SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
 BLOCK_KEYS = 2_000_000
@@ -437,69 +440,51 @@ def wanted_texts(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFr
     return docs.join(wanted, "row").select("node", "text")
 
 
-def fine_points(texts: DataFrame, size: int) -> DataFrame:
-    """Points with as many groups as a text has shingles, a power of two: node and counts.
-
-    They take a byte a group unless a count is larger, so a fraction of the text's room.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = []
-            for own in _lined_up(text_sets(batch.column(1), size)):
-                groups = int(groups_of(np.array([len(own)]), 1)[0])
-                counts.append(_packed(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], ["node", "fine"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
-
-
-def _fine(value: bytes) -> np.ndarray:
-    kind = "u1" if value[:1] == b"1" else "<u4"
-    return np.frombuffer(value, kind, offset=1).astype(np.int64)
-
-
-def bounded_overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Summed minima of two fine points; the finer one is folded to the groups of the other."""
-    if len(a) < len(b):
-        a, b = b, a
-    return int(np.minimum(a.reshape(-1, len(b)).sum(0), b).sum())
+def fine_point(own: np.ndarray) -> bytes:
+    """The point of a set with as many groups as it has shingles, a power of two."""
+    groups = int(groups_of(np.array([len(own)]), 1)[0])
+    return _packed(np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link, by their whole sets; ``pairs`` passed the bound by ``points``.
 
-    They are bounded once more by points of more groups, and texts are fetched, and sent
-    along, for what remains, which is little more than the links.
+    Nodes are dealt into blocks of bounded size, pairs into pairs of blocks, to which the
+    text of each node goes once, however many pairs it stands in there. Pairs are bounded
+    once more, by points of more groups, before their sets are compared.
     """
-    fine = fine_points(wanted_texts(pairs, points, docs), size).withColumnRenamed("fine", "counts")
-    fine = settle(fine.join(points.select("node", "n_shingles"), "node"), "fine")
-    pairs = settle(bounded(pairs, fine, percent), "likely")
     texts = settle(wanted_texts(pairs, points, docs), "texts", "zstd")
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            keep = np.zeros(n, bool)
-            sets = []
-            for node, text in ((0, 2), (1, 3)):
-                # a node stands in many pairs: its text is cut once a batch
-                _, first, again = np.unique(
-                    batch.column(node).to_numpy(), return_index=True, return_inverse=True
-                )
-                own = list(_lined_up(text_sets(batch.column(text).take(pa.array(first)), size)))
-                sets.append((own, again))
-            for k in range(n):
-                a, b = (own[again[k]] for own, again in sets)
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = 100 * common >= percent * (len(a) + len(b) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+    nodes, room = texts.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    parts = max(-(-nodes // UNIT_NODES), -(-(room or 0) // UNIT_BYTES), 1)
+    i, j = (F.pmod(F.xxhash64(side), F.lit(parts)) for side in ("a", "b"))
+    units = pairs.select("a", "b", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+    needed = units.select(F.col("i").alias("p"), F.col("j").alias("q"), F.col("a").alias("node"))
+    needed = needed.union(units.select("i", "j", "b")).distinct().join(texts, "node")
+
+    def compare(unit: pa.Table, held: pa.Table) -> pa.Table:
+        node = held.column("node").to_numpy()
+        order = np.argsort(node)
+        a, b = (
+            order[np.searchsorted(node, unit.column(side).to_numpy(), sorter=order)] for side in ("a", "b")
+        )
+        sets = list(_lined_up(text_sets(held.column("text").combine_chunks(), size)))
+        n = np.array([len(own) for own in sets], np.int64)
+        fine = [fine_point(own) for own in sets]
+        keep = np.zeros(len(a), bool)
+        for k in range(0, len(a), 256):
+            some = slice(k, k + 256)
+            bound = bounds([fine[x] for x in a[some]], [fine[x] for x in b[some]])
+            keep[some] = bound >= least_overlap(n[a[some]], n[b[some]], percent)
+        for k in np.flatnonzero(keep):
+            both = np.concatenate([sets[a[k]], sets[b[k]]])
+            both.sort(kind="stable")  # merges two sorted runs
+            common = int((both[1:] == both[:-1]).sum())
+            keep[k] = 100 * common >= percent * (len(both) - common)
+        return unit.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return (
+        units.groupBy("i", "j").cogroup(needed.groupBy("p", "q")).applyInArrow(compare, "a long, b long")
+    )
 
 
 def _lined_up(runs: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:

@@ -109,21 +109,43 @@ def test_fine_points_bound_the_overlap():
     for _ in range(200):
         a = pick.integers(0, 1 << 52, pick.integers(1, 3000), dtype=np.uint64)
         b = np.concatenate([a[: pick.integers(0, len(a) + 1)], pick.integers(0, 1 << 52, pick.integers(1, 900), dtype=np.uint64)])
-        points = []
-        for own in (a, b):
-            groups = max(jaccard.GROUPS, 1 << (len(np.unique(own)) - 1).bit_length())
-            points.append(np.bincount((np.unique(own) & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
+        a, b = np.unique(a), np.unique(b)
         common = len(np.intersect1d(a, b))
-        assert common <= jaccard.bounded_overlap(*points) <= min(len(np.unique(a)), len(np.unique(b)))
+        bound = jaccard.bounds([jaccard.fine_point(a)], [jaccard.fine_point(b)])[0]
+        assert common <= bound <= min(len(a), len(b))
 
 
-def test_fine_points_of_texts(spark):
+def test_fine_points_of_texts():
     texts = [" ".join(f"w{k}" for k in range(n)) for n in (1, 3, 200, 5000)] + ["q " * 2000, "a b " * 700]
-    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    for r in jaccard.fine_points(frame, 3).collect():
-        n = len(shingles(texts[r.node], 3))
-        point = jaccard._fine(bytes(r.fine))
-        assert point.sum() == n and len(point) >= n
+    (_, _, row, h), = jaccard.text_sets(pa.array(texts), 3)
+    for k, text in enumerate(texts):
+        n = len(shingles(text, 3))
+        value = jaccard.fine_point(h[row == k])
+        (_, point), = jaccard._alike([value])
+        assert point.sum() == n and point.size >= n
     # a group that holds more than a byte can count
     wide = b"4" + np.full(128, 300, "<u4").tobytes()
-    assert jaccard._fine(wide).sum() == 128 * 300
+    thin = b"1" + np.full(256, 200, "u1").tobytes()
+    assert jaccard.bounds([wide, thin, wide], [wide, wide, thin]).tolist() == [300 * 128] * 3
+
+
+def test_points_of_one_cell_are_folded_to_the_coarsest():
+    pick = np.random.default_rng(6)
+    sets = [np.unique(pick.integers(0, 1 << 52, n, dtype=np.uint64)) for n in (40, 700, 90_000)]
+    sizes = np.array([len(own) for own in sets])
+    points = jaccard.points_of(pa.array([jaccard.fine_point(own) for own in sets], pa.binary()), sizes)
+    assert points.shape == (3, 128) and points.sum(1, dtype=int).tolist() == sizes.tolist()
+
+
+def test_main_component_is_asked_in_blocks(spark, monkeypatch):
+    """Of a cell in several blocks no pair of different components is left out."""
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    value = jaccard.fine_point(np.arange(50, dtype=np.uint64))
+    nodes = [(k, 1 if k < 11 else k) for k in range(17)]
+    members = spark.createDataFrame(
+        [(9, node, component, 1, 17, 17 * 128) for node, component in nodes],
+        "key long, node long, component long, main long, many long, bytes long",
+    )
+    points = spark.createDataFrame([(k, 50, value) for k, _ in nodes], "node long, n_shingles long, counts binary")
+    got = {(r.a, r.b) for r in jaccard.cell_pairs(members, points, 80).collect()}
+    assert got == {(a, b) for a, c in nodes for b, d in nodes if a < b and c != d}
