@@ -56,7 +56,10 @@ UNIT_BYTES = 8 << 20
 """Nodes, and bytes of their texts, of a block in the comparison of whole sets."""
 SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
-BLOCK_KEYS = 2_000_000
+BLOCK_KEYS = 500_000
+"""Keys that a task pairs at once; some 150 bytes each while it does."""
+BLOCK_TEXT = 1 << 20
+"""Bytes of the texts whose shingles are hashed at once."""
 ROUNDS = 2
 """Times that open cells get a new leader before they are searched; not a bound on links."""
 _BITS = np.uint64(52)
@@ -90,7 +93,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.n
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows: first, behind the last, and their shingles by row and hash."""
-    for i, j, data, bounds in blocks(column):
+    for i, j, data, bounds in blocks(column, BLOCK_TEXT):
         starts, _, hashes = hashed_words(LOWER[data], bounds)
         at = np.searchsorted(starts, bounds)
         for a in range(0, j - i, 4096):
