@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factmill.operators.ranked import quantile_name, quantiles_of_counts, value_counts
+from factmill.operators.ranked import exact_quantiles, quantile_name, quantiles_of_counts, value_counts
 from factmill.spec import DEFAULT_SPEC, FactSpec
 
 METHODS = ("iqr", "zscore")
@@ -15,11 +15,16 @@ def _one(row: DataFrame) -> Column:
     return row.select(F.struct("*").alias("row")).scalar()
 
 
-def iqr_fences(quartiles: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
-    """One row ``low, high`` from a one-row table of quartiles."""
+def with_fences(quartiles: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
+    """Add ``low`` and ``high`` to a one-row table of quartiles."""
     first, third = (F.col(quantile_name(s)) for s in spec.quartiles)
     reach = F.lit(spec.iqr_factor) * (third - first)
-    return quartiles.select((first - reach).alias("low"), (third + reach).alias("high"))
+    return quartiles.withColumns({"low": first - reach, "high": third + reach})
+
+
+def iqr_fences(quartiles: DataFrame, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
+    """One row ``low, high`` from a one-row table of quartiles."""
+    return with_fences(quartiles, spec).select("low", "high")
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
@@ -30,22 +35,19 @@ def spread(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _is_outlier(
-    df: DataFrame, counts: DataFrame | None, method: str, spec: FactSpec
-) -> Column:
+def _beyond(total: Column, fences: Column) -> Column:
+    return F.coalesce((total < fences["low"]) | (total > fences["high"]), F.lit(False))
+
+
+def _is_outlier(df: DataFrame, method: str, spec: FactSpec) -> Column:
     total = F.col(spec.total)
     if method == "iqr":
-        counts = value_counts(df, spec.total) if counts is None else counts
-        fences = _one(iqr_fences(quantiles_of_counts(counts, spec.quartiles), spec))
-        outside = (total < fences["low"]) | (total > fences["high"])
-    elif method == "zscore":
-        stats = _one(spread(df, spec.total))
-        # a constant column has no spread and so no outliers
-        score = F.try_divide(total - stats["mean"], F.nullif(stats["std"], F.lit(0.0)))
-        outside = F.abs(score) > spec.z_limit
-    else:
-        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    return F.coalesce(outside, F.lit(False))
+        quartiles = exact_quantiles(df, spec.total, spec.quartiles)
+        return _beyond(total, _one(with_fences(quartiles, spec)))
+    stats = _one(spread(df, spec.total))
+    # a constant column has no spread and so no outliers
+    score = F.try_divide(total - stats["mean"], F.nullif(stats["std"], F.lit(0.0)))
+    return F.coalesce(F.abs(score) > spec.z_limit, F.lit(False))
 
 
 def flag_outliers(
@@ -56,7 +58,7 @@ def flag_outliers(
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     if spec.total not in df.columns:
         return df.withColumn("is_outlier", F.lit(False)).where(F.lit(False))
-    return df.withColumn("is_outlier", _is_outlier(df, None, method, spec))
+    return df.withColumn("is_outlier", _is_outlier(df, method, spec))
 
 
 def outlier_rows(
@@ -89,12 +91,16 @@ def outlier_summary(
             ],
         )
     counts = value_counts(df, spec.total)
-    usual = _one(quantiles_of_counts(counts, spec.report_quantiles))
     valued = counts.withColumnRenamed("value", spec.total)
-    if method == "zscore":
-        found = F.coalesce(_far_from_mean(valued, spec), F.lit(False))
+    # all shares at once: one look at the counts finds them
+    shares = dict.fromkeys([*spec.report_quantiles, *(spec.quartiles if method == "iqr" else [])])
+    usual = quantiles_of_counts(counts, list(shares))
+    if method == "iqr":
+        usual = _one(with_fences(usual, spec))
+        found = _beyond(F.col(spec.total), usual)
     else:
-        found = _is_outlier(valued, counts, method, spec)
+        usual = _one(usual)
+        found = F.coalesce(_far_from_mean(valued, spec), F.lit(False))
     value, n = F.col(spec.total), F.col("n")
     return valued.withColumn("__out", found).agg(
         F.lit(method).alias("method"),

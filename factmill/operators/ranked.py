@@ -119,11 +119,12 @@ def running_totals(
     return joined.select(*result)
 
 
-def numbered(values: DataFrame, name: str = "index") -> DataFrame:
+def numbered(values: DataFrame, name: str = "index", group_name: str | None = None) -> DataFrame:
     """The rows of a table of any size, numbered from 0 in the order of its columns.
 
     Rows are dealt out by ranges, sorted and counted within each, and shifted by the
-    counts of the ranges before, one row per range. Equal rows have no fixed order.
+    counts of the ranges before, one row per range. Equal rows have no fixed order. With
+    ``group_name`` the distinct values of the first column are numbered by it as well.
     """
     ranged = settle(
         values.repartitionByRange(*values.columns).withColumn(
@@ -131,17 +132,43 @@ def numbered(values: DataFrame, name: str = "index") -> DataFrame:
         ),
         "ranged",
     )
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__range")
-        .agg(F.count("*").alias("__n"))
-        .select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    )
+    across = Window.orderBy("__range")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(count: Column) -> Column:
+        return F.coalesce(F.sum(count).over(earlier), F.lit(0))
+
     within = Window.partitionBy("__range").orderBy(*values.columns)
-    return ranged.join(offsets, "__range").select(
-        (F.row_number().over(within) - 1 + F.col("__base")).cast("bigint").alias(name),
-        *values.columns,
-    )
+    numbers = [(F.row_number().over(within) - 1 + F.col("__base")).cast("bigint").alias(name)]
+    # a struct, as a null is a value here
+    first = F.struct(F.col(values.columns[0]))
+    if group_name is None:
+        counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+        offsets = counts.select("__range", before(F.col("__n")).alias("__base"))
+    else:
+        counts = (
+            ranged.groupBy("__range", first.alias("__first"))
+            .agg(F.count("*").alias("__n"))
+            .groupBy("__range")
+            .agg(
+                F.sum("__n").alias("__n"),
+                F.count("*").alias("__groups"),
+                F.min("__first").alias("__low"),
+                F.max("__first").alias("__high"),
+            )
+        )
+        # a group that goes on from the range before is counted there
+        goes_on = F.coalesce(F.col("__low") == F.lag("__high").over(across), F.lit(False))
+        counts = counts.withColumn("__goes_on", goes_on.cast("bigint"))
+        offsets = counts.select(
+            "__range",
+            before(F.col("__n")).alias("__base"),
+            (before(F.col("__groups") - F.col("__goes_on")) - F.col("__goes_on")).alias("__groups_before"),
+        )
+        # ordered like the rows, so that one sort serves both
+        group = F.dense_rank().over(Window.partitionBy("__range").orderBy(values.columns[0]))
+        numbers.append((group - 1 + F.col("__groups_before")).cast("bigint").alias(group_name))
+    return ranged.join(offsets, "__range").select(*numbers, *values.columns)
 
 
 def quantile_name(share: float) -> str:
@@ -173,9 +200,11 @@ def quantiles_of_counts(
     _, rows, cuts = _cut_points(counts, range_rows)
     counts = counts.withColumn("value", F.col("value").cast("double"))
 
-    # rows at or below each cut: MAX_RANGES numbers, from one pass
-    per_range = _with_range(counts, cuts).groupBy("__range").agg(F.sum("n").alias("n"))
-    sizes = {int(r["__range"]): r["n"] for r in per_range.toLocalIterator()}
+    sizes = {0: rows}
+    if cuts:
+        # rows at or below each cut: MAX_RANGES numbers, from one pass
+        per_range = _with_range(counts, cuts).groupBy("__range").agg(F.sum("n").alias("n"))
+        sizes = {int(r["__range"]): r["n"] for r in per_range.toLocalIterator()}
     bounds = [float("-inf"), *cuts, float("inf")]
     starts, total = [], 0
     for i in range(len(bounds) - 1):

@@ -48,7 +48,7 @@ def value_pool(df: DataFrame, column: str) -> Pool:
     """The distinct values of a column, however many, numbered in their order."""
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
     table = settle(numbered(values.distinct()), "pool")
-    return Pool(table, table.agg(F.count("*").alias("n")).scalar())
+    return Pool(table, table.agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("n")).scalar())
 
 
 @dataclass(frozen=True)
@@ -62,12 +62,12 @@ class CategoryPool:
 def category_pool(categories: DataFrame, major: str, minor: str) -> CategoryPool:
     """The distinct pairs of a category table, however many."""
     pairs = categories.select(F.col(major).alias("major"), F.col(minor).alias("minor"))
-    minors = settle(numbered(pairs.distinct()), "minors")
-    ranges = minors.groupBy("major").agg(F.min("index").alias("first"), F.count("*").alias("n"))
-    majors = settle(numbered(ranges.select("major", "first", "n")), "majors")
-    return CategoryPool(
-        Pool(majors, majors.agg(F.count("*").alias("n")).scalar()), minors.drop("major")
+    minors = settle(numbered(pairs.distinct(), group_name="group"), "minors")
+    majors = minors.groupBy(F.col("group").alias("index"), "major").agg(
+        F.min("index").alias("first"), F.count("*").alias("n")
     )
+    size = minors.agg(F.coalesce(F.max("group") + 1, F.lit(0)).alias("n")).scalar()
+    return CategoryPool(Pool(majors, size), minors.select("index", "minor"))
 
 
 def fixed_pool(categories: Mapping[str, Sequence[str]]) -> Column:

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from factmill.operators import outliers, ranked
+from factmill.spec import DEFAULT_SPEC
 
 SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 
@@ -110,3 +111,23 @@ def test_numbered_rows(spark):
     got = [tuple(r) for r in ranked.numbered(df).orderBy("index").collect()]
     want = sorted((f"k{i % 170}", i) for i in range(500))
     assert got == [(k, *row) for k, row in enumerate(want)]
+
+
+def test_numbered_groups(spark):
+    """Groups of one row, of many ranges, and of a null first column, in one pass."""
+    keys = [None] * 90 + ["a"] * 300 + ["b"] + ["c"] * 2 + [f"d{i:02}" for i in range(40)] + ["z"] * 200
+    rows = [(key, i) for i, key in enumerate(keys)]
+    df = spark.createDataFrame(rows, "a string, b long").repartition(9)
+    got = ranked.numbered(df, group_name="group").orderBy("index").collect()
+    places = {key: k for k, key in enumerate(dict.fromkeys(keys))}
+    assert [tuple(r) for r in got] == [(i, places[key], key, i) for i, key in enumerate(keys)]
+    assert ranked.numbered(df.limit(0), group_name="group").count() == 0
+
+
+def test_summary_has_the_quantiles_of_the_rows(spark):
+    values = [float(v) for v in range(1, 101)] + [10_000.0]
+    summary = outliers.outlier_summary(totals(spark, values)).first()
+    shares = DEFAULT_SPEC.report_quantiles
+    got = [summary[ranked.quantile_name(share)] for share in shares]
+    assert got == pytest.approx(np.quantile(values, shares))
+    assert (summary["outlier_min"], summary["outlier_max"]) == (10_000.0, 10_000.0)
