@@ -243,7 +243,7 @@ def known_language(docs: DataFrame, languages: Sequence[str] = LANGUAGES) -> Dat
     """
     table = log_likelihoods(trigram_counts(docs, languages))
     evidence = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
         F.lower("lang").alias("declared"),
         F.col("source").alias("host"),
         F.col("source").alias("domain"),

@@ -323,3 +323,13 @@ def test_fit_and_score(spark):
     model = toxicity.fit(docs, marks, F.col("doc_id") % 5 != 0, rows=150)
     out = docs.select("doc_id", toxicity.score(spark, model).alias("s")).where("doc_id % 5 = 0").collect()
     assert np.mean([(r.s >= 0.5) == labels[r.doc_id] for r in out]) > 0.95
+
+
+def test_language_keeps_columns_of_any_name(spark, tmp_path):
+    """Names with a dot, and such as the operator uses itself, come through unchanged."""
+    rows = [(k, "the house is in the old town", "en", "a.example", k, f"h{k}") for k in range(3)]
+    path = str(tmp_path / "named")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` long, host string").write.parquet(path)
+    kept = language.known_language(spark.read.parquet(path))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "a.b", "host"]
+    assert sorted(tuple(r) for r in kept.collect()) == rows
