@@ -44,11 +44,13 @@ def whole(docs: DataFrame) -> Column:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the kind of a secret in its place; ``n_chars`` follows where a text changes."""
+    """Put the kind of a secret in its place; ``n_chars``, if there, follows where a text changes."""
     fresh = docs.select(whole(docs), secrets.redact("text").alias("text"))
     changed = ~F.col("text").eqNullSafe(F.col("document.text"))
-    size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.col("text"), "n_chars": F.when(changed, size).otherwise(F.col("document.n_chars"))}
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, size).otherwise(F.col("document.n_chars"))
     return fresh.select(*[new.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
