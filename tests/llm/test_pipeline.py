@@ -62,3 +62,14 @@ def test_whole_run(spark, folder):
     path, _, _ = folder
     out = corpus_pipeline.run(spark, path)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
+
+
+def test_redaction_without_a_size(spark):
+    """A table without ``n_chars`` keeps its columns; null and clean texts stay."""
+    rows = [(1, 'password = "Abcdefgh12345678"', 7), (2, "a clean text", 8), (3, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long")
+    got = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert got.columns == docs.columns
+    first, *rest = sorted(tuple(r) for r in got.collect())
+    assert "Abcdefgh12345678" not in first[1] and (first[0], first[2]) == (1, 7)
+    assert rest == rows[1:]
