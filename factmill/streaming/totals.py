@@ -15,15 +15,20 @@ Totals do not depend on the order in which rows come, so files may arrive in any
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from factmill.functions import numbers
 from factmill.operators.clean import add_date, clean_rows, drop_null_keys
 from factmill.spec import DEFAULT_SPEC, FactSpec
+from factmill.streaming.rows import append_to, state_on_disk
 
 ARRIVAL = "__arrival"
 BATCH = "__batch"
+# batches that the files at hand are read in, at most
+MOST_BATCHES = 4
 
 
 def read_arrivals(
@@ -32,10 +37,16 @@ def read_arrivals(
     schema: T.StructType | str,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream, each row with the time its file was made."""
+    """New parquet files of a folder as a stream, each row with the time its file was made.
+
+    A batch takes ``files_per_batch`` files, or more if the folder has more than
+    ``MOST_BATCHES`` times as many. Every batch goes over the whole state: were their number
+    to grow with the files, the time would with its square.
+    """
     reader = spark.readStream.format("parquet").schema(schema)
     if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        files = len(spark.read.schema(schema).parquet(folder).inputFiles())
+        reader = reader.option("maxFilesPerTrigger", max(files_per_batch, ceil(files / MOST_BATCHES)))
     rows = reader.load(folder)
     return rows.select("*", F.col("_metadata.file_modification_time").alias(ARRIVAL))
 
@@ -57,7 +68,7 @@ def unique_stream(rows: DataFrame, delay: str, arrival: str = ARRIVAL) -> DataFr
     newest arrival is late and left out; Spark counts it as dropped by the watermark.
     """
     payload = rows.drop(arrival)
-    marked = rows.withColumn("__digest", row_digest(payload)).withWatermark(arrival, delay)
+    marked = rows.withColumn("__digest", F.unhex(row_digest(payload))).withWatermark(arrival, delay)
     return marked.dropDuplicatesWithinWatermark(["__digest"]).select(*payload.columns)
 
 
@@ -97,7 +108,8 @@ def upsert_totals(
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with state_on_disk(totals.sparkSession):
+        return writer.start()
 
 
 def read_upserts(spark: SparkSession, folder: str, spec: FactSpec = DEFAULT_SPEC) -> DataFrame:
@@ -131,14 +143,7 @@ def stream_to_totals(
     arrivals = read_arrivals(spark, folder, schema, files_per_batch)
     rows = clean_rows(arrivals, spec)
     kept = unique_stream(rows, delay)
-    unique = (
-        kept.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{out}/progress/rows")
-        .trigger(availableNow=True)
-        .start(f"{out}/rows")
-    )
-    unique.awaitTermination()
+    append_to(kept, f"{out}/rows", f"{out}/progress/rows").awaitTermination()
     stored = spark.readStream.schema(kept.schema).parquet(f"{out}/rows")
     upsert_totals(running_totals(stored, spec), f"{out}/totals", f"{out}/progress/totals").awaitTermination()
     return read_upserts(spark, f"{out}/totals", spec)

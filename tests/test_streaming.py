@@ -106,3 +106,19 @@ def test_empty_rows_without_state(spark, tmp_path, raw):
     out = totals.stream_to_totals(spark, f"{tmp_path}/raw", SCHEMA, str(tmp_path), "1 day", None, SPEC)
     assert out.collect() == []
     assert F.col(totals.ARRIVAL) is not None and totals.ARRIVAL not in out.columns
+
+
+def test_many_files_are_read_in_few_batches_with_state_on_disk(spark, tmp_path, raw):
+    rows = raw_rows(44)
+    for k in range(0, 44, 4):
+        raw(rows[k : k + 4])
+    before = spark.conf.getAll
+    out = totals.stream_to_totals(spark, f"{tmp_path}/raw", SCHEMA, str(tmp_path), "1 day", 1, SPEC)
+    assert ordered(out) == ordered(clean.clean(spark.createDataFrame(rows, SCHEMA), SPEC))
+    offsets = sorted((tmp_path / "progress" / "rows" / "offsets").glob("[0-9]*"))
+    # one more, without rows, lets the state forget
+    assert 1 <= len(offsets) <= totals.MOST_BATCHES + 1
+    for step in ("rows", "totals"):
+        first = (tmp_path / "progress" / step / "offsets" / "0").read_text()
+        assert "RocksDBStateStoreProvider" in first
+    assert spark.conf.getAll == before
