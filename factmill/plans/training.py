@@ -19,6 +19,7 @@ class TrainingResult:
     metrics: DataFrame  # one row
     curve: DataFrame  # threshold, fpr, tpr
     scored: DataFrame  # the test rows with predictions
+    totals: DataFrame  # the given totals, as settled
 
 
 def train_and_evaluate(
@@ -35,11 +36,13 @@ def train_and_evaluate(
 ) -> TrainingResult:
     """Fit both models on the early years and measure them on the later ones.
 
-    The labelled table is settled once, as every fit makes several passes, and so
-    are the scored test rows, as every measure reads them. With a ``folder`` the
+    The totals are settled once, as the threshold is taken from them before their rows
+    are labelled, and so are the labelled table, as every fit makes several passes, and
+    the scored test rows, as every measure reads them. With a ``folder`` the
     models and the metrics are stored there.
     """
     started = time.monotonic()
+    totals = settle(totals, "totals")
     labelled = settle(features.add_target(totals, target, spec=spec), "labelled")
     train, test = features.temporal_split(labelled, train_until, seed=seed, spec=spec)
     pipeline = features.encoder(train, spec).fit(train)
@@ -104,4 +107,4 @@ def train_and_evaluate(
         fitted.save(folder)
         metrics.coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
         curve.write.mode("overwrite").json(f"{folder}/roc_curve")
-    return TrainingResult(fitted, metrics, curve, scored)
+    return TrainingResult(fitted, metrics, curve, scored, totals)

@@ -207,3 +207,20 @@ def test_regression_metrics(spark):
     assert tuple(evaluate.regression_metrics(df, "a", "p").first()) == (0.5, round(r2, 4))
     flat = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "a double, p double")
     assert evaluate.regression_metrics(flat, "a", "p").first()["r2"] == 1.0
+
+
+def test_training_reads_the_totals_from_one_stored_table(ml_small, monkeypatch):
+    from factmill.plans import training
+
+    seen = []
+    given = features.add_target
+
+    def watched(df, *args, **kwargs):
+        seen.append(df.inputFiles())
+        return given(df, *args, **kwargs)
+
+    monkeypatch.setattr(training.features, "add_target", watched)
+    result = train_and_evaluate(ml_small, trees=2, max_depth=2)
+    # the threshold and the labels come from a table, not from the plan of the totals
+    assert seen == [result.totals.inputFiles()] and seen[0]
+    assert sorted(result.totals.collect()) == sorted(ml_small.collect())

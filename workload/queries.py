@@ -607,7 +607,7 @@ def train_eval(spark, folder):
 
     hits = F.count_if((label == 1) & (guess == 1)).cast("double")
     mean = found.scored.agg(F.avg(actual)).scalar()
-    limits = totals(spark, folder).where(F.col("year") <= TRAIN_UNTIL)
+    limits = found.totals.where(F.col("year") <= TRAIN_UNTIL)
     low, high = (limits.agg(f(SPEC.total)).scalar() for f in (F.min, F.max))
     return found.scored.agg(
         metrics["train_rows"].alias("train_rows"),
