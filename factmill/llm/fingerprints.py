@@ -72,6 +72,17 @@ def fingerprints(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return summed.select(*keys, F.array(*[f"_{k}" for k in range(LANES)]).alias("lanes"))
 
 
+def narrow(lanes: Column) -> Column:
+    """The lanes as integers of 32 bits, which take half the room; ``wide`` undoes it."""
+    return F.transform(
+        lanes, lambda x: F.when(x >= MODULUS // 2, x - MODULUS).otherwise(x).cast("int")
+    )
+
+
+def wide(lanes: Column) -> Column:
+    return F.transform(lanes, lambda x: _low(x.cast("long")))
+
+
 def added(a: Column, b: Column) -> Column:
     """The fingerprint of the paragraphs of both."""
     return F.zip_with(a, b, lambda x, y: _low(x + y))

@@ -122,3 +122,11 @@ def test_texts_are_shuffled_once(spark, monkeypatch):
     whole = [x for x in re.findall(r"FileScan parquet \[[^]]*text", shown)]
     # one for both joins, and one for rows without id, which are not shuffled
     assert len(whole) == 2
+
+
+def test_narrow_lanes_are_whole_again(spark):
+    lanes = [0, 1, (1 << 31) - 1, 1 << 31, MASK - 63, MASK]
+    frame = spark.createDataFrame([(lanes,), ([],), (None,)], "lanes array<long>")
+    narrow = frame.select(fingerprints.narrow(F.col("lanes")).alias("lanes"))
+    assert narrow.schema["lanes"].dataType.simpleString() == "array<int>"
+    assert [r[0] for r in narrow.select(fingerprints.wide(F.col("lanes"))).collect()] == [lanes, [], None]
