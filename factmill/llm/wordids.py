@@ -215,12 +215,19 @@ class WordIds:
         cut[1:-1] = (before > 0) & (after > 0) & ((before != after) | (after == 2))
         cut[bounds] = True
         starts, ends, hashes = hashed_words(data, np.flatnonzero(cut))
-        kinds, where, code = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
+        # numbered by a table of hashes, without sorting all chunks
+        coded = pa.array(np.ascontiguousarray(hashes[:, 0])).dictionary_encode()
+        kinds, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if len(self.known) > KEEP:
             self.clear()
-        new = ~np.isin(kinds, self.known)
+        at = np.searchsorted(self.known, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != kinds[inside]
         if new.any():
             odd = np.concatenate([[0], np.cumsum(kind != 1)])
+            where = np.zeros(len(kinds), np.int64)
+            where[code] = np.arange(len(code))
             at = where[new]
             self._learn(data, odd, starts[at], ends[at], kinds[new])
         at = np.searchsorted(self.known, kinds)[code]

@@ -212,3 +212,21 @@ def test_neighbours(spark, ids):
     order = sorted({x for x in ids if x is not None})
     want = {x: (order[(k + 1) % len(order)], order[k - 1]) for k, x in enumerate(order)}
     assert got == want
+
+
+def test_chunks_are_numbered_without_sorting_them(monkeypatch):
+    """Known and new chunks in one block, before, between and behind the known hashes."""
+
+    def never(*args, **kwargs):
+        raise AssertionError("all chunks of a block are sorted")
+
+    coder = WordIds()
+    first = ["a few words", "and more of them"]
+    second = [*first, *HARD_TEXTS, "words in another order, and new ones too"]
+    expected = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in first + second]
+    monkeypatch.setattr(np, "isin", never)
+    got = []
+    for texts in (first, second):
+        for _, _, ids, bounds in coder.column(pa.array(texts, pa.string())):
+            got += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == expected
