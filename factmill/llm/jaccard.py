@@ -58,6 +58,8 @@ SENT_ROWS = 1_000_000
 """Rows of small ids up to which they are sent to all tasks; beyond it they are joined."""
 BLOCK_KEYS = 500_000
 """Keys that a task pairs at once; some 150 bytes each while it does."""
+BLOCK_TEXT = 1 << 18
+"""Bytes of text hashed at once; some 100 bytes each while they are."""
 ROUNDS = 2
 """Times that open cells get a new leader before they are searched; not a bound on links."""
 _BITS = np.uint64(52)
@@ -73,7 +75,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.n
     count = np.diff(bounds)
     row = np.repeat(np.arange(len(count)), count)
     h = mix(words, size)
-    for step in range(1, size):
+    for step in range(1, min(size, len(words) + 1)):
         h[: len(h) - step] = mix(h[: len(h) - step] * np.uint64(0x9FB21C651E98DF25) + words[step:], step)
     fits = np.arange(len(words)) + size <= bounds[1:][row] if len(words) else np.zeros(0, bool)
     rows, values = [row[fits]], [h[fits]]
@@ -91,7 +93,7 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.n
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows: first, behind the last, and their shingles by row and hash."""
-    for i, j, data, bounds in blocks(column):
+    for i, j, data, bounds in blocks(column, BLOCK_TEXT):
         starts, _, hashes = hashed_words(LOWER[data], bounds)
         at = np.searchsorted(starts, bounds)
         for a in range(0, j - i, 4096):
@@ -212,7 +214,7 @@ def cells_of(column: pa.Array, size: int, bands: Bands) -> Iterator[tuple[np.nda
 
 
 def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """``node``, ``key``, ``component`` and ``width``, one row per cell of each text of ``rows``.
+    """``node``, ``key`` and ``width``, one row per cell of each text of ``rows``.
 
     ``width`` is the number of groups of the node's point.
     """
@@ -223,29 +225,80 @@ def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
             for i, j, row, h in text_sets(batch.column(0), size):
                 n = np.bincount(row, minlength=j - i)
                 owner, key = cell_keys(row, h, n, bands)
-                component = batch.column(1).to_numpy()[i:j][owner]
                 width = groups_of(n, LOAD)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (_node(row, h, n)[owner], key.view(np.int64), component, width)],
-                    ["node", "key", "component", "width"],
+                    [pa.array(x) for x in (_node(row, h, n)[owner], key.view(np.int64), width)],
+                    ["node", "key", "width"],
                 )
 
-    return rows.select("text", "component").mapInArrow(run, "node long, key long, component long, width long")
+    return rows.select("text").mapInArrow(run, "node long, key long, width long")
+
+
+def met_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``key`` of all cells in which texts of different components meet, once each.
+
+    A block of a task sends the smallest and largest component under a key; these are sorted
+    and passed through, so that no task holds a table of its keys.
+    """
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        have, bands = 0, Bands(percent)
+
+        def combined() -> pa.RecordBatch:
+            key, component = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, component = key[order], component[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            low, high = (f.reduceat(component, at) for f in (np.minimum, np.maximum))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], low, high)], ["key", "low", "high"])
+
+        for batch in batches:
+            component = batch.column(1).to_numpy()
+            for i, j, row, h in text_sets(batch.column(0), size):
+                owner, key = cell_keys(row, h, np.bincount(row, minlength=j - i), bands)
+                if len(key):
+                    held.append((key.view(np.int64), component[i:j][owner]))
+                    have += len(key)
+                if have >= BLOCK_KEYS:
+                    yield combined()
+                    held, have = [], 0
+        if have:
+            yield combined()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last key of a batch may go on in the next
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(last))
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, low, high = key[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            last = [x[-1:] for x in (key, low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][low[:-1] < high[:-1]])], ["key"])
+        key, low, high = last
+        yield pa.RecordBatch.from_arrays([pa.array(key[low < high])], ["key"])
+
+    return (
+        rows.select("text", "component")
+        .mapInArrow(within, "key long, low long, high long")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(across, "key long")
+    )
 
 
 def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """``node``, ``key`` and ``width`` in all cells in which texts of different components meet.
 
     The keys are made twice rather than stored: first to find these cells, which takes a
-    row per key and task, then to pick their members.
+    row per key and block of a task, then to pick their members.
     """
-    cells = keyed(rows, size, percent).groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    cells = settle(cells.where("low < high").select("key"), "shared")
+    cells = settle(met_keys(rows, size, percent), "shared")
     if cells.count() <= SENT_ROWS:
         cells = F.broadcast(cells)
-    return settle(keyed(rows, size, percent).select("node", "key", "width").join(cells, "key"), "nodes")
+    return settle(keyed(rows, size, percent).join(cells, "key").select("node", "key", "width"), "nodes")
 
 
 def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -149,3 +149,36 @@ def test_main_component_is_asked_in_blocks(spark, monkeypatch):
     points = spark.createDataFrame([(k, 50, value) for k, _ in nodes], "node long, n_shingles long, counts binary")
     got = {(r.a, r.b) for r in jaccard.cell_pairs(members, points, 80).collect()}
     assert got == {(a, b) for a, c in nodes for b, d in nodes if a < b and c != d}
+
+
+def test_keys_that_components_share(spark, tmp_path, monkeypatch):
+    """Keys are those of cells of several components, once each, whatever the blocks and batches."""
+    monkeypatch.setattr(jaccard, "BLOCK_KEYS", 50)
+    texts = crowd(7)
+    rows = [(text, k % 5 if k % 3 else 0) for k, text in enumerate(texts)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "text string, component long").repartition(3).write.parquet(path)
+    want, bands = {}, jaccard.Bands(80)
+    for text, component in rows:
+        for _, keys in jaccard.cells_of(pa.array([text]), 5, bands):
+            for key in keys.tolist():
+                want.setdefault(key, set()).add(component)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [r.key for r in jaccard.met_keys(spark.read.parquet(path), 5, 80).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(key for key, components in want.items() if len(components) > 1)
+
+
+def test_no_task_holds_a_table_of_its_keys(spark):
+    """Keys, nearly all distinct, are not grouped in a hash table before or after the shuffle."""
+    rows = spark.createDataFrame([("a b c d e f", 1)], "text string, component long")
+    plan = jaccard.met_keys(rows, 5, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" in plan
+
+
+def test_fewer_words_in_all_than_a_shingle_has():
+    for text in ("", "a", "a b", "a b c"):
+        (_, _, row, h), = jaccard.text_sets(pa.array([text]), 5)
+        assert len(h) == (1 if text else 0)
