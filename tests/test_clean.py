@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -261,3 +262,13 @@ def test_step_counts(spark, raw_dirty):
         "copies": (6, 5, 1), "null_key": (5, 4, 1), "merged": (4, 3, 1),
     }
     assert clean.clean(again).count() == 3
+
+
+def test_cleaning_of_made_columns_is_compiled(spark):
+    """The JVM leaves methods above 8,000 bytes uncompiled, which made the dirty table's rows slow."""
+    from workload import tables
+
+    lines = clean.clean(tables.dirty_facts(spark, "/root/testdata/sf0.001"), tables.SPEC)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", lines._jdf.queryExecution().explainString(mode))
+    assert max(map(int, sizes), default=0) < 8000
