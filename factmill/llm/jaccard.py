@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from factmill.llm.components import components
 from factmill.llm.rows import numbered
 from factmill.llm.words import LOWER, blocks, hashed_words, mix
-from factmill.session import settle
+from factmill.session import batches_of, settle
 
 GROUPS = 128
 LOAD = 4
@@ -60,6 +60,8 @@ BLOCK_KEYS = 500_000
 """Keys that a task pairs at once; some 150 bytes each while it does."""
 BLOCK_TEXT = 1 << 18
 """Bytes of text hashed at once; some 100 bytes each while they are."""
+BATCH = 4 << 20
+"""Bytes of texts that a task is sent at once."""
 ROUNDS = 2
 """Times that open cells get a new leader before they are searched; not a bound on links."""
 _BITS = np.uint64(52)
@@ -673,6 +675,11 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
 def numbered_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The same of ``docs`` (row, doc_id, text), whose rows are numbered."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _numbered_groups(docs, size, percent)
+
+
+def _numbered_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     profile = settle(profiles(docs, size), "profiles")
     sets = profile.where("node is not null")
     # the smallest doc_id, a null one last

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from factmill.llm.wordids import PATH, word_ids
 from factmill.llm.words import mix
-from factmill.session import settle
+from factmill.session import batches_of, settle
 
 WINDOW = 4096
 END_ID = 2
@@ -30,6 +30,8 @@ SHARD_IDS = 1 << 20
 """Ids of a shard, the documents of one index."""
 TASK_IDS = 1 << 23
 """Ids that a task packs, shard after shard."""
+BATCH = 4 << 20
+"""Bytes of texts that a task is sent at once."""
 K1, B = 1.2, 0.75
 
 TAILS = (
@@ -300,7 +302,8 @@ def pack_documents(
     Each id lies in one piece. A null or empty text is its end id alone. Repeated rows are
     documents of their own; an empty table has no pieces.
     """
-    table = settle(tokenized(docs, path, end_id, window), "tokenized")
+    with batches_of(docs.sparkSession, BATCH):
+        table = settle(tokenized(docs, path, end_id, window), "tokenized")
     width = np.dtype(word_ids(path, plain=False).type).itemsize
     own = table.where("row is not null")
     # one row per id of the vocabulary reaches the driver

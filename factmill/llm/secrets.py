@@ -162,6 +162,12 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _values(texts: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts as strings, of some rows at a time."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
 def find_secrets(text: Column | str) -> Column:
     """The secrets of a text, an array of (kind, start, end).
 
@@ -175,7 +181,7 @@ def find_secrets(text: Column | str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         spans = [
             [{"kind": k, "start": s, "end": e} for k, s, e in scan(value or "")]
-            for value in texts.to_pylist()
+            for value in _values(texts)
         ]
         return pa.array(spans, kind)
 
@@ -209,6 +215,6 @@ def redact(text: Column | str) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(value) if value else None for value in texts.to_pylist()], pa.string())
+        return pa.array([redacted(value) if value else None for value in _values(texts)], pa.string())
 
     return F.coalesce(run(text), text if isinstance(text, Column) else F.col(text))

@@ -20,7 +20,8 @@ import pyarrow as pa
 from factmill.llm.words import LOWER, blocks, hashed_words, ragged
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+"""Bytes of text tokenized at once; some 40 bytes each while they are."""
 KEEP = 1_000_000
 """Chunks kept in a process before the table is begun anew."""
 LONGEST = 40
@@ -153,9 +154,9 @@ class WordIds:
         return np.concatenate([self.parts[part] for part in parts])
 
     def _learn(self, data: np.ndarray, odd: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        """Tokenize chunks that are new and put them into the table."""
+        """Tokenize chunks that are new and put them into the table; ``odd``: places of no letter."""
         width = ends - starts
-        plain = (odd[ends] == odd[starts]) & (width <= LONGEST)
+        plain = (np.searchsorted(odd, ends) == np.searchsorted(odd, starts)) & (width <= LONGEST)
         count = np.zeros(len(starts), np.int64)
         groups = []
         for size in np.unique(width[plain]):
@@ -176,11 +177,11 @@ class WordIds:
             flat[(first[which, None] + np.arange(ids.shape[1]))[mask]] = ids[mask]
         for which, ids in others:
             flat[first[which] : first[which] + len(ids)] = ids
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.first = np.concatenate([self.first, first + len(self.flat)])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.first = np.insert(self.first, at, first[order] + len(self.flat))
+        self.count = np.insert(self.count, at, count[order])
         self.flat = np.concatenate([self.flat, flat])
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -225,7 +226,7 @@ class WordIds:
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != kinds[inside]
         if new.any():
-            odd = np.concatenate([[0], np.cumsum(kind != 1)])
+            odd = np.flatnonzero(kind != 1)
             where = np.zeros(len(kinds), np.int64)
             where[code] = np.arange(len(code))
             at = where[new]

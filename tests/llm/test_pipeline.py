@@ -2,7 +2,8 @@ import random
 
 import corpus_pipeline
 import pytest
-from factmill.session import settle
+from factmill.llm import jaccard, packing
+from factmill.session import batches_of, settle
 from plain import base_secrets, groups
 from test_corpus_operators import DOCUMENT, check_packing, documents, toxic_texts
 
@@ -73,3 +74,35 @@ def test_redaction_without_a_size(spark):
     first, *rest = sorted(tuple(r) for r in got.collect())
     assert "Abcdefgh12345678" not in first[1] and (first[0], first[2]) == (1, 7)
     assert rest == rows[1:]
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_texts_are_sent_in_small_batches(spark, folder, monkeypatch):
+    docs, seen = spark.read.parquet(f"{folder[0]}/documents.parquet"), []
+
+    def settled(df, label="table", codec="snappy"):
+        seen.append((label, spark.conf.get(BATCH_BYTES)))
+        return settle(df, label, codec)
+
+    before = spark.conf.get(BATCH_BYTES)
+    for module in (jaccard, packing):
+        monkeypatch.setattr(module, "settle", settled)
+    packing.pack_documents(jaccard.jaccard_groups(docs).join(docs, "doc_id").select(docs["doc_id"], "text"))
+    assert {"profiles", "links", "tokenized"} <= {label for label, _ in seen}
+    assert {size for _, size in seen} == {str(4 << 20)}
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
+@pytest.mark.parametrize(("given", "within"), [("1000", "1000"), ("5000", "4096"), ("2k", "2k"), ("64MB", "4096")])
+def test_set_batches_that_are_smaller_stay(spark, given, within):
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.set(BATCH_BYTES, given)
+        with pytest.raises(ZeroDivisionError), batches_of(spark, 4096):
+            assert spark.conf.get(BATCH_BYTES) == within
+            raise ZeroDivisionError
+        assert spark.conf.get(BATCH_BYTES) == given
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

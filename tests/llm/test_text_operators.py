@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,6 +55,29 @@ def test_word_ids_after_the_table_was_begun_anew(monkeypatch):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == want
 
 
+def test_memory_of_word_ids():
+    pick = random.Random(3)
+    known = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(3000)]
+    text = " ".join(pick.choices(known, k=1_500_000))
+    texts = pa.array([text[k : k + 4000] for k in range(0, len(text), 4000)])
+    coder = WordIds()
+    tracemalloc.start()
+    try:
+        for _ in coder.column(texts):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_secrets_of_many_rows(spark):
+    rows = [(k, f"token={'a' * 12}{k}" if k % 3 else None, None) for k in range(700)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = docs.select("doc_id", "text", secrets.redact("text").alias("new"), F.size(secrets.find_secrets("text")).alias("n"))
+    for r in got.collect():
+        assert (r.new, r.n) == (("<assign>", 1) if r.text else (None, 0))
+
+
 @pytest.mark.parametrize("leaf", [1, 2, 5, 64])
 def test_tree_encoding_equals_the_library(leaf):
     own = bpe.ByteBpe()
