@@ -8,11 +8,12 @@ smaller coordinates of two points bounds the overlap of their sets; of points wi
 numbers of groups, powers of two, the finer one is folded. With few shingles a group this
 tells long texts apart as well as short ones.
 
-*Routing.* Linked texts of up to U shingles differ in D at most, which follows from U and
-``percent``. So when shingles are dealt into more than D cells by hash, linked texts agree
-in a whole cell. The content of each cell is a key; texts meet where they share a key.
-Sizes are banded, and a text that could link into the next band has keys there too. With a
-few cells more than needed, empty cells can go without a key.
+*Routing.* All shingles stand in one order. Of a text of n shingles at most D are not in a
+text it links with, which follows from n and ``percent``; so the first shingle that both have
+is among the first D + 1 of either. These are the keys of a text, and texts meet in the cell
+of a key that they share. Any order does. Here rare shingles come first: the shingles of a
+line that very many texts have are keys only of texts that have little else. How frequent a
+shingle is, is counted by buckets of hashes: a guess, which moves work but no link.
 
 *Links.* Texts of one set are one node. In a cell all nodes are first compared with one
 leader, which settles large groups of copies without comparing their members. Cells whose
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,12 @@ from factmill.session import batches_of, settle
 
 GROUPS = 128
 LOAD = 4
-BAND = 1.5
+BUCKETS = 1 << 22
+"""Buckets of hashes in which shingles are counted."""
+SLICE = 1 << 14
+"""Buckets whose counts are added up at once."""
+STEPS = 4
+"""Bands of frequency for each doubling of a count."""
 LEAF = 16
 CHUNK = 4000
 """Nodes of a block of a cell in the search by R-tree."""
@@ -105,53 +112,78 @@ def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarra
 
 
 class Bands:
-    """Sizes in bands, and how many cells the keys of a band need."""
+    """The order of shingles, by bands of frequency and then by hash, and how many are keys.
+
+    ``of_bucket`` has the band of each bucket of hashes; without it all are in one band.
+    """
+
+    def __init__(self, percent: int, of_bucket: np.ndarray | None = None) -> None:
+        self.percent, self.of_bucket = percent, of_bucket
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return np.zeros(len(h), np.uint8) if self.of_bucket is None else self.of_bucket[bucket_of(h)]
+
+    def keys(self, n: np.ndarray) -> np.ndarray:
+        """One more than a text of ``n`` shingles can have that are not in a text it links with."""
+        return np.where(n > 0, n + -self.percent * n // 100 + 1, 0)
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.edges = percent, [1]
 
-    def upto(self, n: int) -> None:
-        while self.edges[-1] <= 4 * max(n, 1):
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (mix(h, 5) % np.uint64(BUCKETS)).astype(np.int64)
 
-    def cells(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of a band, and how many may be empty without a key; no cells: no keys."""
-        most = np.array(self.edges)[band + 1] - 1
-        differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // 50
-        return np.where(differ > 0, differ + 1 + spare, 0), spare
+
+def bands_of(docs: DataFrame, size: int) -> np.ndarray:
+    """The band of each bucket, by the number of shingles of all texts that fall into it."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, some = np.zeros(BUCKETS, np.int32), False
+        for batch in batches:
+            for _, _, _, h in text_sets(batch.column(0), size):
+                np.add.at(counts, bucket_of(h), 1)
+                some = some or len(h) > 0
+        for at in range(0, BUCKETS if some else 0, SLICE):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at]), pa.array([counts[at : at + SLICE].tobytes()], pa.binary())], ["first", "counts"]
+            )
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, np.zeros(SLICE, np.int64)
+
+        def banded() -> pa.RecordBatch:
+            band = np.where(total > 0, 1 + STEPS * np.log2(np.maximum(total, 1)), 0).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([band.tobytes()], pa.binary())], ["first", "bands"])
+
+        for batch in batches:
+            for first, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if first != last:
+                    if last is not None:
+                        yield banded()
+                    last, total = first, np.zeros(SLICE, np.int64)
+                total += np.frombuffer(counts.as_buffer(), np.int32)
+        if last is not None:
+            yield banded()
+
+    # of fixed size
+    made = (
+        docs.select("text")
+        .mapInArrow(within, "first long, counts binary")
+        .repartition("first")
+        .sortWithinPartitions("first")
+        .mapInArrow(across, "first long, bands binary")
+        .collect()
+    )
+    out = np.zeros(BUCKETS, np.uint8)
+    for first, bands in made:
+        out[first : first + SLICE] = np.frombuffer(bands, np.uint8)
+    return out
 
 
 def cell_keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of texts: their text and 64-bit key, grouped by text."""
-    bands.upto(int(n.max(initial=0)))
-    edges = np.array(bands.edges)
-    own = np.searchsorted(edges, np.maximum(n, 1), "right") - 1
-    upper = np.where(100 * n >= bands.percent * edges[own + 1], own + 1, -1)
-    spread, content = mix(h, 5), mix(h, 6)
-    rows, keys = [], []
-    for band in (own, upper):
-        cells, spare = bands.cells(np.maximum(band, 0))
-        cells = np.where((band >= 0) & (n > 0), cells, 0)
-        first = np.cumsum(cells) - cells
-        used = cells[row] > 0
-        of = row[used]
-        cell = first[of] + (spread[used] % cells[of].astype(np.uint64)).astype(np.int64)
-        total = int(cells.sum())
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, cell, content[used])
-        full = np.bincount(cell, minlength=total) > 0
-        text = np.repeat(np.arange(len(n)), cells)
-        empty = np.bincount(text[~full], minlength=len(n))
-        number = (np.arange(total) - first[text]).astype(np.uint64)
-        base = mix(number << np.uint64(32) | band[text].astype(np.uint64), 7)
-        key = mix(base ^ np.where(full, sums, np.uint64(0)), 8)
-        some = full | (empty > spare)[text]
-        rows.append(text[some])
-        keys.append(key[some])
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(rows, kind="stable")
-    return rows[order], keys[order]
+    """Keys of texts: their text and 64-bit key, grouped by text; shingles come by text and hash."""
+    order = np.argsort(row << 8 | bands.of(h), kind="stable")
+    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    chosen = order[place < bands.keys(n)[row]]
+    return row[chosen], mix(h[chosen], 8)
 
 
 def _node(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -215,14 +247,14 @@ def cells_of(column: pa.Array, size: int, bands: Bands) -> Iterator[tuple[np.nda
         yield _node(row, h, n)[owner], keys.view(np.int64)
 
 
-def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def keyed(rows: DataFrame, size: int, percent: int, sent: Broadcast | None = None) -> DataFrame:
     """``node``, ``key`` and ``width``, one row per cell of each text of ``rows``.
 
-    ``width`` is the number of groups of the node's point.
+    ``width`` is the number of groups of the node's point; ``sent`` has the bands of the buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands = Bands(percent, sent and sent.value)
         for batch in batches:
             for i, j, row, h in text_sets(batch.column(0), size):
                 n = np.bincount(row, minlength=j - i)
@@ -236,7 +268,7 @@ def keyed(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "node long, key long, width long")
 
 
-def met_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def met_keys(rows: DataFrame, size: int, percent: int, sent: Broadcast | None = None) -> DataFrame:
     """``key`` of all cells in which texts of different components meet, once each.
 
     A block of a task sends the smallest and largest component under a key; these are sorted
@@ -245,7 +277,7 @@ def met_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        have, bands = 0, Bands(percent)
+        have, bands = 0, Bands(percent, sent and sent.value)
 
         def combined() -> pa.RecordBatch:
             key, component = (np.concatenate(x) for x in zip(*held))
@@ -291,19 +323,19 @@ def met_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
     )
 
 
-def shared_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def shared_cells(rows: DataFrame, size: int, percent: int, sent: Broadcast | None = None) -> DataFrame:
     """``node``, ``key`` and ``width`` in all cells in which texts of different components meet.
 
     The keys are made twice rather than stored: first to find these cells, which takes a
     row per key and block of a task, then to pick their members.
     """
-    cells = settle(met_keys(rows, size, percent), "shared")
+    cells = settle(met_keys(rows, size, percent, sent), "shared")
     if cells.count() <= SENT_ROWS:
         cells = F.broadcast(cells)
-    return settle(keyed(rows, size, percent).join(cells, "key").select("node", "key", "width"), "nodes")
+    return settle(keyed(rows, size, percent, sent).join(cells, "key").select("node", "key", "width"), "nodes")
 
 
-def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def leaders(docs: DataFrame, size: int, percent: int, sent: Broadcast | None = None) -> DataFrame:
     """Pairs of nodes that share a key with one of them as leader.
 
     Nodes of a task that share a key are paired there, and only the first goes on under the
@@ -312,7 +344,7 @@ def leaders(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        have, bands = 0, Bands(percent)
+        have, bands = 0, Bands(percent, sent and sent.value)
 
         def combined() -> Iterator[pa.RecordBatch]:
             node, key = (np.concatenate(x) for x in zip(*held))
@@ -693,7 +725,8 @@ def _numbered_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     points = settle(
         sets.select("row", "n_shingles", "counts").join(classes.select("row", "node"), "row"), "points"
     )
-    pairs = settle(leaders(docs, size, percent), "leaders")
+    sent = docs.sparkSession.sparkContext.broadcast(bands_of(docs, size))
+    pairs = settle(leaders(docs, size, percent, sent), "leaders")
     close = settle(bounded(pairs, points, percent), "pairs")
     links = settle(verified(close, points, docs, size, percent), "links")
     labels = components(links)
@@ -702,7 +735,7 @@ def _numbered_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     touched = settle(touched.select("row", F.coalesce("component", "node").alias("component")), "touched")
     if touched.count() <= SENT_ROWS:
         touched = F.broadcast(touched)
-    nodes = shared_cells(docs.join(touched, "row"), size, percent)
+    nodes = shared_cells(docs.join(touched, "row"), size, percent, sent)
     for draw in range(ROUNDS + 1):
         cells, members = open_cells(nodes, labels, draw)
         if cells.isEmpty():

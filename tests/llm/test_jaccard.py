@@ -182,3 +182,53 @@ def test_fewer_words_in_all_than_a_shingle_has():
     for text in ("", "a", "a b", "a b c"):
         (_, _, row, h), = jaccard.text_sets(pa.array([text]), 5)
         assert len(h) == (1 if text else 0)
+
+
+def test_linked_texts_share_a_key_in_any_order():
+    pick = random.Random(9)
+    texts = [" ".join(pick.choices("a b c d".split(), k=pick.randint(1, 9))) for _ in range(40)]
+    for _ in range(12):
+        base = pick.choices(ALPHABET, k=pick.randint(5, 150))
+        texts += [" ".join(edited(pick, base, share)) for share in (0, 0.01, 0.02, 0.03, 0.04)]
+        texts += [" ".join(base + pick.choices(ALPHABET, k=pick.randint(0, len(base) // 4))) for _ in range(3)]
+    linked = 0
+    for size, percent in ((3, 90), (5, 80), (2, 55)):
+        bands = jaccard.Bands(percent, np.random.default_rng(size).integers(0, 6, jaccard.BUCKETS, np.uint8))
+        keys = [set(key.tolist()) for text in texts for _, key in jaccard.cells_of(pa.array([text]), size, bands)]
+        sets = [shingles(text, size) for text in texts]
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    linked += 1
+                    assert keys[a] & keys[b]
+    assert linked > 200
+
+
+def test_bands_count_the_shingles_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE", 1 << 20)
+    texts = ["a b c d e"] * 64 + ["v w x y z", "", "one two", None]
+    docs = spark.createDataFrame([(text,) for text in texts], "text string").repartition(3)
+    band = jaccard.bands_of(docs, 5)
+    (_, _, row, h), = jaccard.text_sets(pa.array(texts[63:67]), 5)
+    assert row.tolist() == [0, 1, 3]
+    assert band[jaccard.bucket_of(h)].tolist() == [1 + 6 * jaccard.STEPS, 1, 1]
+    assert (band > 0).sum() == 3
+    assert not jaccard.bands_of(docs.where("false"), 5).any()
+
+
+def test_a_line_of_many_texts_is_no_cell(spark, tmp_path, monkeypatch):
+    """Texts that share a line and no more do not meet: such cells grow with the square of the table."""
+    pick, seen = random.Random(12), []
+    line = " ".join(pick.choices(ALPHABET, k=30))
+    rows = [(k, f"{line} " + " ".join(pick.choices(ALPHABET, k=30))) for k in range(200)]
+    rows += [(1000 + k, text + " end") for k, text in rows[:5]]
+
+    def open_cells(nodes, labels, draw):
+        seen.append(nodes.count())
+        return cells(nodes, labels, draw)
+
+    cells = jaccard.open_cells
+    monkeypatch.setattr(jaccard, "open_cells", open_cells)
+    out = jaccard.jaccard_groups(store(spark, tmp_path, rows), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in out} == {k: k % 1000 for k, _ in rows}
+    assert seen == [0]
