@@ -325,6 +325,69 @@ def test_fit_and_score(spark):
     assert np.mean([(r.s >= 0.5) == labels[r.doc_id] for r in out]) > 0.95
 
 
+def rare_words(rude, n, seed):
+    """Calm texts, and one text for each of ``n`` times each of the rude words."""
+    texts, _ = toxic_texts(4 * n * len(rude), seed)
+    calm = [t for k, t in enumerate(texts) if k % 4]
+    pick, out = random.Random(seed), [(t, 0) for t in calm[: 2 * n * len(rude)]]
+    for word in rude * n:
+        words = pick.choice(calm).split()
+        words[pick.randrange(len(words))] = word
+        out.append((" ".join(words), 1))
+    return out
+
+
+def test_every_labelled_text_is_trained_on(spark):
+    """Words that a few texts have are learnt though a part holds few of these texts."""
+    rude = [a + b + "zz" for a in "hjkqwxyz" for b in ("ax", "oq", "uj", "ek", "iw")]
+    given = rare_words(rude, 8, 1)
+    again = rare_words(rude, 2, 2)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(given)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, l) for k, (_, l) in enumerate(given)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, F.lit(True), rows=60)
+    scores = toxicity.scored_texts(model, pa.array([t for t, _ in again]))
+    truth = np.array([l for _, l in again]) == 1
+    assert (scores[truth] >= 0.5).mean() > 0.9 and (scores[~truth] < 0.5).mean() > 0.95
+    other = toxicity.fit(docs.repartition(7), marks, F.lit(True), rows=60)
+    assert np.allclose(other.embeddings, model.embeddings, atol=1e-5) and np.allclose(other.shift, model.shift, atol=1e-3)
+
+
+def test_parts_hold_every_text_once(spark, monkeypatch):
+    texts, labels = toxic_texts(90, 4)
+    monkeypatch.setattr(toxicity, "PART_WORDS", 300)
+    rows = [(k // 40, t, int(l)) for k, (t, l) in enumerate(zip(texts, labels))] + [(5, "", 1)]
+    given = spark.createDataFrame(rows, "part long, text string, label int").coalesce(1).sortWithinPartitions("part")
+    stored = toxicity._stored(toxicity.parts_of(given, 11))
+    parts = list(toxicity._read_parts(stored.toArrow().to_batches()))
+    assert len({p.number for p in parts}) == len(parts) > 9 and max(len(p.rows) for p in parts) <= 11
+    got = sorted((p.number[0], row.tobytes(), int(l)) for p in parts for row, l in zip(p.rows, p.labels))
+    want = []
+    for part, text, label in rows:
+        (_, _, hashes, _), = toxicity.words_of(pa.array([text]))
+        want.append((part, toxicity.features(hashes).tobytes(), label))
+    assert got == sorted(want)
+
+
+def test_one_part_is_trained_as_it_is(spark):
+    texts, labels = toxic_texts(100, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(k, int(l)) for k, l in enumerate(labels)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, F.lit(True))
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64(F.lit(7), "doc_id")).collect()]
+    want = toxicity.train(pa.array([texts[k] for k in order]), labels[order])
+    assert np.array_equal(model.embeddings, want.embeddings) and np.array_equal(model.shift, want.shift)
+
+
+def test_parts_without_one_of_the_labels(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and more") for k in range(30)], "doc_id long, text string")
+    for label in (0, 1):
+        marks = docs.select("doc_id", F.lit(label).alias("toxic"))
+        model = toxicity.fit(docs, marks, F.lit(True), rows=3)
+        assert (toxicity.scored_texts(model, pa.array(["a word", None])).round() == label).all()
+    model = toxicity.fit(docs, marks, F.lit(False), rows=3)
+    assert toxicity.scored_texts(model, pa.array(["a word"]))[0] < 0.5
+
+
 def test_language_keeps_columns_of_any_name(spark, tmp_path):
     """Names with a dot, and such as the operator uses itself, come through unchanged."""
     rows = [(k, "the house is in the old town", "en", "a.example", k, f"h{k}") for k in range(3)]
